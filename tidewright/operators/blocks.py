@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import BLOCK_ROWS_KEY, broadcast_if_small, is_small, setting
+from ..session import BLOCK_ROWS_KEY, broadcast_if_small, is_bounded, is_small, setting
 
 BLK = "__blk"
 _MAX_BLOCKS = 4096
@@ -119,18 +119,16 @@ def known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
     """Last (or, with ``forward``, next) non-null ``value`` seen from each row."""
     keys, order = list(keys), list(order)
     df, many = with_blocks(df, order)
-    w = W.partitionBy(*keys, *([BLK] if many else [])).orderBy(*_order(order))
-    near = 0 if inclusive else (1 if forward else -1)
-    frame = w.rowsBetween(near, W.unboundedFollowing) if forward else w.rowsBetween(W.unboundedPreceding, near)
-    pick = F.first if forward else F.last
-    df = df.withColumn(out, pick(F.col(value), ignorenulls=True).over(frame))
+    # Looking ahead is looking back along the reversed order: a frame that grows costs one pass, one that shrinks is quadratic.
+    w = W.partitionBy(*keys, *([BLK] if many else [])).orderBy(*_order(order, forward))
+    frame = w.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    df = df.withColumn(out, F.last(F.col(value), ignorenulls=True).over(frame))
     if many:
         best = F.min_by if forward else F.max_by
         seen = F.when(F.col(value).isNotNull(), F.struct(*order))
         edge = df.groupBy(*keys, BLK).agg(best(F.col(value), seen).alias("__e"))
-        wb = W.partitionBy(*keys).orderBy(BLK)
-        fb = wb.rowsBetween(1, W.unboundedFollowing) if forward else wb.rowsBetween(W.unboundedPreceding, -1)
-        edge = edge.withColumn("__e", pick(F.col("__e"), ignorenulls=True).over(fb))
+        wb = W.partitionBy(*keys).orderBy(F.col(BLK).desc() if forward else F.col(BLK).asc())
+        edge = edge.withColumn("__e", F.last(F.col("__e"), ignorenulls=True).over(wb.rowsBetween(W.unboundedPreceding, -1)))
         df = _attach(df, edge, keys).withColumn(out, F.coalesce(F.col(out), F.col("__e"))).drop("__e", BLK)
     return df
 
@@ -155,7 +153,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
     """Exact linear-interpolated quantiles of ``value`` per key."""
     keys = list(keys)
     src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    if is_small(src):
+    if is_bounded(src):
         arr = src.groupBy(*keys).agg(F.percentile("__v", [float(p) for p in probs.values()]).alias("__q"))
         return arr.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)])
     counts = src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
@@ -181,7 +179,7 @@ def summarise(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column] | N
               quants: Mapping[str, tuple[str, float]] | None = None) -> DataFrame:
     """One summary row per key: ordinary aggregates plus exact quantiles ``{name: (column, p)}``."""
     keys, aggs, quants = list(keys), dict(aggs or {}), dict(quants or {})
-    if is_small(df):
+    if not quants or is_bounded(df):
         both = [c.alias(n) for n, c in aggs.items()]
         both += [F.percentile(F.col(v).cast("double"), float(p)).alias(n) for n, (v, p) in quants.items()]
         return df.groupBy(*keys).agg(*both)

@@ -73,6 +73,14 @@ def is_small(df: DataFrame) -> bool:
     return plan_bytes(df) <= setting(df.sparkSession, SMALL_BYTES_KEY)
 
 
+def is_bounded(df: DataFrame) -> bool:
+    """Small by estimate or, where the estimate is no use (joins), by counting up to the block size and no further."""
+    if is_small(df):
+        return True
+    limit = setting(df.sparkSession, BLOCK_ROWS_KEY)
+    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Hint a broadcast only below the byte limit; above it the join shuffles and AQE splits skewed keys."""
     if plan_bytes(df) <= setting(df.sparkSession, BROADCAST_BYTES_KEY):
