@@ -177,3 +177,48 @@ def grid_bilinear(points: DataFrame, cells: DataFrame, point_id: str, size: floa
     return points.join(agg, point_id)
 
 
+
+
+def diameter(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Largest pairwise distance per group.  Each Arrow batch is reduced to its convex hull before the shuffle; the
+    farthest pair are hull vertices, so the answer is exact and a group arrives as a few points."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    keys = list(keys)
+    src = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+
+    def hull(pts: np.ndarray) -> np.ndarray:
+        pts = np.unique(pts, axis=0)
+        if len(pts) < 3:
+            return pts
+        sides = []
+        for seq in (pts, pts[::-1]):
+            out: list[np.ndarray] = []
+            for p in seq:
+                while len(out) > 1:
+                    a, b = out[-2], out[-1]
+                    if (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) > 0:
+                        break
+                    out.pop()
+                out.append(p)
+            sides += out[:-1]
+        return np.array(sides)
+
+    def shrink(batches):
+        for pdf in batches:
+            parts = []
+            for key, g in pdf.groupby(keys, sort=False):
+                h = hull(g[["__x", "__y"]].to_numpy())
+                parts.append(pd.DataFrame({**dict(zip(keys, key)), "__x": h[:, 0], "__y": h[:, 1]}))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    def widest(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = hull(pdf[["__x", "__y"]].to_numpy())
+        d = np.sqrt(((h[:, None, :] - h[None, :, :]) ** 2).sum(-1)).max()
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "diameter": [float(d)]})
+
+    schema = T.StructType([src.schema[k] for k in keys] + [T.StructField("diameter", T.DoubleType())])
+    return src.mapInPandas(shrink, src.schema).groupBy(*keys).applyInPandas(widest, schema)
