@@ -24,7 +24,7 @@ def _(t: Tables):
     return l.where(F.datediff("day", "pd") == 1).select("station", D().alias("d"), r6(F.col("cm") - F.col("p")).alias("step"))
 
 
-@query("win_anomaly", "WIN-02", f"""WITH {S.LEVELS}, g AS (SELECT station, avg(cm) AS a, median(cm) AS m FROM lv GROUP BY 1) SELECT event_id, round(cm - a, 6) AS from_mean, round(cm - m, 6) AS from_median FROM lv JOIN g USING (station)""")
+@query("win_anomaly", "WIN-02", f"""WITH {S.LEVELS}, g AS (SELECT station, avg(cm) AS a, median(cm) AS mm FROM lv GROUP BY 1) SELECT event_id, round(cm - a, 6) AS from_mean, round(cm - mm, 6) AS from_median FROM lv JOIN g USING (station)""")
 def _(t: Tables):
     d = S.levels(t)
     g = B.summarise(d, ["station"], {"avg_cm": F.avg("cm")}, {"med_cm": ("cm", 0.5)})

@@ -98,7 +98,7 @@ def mask(t: Tables) -> DataFrame:
     return g.where("w * 2 > n").select("row", "col")
 
 
-MASK = CELLS + ", mk AS (SELECT row, col FROM cl GROUP BY 1, 2 HAVING sum(water) * 2 > count(water))"
+MASK = CELLS + ", mk AS MATERIALIZED (SELECT row, col FROM cl GROUP BY 1, 2 HAVING sum(water) * 2 > count(water))"
 
 
 def assets(t: Tables) -> DataFrame:
