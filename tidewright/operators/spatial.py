@@ -78,7 +78,7 @@ def knn(query: DataFrame, train: DataFrame, k: int, cell: float, qid: str, tid:
     """
     spark = query.sparkSession
     q = query.select(qid, "ax", "ay")
-    t = train.select(tid, "bx", "by", *carry)
+    t = train.select(tid, "bx", "by", *[c for c in carry if c not in ("bx", "by")])
     lim = t.agg(F.count(F.lit(1)).alias("n"), F.min("bx").alias("a"), F.max("bx").alias("b"), F.min("by").alias("c"),
                 F.max("by").alias("d")).first()
     qlim = q.agg(F.min("ax").alias("a"), F.max("ax").alias("b"), F.min("ay").alias("c"), F.max("ay").alias("d")).first()
