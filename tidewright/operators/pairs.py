@@ -21,6 +21,7 @@ from ..session import broadcast_if_small, cut_lineage
 from . import blocks as B
 
 CHUNK = 4096
+STRIP = 256
 Z95 = 1.959963984540054     # fixed value: two-sided 95 % normal quantile
 
 
@@ -35,11 +36,15 @@ def _values(pdf: pd.DataFrame, kind: str) -> np.ndarray:
     right = pdf[pdf["__s"] == pdf["__v"]]
     x1, y1 = left["__x"].to_numpy(), left["__y"].to_numpy()
     x2, y2 = right["__x"].to_numpy(), right["__y"].to_numpy()
-    dx, dy = x2[None, :] - x1[:, None], y2[None, :] - y1[:, None]
-    keep = dx != 0
-    if own:
-        keep &= np.triu(np.ones(dx.shape, bool), 1)
-    return dy[keep] / dx[keep]
+    parts = []
+    for a in range(0, len(x1), STRIP):               # strips keep the work arrays small
+        b = min(a + STRIP, len(x1))
+        dx, dy = x2[None, :] - x1[a:b, None], y2[None, :] - y1[a:b, None]
+        keep = dx != 0
+        if own:
+            keep &= np.arange(len(x2))[None, :] > np.arange(a, b)[:, None]
+        parts.append(dy[keep] / dx[keep])
+    return np.concatenate(parts)
 
 
 def _to_ordered(v: np.ndarray) -> np.ndarray:

@@ -86,7 +86,10 @@ def knn(query: DataFrame, train: DataFrame, k: int, cell: float, qid: str, tid:
         raise ValueError("knn needs rows on both sides")
     extent = max(max(lim.b, qlim.b) - min(lim.a, qlim.a), max(lim.d, qlim.d) - min(lim.c, qlim.c), cell)
     need = min(k, lim.n - (1 if exclude_self else 0))
-    pieces, size = [], float(cell)
+    # of many rows at one exact place only the lowest ids can be among anyone's k nearest
+    w = W.partitionBy("bx", "by").orderBy(tid)
+    t = t.withColumn("__c", F.row_number().over(w)).where(F.col("__c") <= need + int(exclude_self)).drop("__c")
+    pieces, size = [], _start_cell(t, float(cell))
     while True:
         last = size >= extent
         pairs = radius_pairs_box(q, t, size)
@@ -110,6 +113,18 @@ def knn(query: DataFrame, train: DataFrame, k: int, cell: float, qid: str, tid:
     return out.select(qid, tid, "nn", "dist", *carry)
 
 
+def _start_cell(t: DataFrame, cell: float, crowd: int = 5000) -> float:
+    """Halve the first cell while the fullest one is crowded; doubling rounds then serve the sparse places."""
+    if is_small(t):
+        return cell
+    for _ in range(20):
+        at = [F.floor(F.col(c) / cell).alias(c) for c in ("bx", "by")]
+        if t.select(*at).groupBy("bx", "by").count().agg(F.max("count")).first()[0] <= crowd:
+            break
+        cell /= 2
+    return cell
+
+
 def radius_pairs_box(q: DataFrame, t: DataFrame, size: float) -> DataFrame:
     """Candidates in the 3x3 cell neighbourhood, with their distance."""
     left = q.withColumn("__cx", F.floor(F.col("ax") / size)).withColumn("__cy", F.floor(F.col("ay") / size))

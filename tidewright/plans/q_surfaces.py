@@ -135,10 +135,13 @@ def _(t: Tables):
 
 @query("cv_axis_folds", "CV-02", f"""WITH {S.LEVELS}, {S.POINTS}, b AS (SELECT CAST(floor(chain / 40) AS BIGINT) AS block, min(chain) - 5 AS lo, max(chain) + 5 AS hi, count(*) AS n_test FROM pt GROUP BY 1) SELECT block, max(n_test) AS n_test, count(*) AS n_train, round(avg(h), 6) AS train_mean FROM b JOIN pt ON chain < lo OR chain > hi GROUP BY 1""")
 def _(t: Tables):
-    test, train = H.axis_folds(S.points(t), "chain", 40.0, 5.0)
+    p = S.points(t)
+    test, kept_out = H.axis_folds(p, "chain", 40.0, 5.0)
     a = test.groupBy("block").agg(F.count(F.lit(1)).alias("n_test"))
-    b = train.groupBy("block").agg(F.count(F.lit(1)).alias("n_train"), r6(F.avg("h")).alias("train_mean"))
-    return a.join(b, "block").select("block", "n_test", "n_train", "train_mean")
+    b = kept_out.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("s"))
+    tot = p.agg(F.count(F.lit(1)).alias("tn"), F.sum("h").alias("ts")).withColumn("one", F.lit(1))
+    j = a.join(b, "block").withColumn("one", F.lit(1)).join(F.broadcast(tot), "one")
+    return j.select("block", "n_test", (F.col("tn") - F.col("n")).alias("n_train"), r6((F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("train_mean"))
 
 
 @query("cv_track_blocks", "CV-03", f"""WITH {S.LEVELS}, {S.POINTS}, e AS (SELECT track, min(chain) AS x0, max(chain) AS x1 FROM pt GROUP BY 1), r AS (SELECT pt.*, x0, CAST(floor((chain - x0) / 30) AS BIGINT) AS blk FROM pt JOIN e USING (track) WHERE x0 + (floor((chain - x0) / 30) + 1) * 30 <= x1), s AS (SELECT track, blk, count(*) AS n_rows, max(x0) + blk * 30 AS x0, max(x0) + blk * 30 + 30 AS x1 FROM r GROUP BY 1, 2 HAVING count(*) >= 20)
