@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import BLOCK_ROWS_KEY, broadcast_if_small, is_bounded, is_small, setting
+from ..session import BLOCK_ROWS_KEY, broadcast_if_small, is_bounded, setting
 
 BLK = "__blk"
 _MAX_BLOCKS = 4096
@@ -42,7 +42,7 @@ def _bucket(df: DataFrame, value: Column, splits: Sequence[float], out: str) ->
 
 def with_blocks(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool]:
     """Add the block column; returns the frame and whether more than one block exists."""
-    if is_small(df):
+    if is_bounded(df):
         return df, False
     limit = setting(df.sparkSession, BLOCK_ROWS_KEY)
     first = _numeric(df, order[0])
@@ -181,8 +181,11 @@ def summarise(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column] | N
     keys, aggs, quants = list(keys), dict(aggs or {}), dict(quants or {})
     if not quants or is_bounded(df):
         both = [c.alias(n) for n, c in aggs.items()]
-        both += [F.percentile(F.col(v).cast("double"), float(p)).alias(n) for n, (v, p) in quants.items()]
-        return df.groupBy(*keys).agg(*both)
+        cols = list(dict.fromkeys(v for v, _ in quants.values()))      # one value map per column, not per quantile
+        at = {v: [p for u, p in quants.values() if u == v] for v in cols}
+        both += [F.percentile(F.col(v).cast("double"), [float(p) for p in at[v]]).alias(f"__q_{v}") for v in cols]
+        picks = [F.col(f"__q_{v}")[at[v].index(p)].alias(n) for n, (v, p) in quants.items()]
+        return df.groupBy(*keys).agg(*both).select(*keys, *aggs, *picks)
     parts = [df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])] if aggs else []
     for col in dict.fromkeys(v for v, _ in quants.values()):
         parts.append(quantiles(df, keys, col, {n: p for n, (v, p) in quants.items() if v == col}))

@@ -80,6 +80,13 @@ def _units(df: DataFrame, keys: Sequence[str], kind: str, chunk: int) -> tuple[D
     return rows.select(*keys, "__u", "__v", "__s", "__x", "__y"), many
 
 
+def _spread(units: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Few bytes but much work per unit: a fixed partition count keeps AQE from merging the units into a few tasks."""
+    spark = units.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return units.repartition(n, *keys)
+
+
 def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
@@ -102,7 +109,7 @@ def select_ranks(df: DataFrame, keys: Sequence[str], ranks: DataFrame, kind: str
             return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(at) for k in keys},
                                  "tid": [int(w["tid"]) for w in want], "value": [float(vals[i]) for i in at]})
 
-        return units.groupBy(*keys).applyInPandas(settle, schema)
+        return _spread(units, keys).groupBy(*keys).applyInPandas(settle, schema)
 
     schema = T.StructType([*fields, T.StructField("tid", T.IntegerType()), T.StructField("digit", T.LongType()),
                            T.StructField("n", T.LongType())])
@@ -122,7 +129,7 @@ def select_ranks(df: DataFrame, keys: Sequence[str], ranks: DataFrame, kind: str
                                           "tid": np.int32(w["tid"]), "digit": digit, "n": n}))
             return pd.concat(outs, ignore_index=True)
 
-        hist = joined.groupBy(*keys, "__u", "__v").applyInPandas(count, schema)
+        hist = _spread(joined, [*keys, "__u", "__v"]).groupBy(*keys, "__u", "__v").applyInPandas(count, schema)
         hist = hist.groupBy(*keys, "tid", "digit").agg(F.sum("n").alias("n"))
         w = W.partitionBy(*keys, "tid").orderBy("digit")            # at most 65,536 digits
         hist = hist.withColumn("cum", F.sum("n").over(w)).join(state.select(*keys, "tid", "rank"), [*keys, "tid"])
@@ -190,7 +197,7 @@ def passing_bablok(df: DataFrame, keys: Sequence[str], x: str, y: str, chunk: in
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "n": [len(v)], "below": [int((v < -1).sum())],
                              "equal": [int((v == -1).sum())]})
 
-    base = units.groupBy(*keys, "__u", "__v").applyInPandas(tally, schema)
+    base = _spread(units, [*keys, "__u", "__v"]).groupBy(*keys, "__u", "__v").applyInPandas(tally, schema)
     base = base.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("below").alias("below"), F.sum("equal").alias("equal"))
     base = base.withColumn("m", F.col("n") - F.col("equal")).where("m > 0")
     top = F.col("n") - 1

@@ -68,11 +68,11 @@ def nearest_within(points: DataFrame, nodes: DataFrame, cap: float, point_id: st
     return points.join(best, point_id, "left")
 
 
-def knn(query: DataFrame, train: DataFrame, k: int, cell: float, qid: str, tid: str,
-        carry: Sequence[str] = (), exclude_self: bool = False) -> DataFrame:
+def knn(query: DataFrame, train: DataFrame, k: int, qid: str, tid: str, carry: Sequence[str] = (),
+        exclude_self: bool = False) -> DataFrame:
     """Exactly the k nearest training rows of each query row.
 
-    Round r looks in the 3x3 neighbourhood of cells of size ``cell * 2**r``; a query is settled once its k-th
+    Round r looks in the 3x3 neighbourhood of cells of size ``cell * 2**r``, the first cell holding about k rows; a query is settled once its k-th
     neighbour is closer than one cell size, because anything outside the neighbourhood is farther than that.
     Unsettled queries go on with larger cells, so sparse places cost extra rounds and dense ones do not.
     """
@@ -84,7 +84,8 @@ def knn(query: DataFrame, train: DataFrame, k: int, cell: float, qid: str, tid:
     qlim = q.agg(F.min("ax").alias("a"), F.max("ax").alias("b"), F.min("ay").alias("c"), F.max("ay").alias("d")).first()
     if not lim.n or qlim.a is None:
         raise ValueError("knn needs rows on both sides")
-    extent = max(max(lim.b, qlim.b) - min(lim.a, qlim.a), max(lim.d, qlim.d) - min(lim.c, qlim.c), cell)
+    extent = max(max(lim.b, qlim.b) - min(lim.a, qlim.a), max(lim.d, qlim.d) - min(lim.c, qlim.c), 1e-9)
+    cell = math.sqrt(max(lim.b - lim.a, extent * 1e-6) * max(lim.d - lim.c, extent * 1e-6) * k / lim.n)
     need = min(k, lim.n - (1 if exclude_self else 0))
     # of many rows at one exact place only the lowest ids can be among anyone's k nearest
     w = W.partitionBy("bx", "by").orderBy(tid)
@@ -97,13 +98,13 @@ def knn(query: DataFrame, train: DataFrame, k: int, cell: float, qid: str, tid:
             pairs = pairs.where(F.col(qid) != F.col(tid))
         w = W.partitionBy(qid).orderBy("dist", tid)
         ranked = pairs.withColumn("nn", F.row_number().over(w)).where(F.col("nn") <= need)
-        done = ranked.groupBy(qid).agg(F.count(F.lit(1)).alias("__n"), F.max("dist").alias("__d"))
-        done = done.where((F.col("__n") >= need) & ((F.col("__d") <= size) | F.lit(last))).select(qid)
-        found = cut_lineage(ranked.join(done, qid, "left_semi"))
+        mine = W.partitionBy(qid)                                     # k rows each by now
+        full = (F.count(F.lit(1)).over(mine) >= need) & ((F.max("dist").over(mine) <= size) | F.lit(last))
+        found = cut_lineage(ranked.withColumn("__ok", full).where("__ok").drop("__ok"))
         pieces.append(found)
         if last:
             break
-        q = cut_lineage(q.join(found.select(qid).distinct(), qid, "left_anti"))
+        q = cut_lineage(q.join(found.where("nn = 1").select(qid), qid, "left_anti"))
         if q.isEmpty():
             break
         size *= 2

@@ -71,7 +71,8 @@ def _crossings(p, radius):
 @query("q_crossings", "Q-04", f"""WITH {S.LEVELS}, {S.SENSORS}, {QJ._PAIRS}, {_XR.format(r=3000)}, w AS (SELECT {_WIN} AS win, CASE WHEN aday >= DATE '{CUT}' THEN 'post' ELSE 'pre' END AS period, d FROM xg), m AS (SELECT win, period, median(d) AS md FROM w GROUP BY 1, 2)
  SELECT win, period, count(*) AS n, round(max(md), 6) AS med, round(1.4826::DOUBLE * median(abs(d - md)), 6) AS nmad, round(avg(abs(d)), 6) AS mae, round(sqrt(avg(d*d)), 6) AS rmse, round(100 * avg(CASE WHEN abs(d) <= 0.10 THEN 1.0 ELSE 0 END), 6) AS within_pct FROM w JOIN m USING (win, period) GROUP BY 1, 2""")
 def _(t: Tables):
-    x = _crossings(QJ.pairs(t), 3000).withColumn("period", F.when(F.col("aday") >= F.to_date(F.lit(CUT)), "post").otherwise("pre"))
+    p = cut_lineage(QJ.pairs(t).select("bid", "bday", "aday", "ah", "bh", "dt", "dist"))
+    x = _crossings(p, 3000).withColumn("period", F.when(F.col("aday") >= F.to_date(F.lit(CUT)), "post").otherwise("pre"))
     g = ST.residual_stats(cut_lineage(x), ["win", "period"], "d")
     return g.select("win", "period", "n", r6(F.col("median")).alias("med"), *[r6(F.col(c)).alias(c) for c in ("nmad", "mae", "rmse", "within_pct")])
 

@@ -170,7 +170,7 @@ def _(t: Tables):
 @query("jon_k_nearest", "JON-14", f"""WITH {S.LEVELS}, {S.SENSORS}, d AS (SELECT aid, bid, sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)) AS dist FROM sa, sb), r AS (SELECT *, row_number() OVER (PARTITION BY aid ORDER BY dist, bid) AS nn FROM d)
  SELECT aid, bid, CAST(nn AS INTEGER) AS nn, round(dist, 6) AS dist FROM r WHERE nn <= 8""")
 def _(t: Tables):
-    return P.knn(S.sensor(t, "view", "a"), S.sensor(t, "click", "b"), 8, 4000.0, "aid", "bid").select("aid", "bid", "nn", r6(F.col("dist")).alias("dist"))
+    return P.knn(S.sensor(t, "view", "a"), S.sensor(t, "click", "b"), 8, "aid", "bid").select("aid", "bid", "nn", r6(F.col("dist")).alias("dist"))
 
 
 @query("jon_nearest_station", "JON-15", f"""WITH {S.LEVELS}, {S.SENSORS}, {_STN}, d AS (SELECT aid, bid, sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)) AS dist FROM sa, st), b AS (SELECT aid, arg_min(bid, (dist, bid)) AS station, min(dist) AS dist FROM d WHERE dist <= 12000 GROUP BY 1)

@@ -23,7 +23,7 @@ _NN = "d AS (SELECT aid, ax, ay, ah, bid, bx, by_, bh, sqrt((ax-bx)*(ax-bx)+(ay-
 
 def neighbours(t: Tables, k: int = 8):
     a, b = S.sensor(t, "view", "a"), S.sensor(t, "click", "b")
-    return P.knn(a, b, k, 4000.0, "aid", "bid", ["bx", "by", "bh"]).withColumnRenamed("bh", "z")
+    return P.knn(a, b, k, "aid", "bid", ["bx", "by", "bh"]).withColumnRenamed("bh", "z")
 
 
 @query("int_inverse_distance", "INT-01 INT-04", f"""WITH {S.LEVELS}, {S.SENSORS}, {_NN}, p AS (SELECT aid, sum(bh / power(greatest(dist, 1), 2)) / sum(1 / power(greatest(dist, 1), 2)) AS pred, min(bh) AS lo, max(bh) AS hi FROM nn GROUP BY 1) SELECT aid, round(pred, 6) AS pred, round(greatest(least(pred * 1.2, hi), lo), 6) AS clipped, round(abs(pred * 1.2 - greatest(least(pred * 1.2, hi), lo)), 6) AS clip_amount FROM p""")
@@ -70,7 +70,7 @@ def _(t: Tables):
     fit = ST.ols_multi(b, [], ["bx", "by"], "bh").withColumn("one", F.lit(1)).drop("n")
     trend = lambda x, y: F.col("beta0") + F.col("beta1") * F.col(x) + F.col("beta2") * F.col(y)
     res = b.join(F.broadcast(fit), "one").withColumn("r", F.col("bh") - trend("bx", "by")).select("bid", "bx", "by", "r")
-    nn = P.knn(S.sensor(t, "view", "a"), res, 12, 4000.0, "aid", "bid", ["bx", "by", "r"])
+    nn = P.knn(S.sensor(t, "view", "a"), res, 12, "aid", "bid", ["bx", "by", "r"])
     k = I.kriging(nn, "aid", (20000.0, 0.2, 0.02), z="r")
     q = S.sensor(t, "view", "a").withColumn("one", F.lit(1)).join(F.broadcast(fit), "one")
     return q.join(k, "aid").select("aid", r6(trend("ax", "ay") + F.col("pred")).alias("pred"), "fallback")

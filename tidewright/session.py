@@ -7,9 +7,11 @@ settings, so a test can force the large-data path on a small table.
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,10 @@ def setting(spark: SparkSession, key: str) -> int:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings the operators rely on: UTC clock, AQE with skew-join handling."""
+    """Runtime settings the operators rely on: UTC clock, AQE with skew-join handling.
+
+    Worker functions travel with the plan, so executors need no copy of this package."""
+    register_pickle_by_value(sys.modules[__package__])
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
