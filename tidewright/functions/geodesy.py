@@ -118,3 +118,18 @@ def setup_cm(u_along: Column) -> Column:
 
 def inverse_barometer_cm(p_before: Column, p_after: Column) -> Column:
     return -(p_after - p_before)
+
+
+def grid_cells(boxes, size: float, box_id: str):
+    """Cell centres on multiples of the cell size inside each box ``(w, s, e, n)``: one row per cell."""
+    span = lambda lo, hi: F.sequence(F.ceil(F.col(lo) / size), F.floor(F.col(hi) / size))
+    g = boxes.select(box_id, F.explode(span("s", "n")).alias("row"), "w", "e").select(box_id, "row", F.explode(span("w", "e")).alias("col"))
+    return g.select(box_id, "row", "col", (F.col("col") * size).alias("x"), (F.col("row") * size).alias("y"))
+
+
+def points_along(edges, step: float, edge_id: str):
+    """Points every ``step`` along each edge ``(x1, y1, x2, y2)``, its start included."""
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    p = edges.withColumn("len", length).where("len > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.col("len") / step).cast("int"))))
+    f = F.col("i") * step / F.col("len")
+    return p.select(edge_id, "i", (F.col("x1") + (F.col("x2") - F.col("x1")) * f).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * f).alias("y"))

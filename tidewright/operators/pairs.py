@@ -91,6 +91,21 @@ def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[k] for k in keys]
 
 
+def _digits(keys: Sequence[str], kind: str, shift: int):
+    """Histogram of the 16 bits at ``shift`` among the unit's values that share each wanted prefix."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        code = _to_ordered(_values(pdf, kind))
+        outs = []
+        for w in pdf["__r"].iloc[0]:
+            mine = code if shift == 48 else code[(code >> np.int64(shift + 16)) == np.int64(w["prefix"])]
+            digit, n = np.unique(mine >> np.int64(shift), return_counts=True)
+            outs.append(pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(n) for k in keys}, "tid": np.int32(w["tid"]), "digit": digit, "n": n}))
+        return pd.concat(outs, ignore_index=True)
+
+    return count
+
+
 def select_ranks(df: DataFrame, keys: Sequence[str], ranks: DataFrame, kind: str, chunk: int = CHUNK) -> DataFrame:
     """``ranks`` has ``keys, tid, rank`` (0-based); returns ``keys, tid, value``."""
     keys = list(keys)
@@ -119,17 +134,7 @@ def select_ranks(df: DataFrame, keys: Sequence[str], ranks: DataFrame, kind: str
         wanted = state.groupBy(*keys).agg(F.collect_list(F.struct("tid", "prefix")).alias("__r"))
         joined = units.join(broadcast_if_small(wanted), keys)
 
-        def count(pdf: pd.DataFrame, shift=shift, rnd=rnd) -> pd.DataFrame:
-            code = _to_ordered(_values(pdf, kind))
-            outs = []
-            for w in pdf["__r"].iloc[0]:
-                mine = code if rnd == 0 else code[(code >> np.int64(shift + 16)) == np.int64(w["prefix"])]
-                digit, n = np.unique(mine >> np.int64(shift), return_counts=True)
-                outs.append(pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(n) for k in keys},
-                                          "tid": np.int32(w["tid"]), "digit": digit, "n": n}))
-            return pd.concat(outs, ignore_index=True)
-
-        hist = _spread(joined, [*keys, "__u", "__v"]).groupBy(*keys, "__u", "__v").applyInPandas(count, schema)
+        hist = _spread(joined, [*keys, "__u", "__v"]).groupBy(*keys, "__u", "__v").applyInPandas(_digits(keys, kind, shift), schema)
         hist = hist.groupBy(*keys, "tid", "digit").agg(F.sum("n").alias("n"))
         w = W.partitionBy(*keys, "tid").orderBy("digit")            # at most 65,536 digits
         hist = hist.withColumn("cum", F.sum("n").over(w)).join(state.select(*keys, "tid", "rank"), [*keys, "tid"])

@@ -488,3 +488,13 @@ def _(t: Tables):
 def _(t: Tables):
     from ..functions.rng import mix
     return t.events.select("event_id", mix(7, F.col("event_id"), F.col("user_id")).alias("draw"))
+
+
+@query("udf_grid_and_spacing", "UDF-05 M11", """WITH b AS (SELECT s_suppkey AS id, s_suppkey * 37.0::DOUBLE AS w, s_nationkey * 11.0::DOUBLE AS s FROM supplier), g AS (SELECT id, CAST(unnest(range(CAST(ceil(s / 10) AS BIGINT), CAST(floor((s + 45) / 10) AS BIGINT) + 1)) AS BIGINT) AS row, w FROM b), c AS (SELECT id, row, CAST(unnest(range(CAST(ceil(w / 10) AS BIGINT), CAST(floor((w + 35) / 10) AS BIGINT) + 1)) AS BIGINT) AS col FROM g)
+ SELECT id, count(*) AS n_cells, CAST(sum(row * 1000 + col) AS BIGINT) AS cells, CAST(max(n_pts) AS BIGINT) AS n_pts FROM c JOIN (SELECT id, floor(sqrt(35.0 * 35 + 45 * 45) / 4) + 1 AS n_pts FROM b) USING (id) GROUP BY 1""")
+def _(t: Tables):
+    b = t.supplier.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 37.0).alias("w"), (F.col("s_nationkey") * 11.0).alias("s"))
+    b = b.withColumn("e", F.col("w") + 35).withColumn("n", F.col("s") + 45)
+    cells = G.grid_cells(b, 10.0, "id").groupBy("id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum(F.col("row") * 1000 + F.col("col")).alias("cells"))
+    pts = G.points_along(b.select("id", F.col("w").alias("x1"), F.col("s").alias("y1"), F.col("e").alias("x2"), F.col("n").alias("y2")), 4.0, "id").groupBy("id").agg(F.count(F.lit(1)).alias("n_pts"))
+    return cells.join(pts, "id")
