@@ -273,15 +273,14 @@ def _(t: Tables):
 
 
 def text_audit(t: Tables):
-    """Which published passages occur in which text.  Each passage is looked up by its rarest word (the words of a text
-    that contains it include that word), so the exact test runs only on texts that share it; no passage meets every text."""
+    """Which published passages occur in which text.  Each passage is looked up by its longest inner word (a text that
+    contains the passage has that word), so the exact test runs only on texts that share it; no passage meets every text."""
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-zà-ÿ]+)"), 1)
     doc = t.documents.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("w"))
     item = t.benchmark.select("item_id", F.col("text").alias("passage"), tokens("text").alias("ws"))
     # the outer words of a passage may be cut from longer ones in the text, so only inner words are keys
     inner = item.where(F.size("ws") >= 3).select("item_id", F.explode(F.slice("ws", F.lit(2), F.size("ws") - 2)).alias("w")).distinct()
-    df = doc.join(broadcast_if_small(inner.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    rare = inner.join(broadcast_if_small(df), "w", "left").groupBy("item_id").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
+    rare = inner.groupBy("item_id").agg(F.max_by("w", F.struct(F.length("w"), "w")).alias("w"))
     cand = doc.join(broadcast_if_small(rare), "w").select("item_id", "doc_id")
     full = cand.join(t.documents.select("doc_id", "text"), "doc_id").join(broadcast_if_small(item.drop("ws")), "item_id")
     hit = full.where(F.contains("text", "passage")).select("item_id", "doc_id")

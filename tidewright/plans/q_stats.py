@@ -23,10 +23,13 @@ REPS = 200
  count(DISTINCT (day, hr)) AS n_slots, arg_min(cm, (us, event_id)) AS first_cm, round(quantile_cont(cm, 0.05), 6) AS p05, round(median(cm), 6) AS p50, round(quantile_cont(cm, 0.95), 6) AS p95,
  round(quantile_cont(cm, 0.95) - quantile_cont(cm, 0.05), 6) AS range95, round(quantile_cont(cm, 0.75) - quantile_cont(cm, 0.25), 6) AS iqr FROM lv GROUP BY 1, 2""")
 def _(t: Tables):
-    g = B.summarise(S.levels(t), ["station", "event_type"], {
-        "n": F.count(F.lit(1)), "mean_cm": r6(F.avg("cm")), "min_cm": F.min("cm"), "max_cm": F.max("cm"), "n_days": F.count_distinct("day"),
-        "n_slots": F.count_distinct("day", "hr"), "first_cm": F.min_by("cm", F.struct("us", "event_id"))},
-        {"p05": ("cm", 0.05), "p25": ("cm", 0.25), "p50": ("cm", 0.5), "p75": ("cm", 0.75), "p95": ("cm", 0.95)})
+    k = ["station", "event_type"]
+    # distinct counts beside quantiles would copy every row per distinct list; distinct slots are few, so they go first
+    slots = S.levels(t).select(*k, "day", "hr").distinct().groupBy(*k, "day").agg(F.count(F.lit(1)).alias("s"))
+    slots = slots.groupBy(*k).agg(F.count(F.lit(1)).alias("n_days"), F.sum("s").alias("n_slots"))
+    g = B.summarise(S.levels(t), k, {
+        "n": F.count(F.lit(1)), "mean_cm": r6(F.avg("cm")), "min_cm": F.min("cm"), "max_cm": F.max("cm"), "first_cm": F.min_by("cm", F.struct("us", "event_id"))},
+        {"p05": ("cm", 0.05), "p25": ("cm", 0.25), "p50": ("cm", 0.5), "p75": ("cm", 0.75), "p95": ("cm", 0.95)}).join(broadcast_if_small(slots), k)
     return g.select("station", "event_type", "n", "mean_cm", "min_cm", "max_cm", "n_days", "n_slots", "first_cm", *[r6(F.col(c)).alias(c) for c in ("p05", "p50", "p95")],
                     r6(F.col("p95") - F.col("p05")).alias("range95"), r6(F.col("p75") - F.col("p25")).alias("iqr"))
 

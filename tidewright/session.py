@@ -38,6 +38,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # quantile maps of many small groups hash in memory; groups above the block size never reach that aggregate
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "8192")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     return spark
 
