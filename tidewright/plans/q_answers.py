@@ -88,7 +88,11 @@ def _(t: Tables):
         x = _crossings(p, r).select("n_nodes", "d", F.explode(F.array(F.lit(1), F.lit(2))).alias("min_nodes")).where("n_nodes >= min_nodes")
         g = B.summarise(x, ["min_nodes"], {"n": F.count(F.lit(1))}, {"med": ("d", 0.5)}).withColumn("radius", F.lit(r))
         out = g if out is None else out.unionByName(g)
-    return out.select("radius", "min_nodes", "n", r6(F.col("med")).alias("med"), (F.col("n") >= 20).cast("int").alias("gate"))
+    # a variant that finds nothing stays as a row with n = 0
+    rules = t.spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(r).alias("radius"), F.lit(m).alias("min_nodes")) for r in (1000, 2000, 3000) for m in (1, 2)])).alias("v")).select("v.*")
+    j = rules.join(broadcast_if_small(out), ["radius", "min_nodes"], "left")
+    n = F.coalesce("n", F.lit(0))
+    return j.select("radius", "min_nodes", n.alias("n"), F.coalesce(r6(F.col("med")), F.lit(-9.0)).alias("med"), (n >= 20).cast("int").alias("gate"))
 
 
 @query("q_validation_paths", "Q-06 M16", f"""WITH {S.LEVELS}, {S.DAILY}, a AS (SELECT station, day, median(m) AS h FROM lv WHERE event_type = 'view' GROUP BY 1, 2), e AS (SELECT 'V1' AS claim, station, day, h - cm / 100 AS d, CASE WHEN n < 5 THEN 'fewer than five readings' ELSE '' END AS reason FROM a JOIN dl USING (station, day)),
