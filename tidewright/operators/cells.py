@@ -142,7 +142,7 @@ def distance(field: DataFrame, is_target: str, keys: Sequence[str] = ()) -> Data
     """Exact Euclidean distance, in cells, of every grid cell to the nearest target cell.
 
     First pass: per column the nearest target above and below each cell, by ordered passes.  Second pass: along each
-    row the lower envelope of parabolas; a row travels as a whole to one task, and its width is the grid's width.
+    row the lower envelope of parabolas; a band of 64 rows travels to one task, and its width is the grid's width.
     """
     import numpy as np
     import pandas as pd
@@ -152,32 +152,35 @@ def distance(field: DataFrame, is_target: str, keys: Sequence[str] = ()) -> Data
     base = B.known(base, [*keys, "col"], ["row"], "__hit", "__up")
     base = B.known(base, [*keys, "col"], ["row"], "__hit", "__dn", forward=True)
     g = F.least(F.col("row") - F.col("__up"), F.col("__dn") - F.col("row")).cast("double")
-    base = base.select(*keys, "row", "col", g.alias("__g"))
+    base = base.select(*keys, "row", "col", g.alias("__g"), F.floor(F.col("row") / 64).alias("__band"))
     schema = T.StructType([base.schema[k] for k in [*keys, "row", "col"]] + [T.StructField("dist", T.DoubleType())])
 
-    def envelope(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("col")
-        c = pdf["col"].to_numpy(float)
-        f = pdf["__g"].to_numpy(float) ** 2
+    def envelope(c: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """Distance along one row from columns ``c`` and squared vertical distances ``f``."""
         keep = np.flatnonzero(np.isfinite(f))
         if not len(keep):
-            best = np.full(len(c), np.nan)
-        else:
-            hull, start = [keep[0]], [-np.inf]
-            for q in keep[1:]:
-                while True:
-                    p = hull[-1]
-                    s = ((f[q] + c[q] ** 2) - (f[p] + c[p] ** 2)) / (2 * (c[q] - c[p]))
-                    if s > start[-1]:
-                        break
-                    hull.pop(), start.pop()
-                hull.append(q)
-                start.append(s)
-            at = np.array(hull)[np.searchsorted(np.array(start), c, side="right") - 1]
-            best = np.sqrt((c - c[at]) ** 2 + f[at])
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, "row": pdf["row"], "col": pdf["col"], "dist": best})
-
-    return base.groupBy(*keys, "row").applyInPandas(envelope, schema)
+            return np.full(len(c), np.nan)
+        hull, start = [keep[0]], [-np.inf]
+        for q in keep[1:]:
+            while True:
+                p = hull[-1]
+                s = ((f[q] + c[q] ** 2) - (f[p] + c[p] ** 2)) / (2 * (c[q] - c[p]))
+                if s > start[-1]:
+                    break
+                hull.pop(), start.pop()
+            hull.append(q)
+            start.append(s)
+        at = np.array(hull)[np.searchsorted(np.array(start), c, side="right") - 1]
+        return np.sqrt((c - c[at]) ** 2 + f[at])
+
+    def band(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row", "col"])
+        row, c, f = pdf["row"].to_numpy(), pdf["col"].to_numpy(float), pdf["__g"].to_numpy(float) ** 2
+        cut = [0, *(np.flatnonzero(row[1:] != row[:-1]) + 1), len(row)]
+        dist = np.concatenate([envelope(c[a:b], f[a:b]) for a, b in zip(cut[:-1], cut[1:])])
+        return pdf[[*keys, "row", "col"]].assign(dist=dist)
+
+    return base.groupBy(*keys, "__band").applyInPandas(band, schema)
 
 
 def seamless(layers: Sequence[tuple[str, DataFrame, Column]], z: str) -> DataFrame:
