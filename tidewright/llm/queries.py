@@ -7,12 +7,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, sharding, url_filter, warc
+from .ann import nearest
 from .common import table
 from .decontaminate import decontaminate
 from .line_dedup import drop_repeated_lines
+from .order_minhash import classes
 from .sentencepiece import encode_decode
+from .toxicity import score, train
 
 PIECE_MODEL = "piece_bpe_32k.model"
+SHARDS = [f"shard-{k:03d}" for k in range(128)]
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels"), per_class=3000), carry=["doc_id"])
+    return scored.select("row.doc_id", "p_toxic", "expected_severity", "grade", "toxic")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,17 +32,48 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS).select("row.doc_id", "slot", "shard")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), carry=["doc_id"])
     return coded.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("id"))
+    return nearest(rows, queries, k=5).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents"), k=5, threshold=0.8).select(F.col("id").alias("doc_id"), "class_id", "n_rows")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judged_by_rules(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    model = url_filter.train(url_filter.rule_labels(judged))
+    return url_filter.filter_urls(judged, model).select("row.page_id", "host", "path", "rule", "verdict", "p_block")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.normalise(warc.write_archives(table(spark, sf_dir, "pages"), least_bytes=0))
+    return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), per_class=2000, pool=2000)
+    return quality.score(docs, model, carry=["doc_id"]).select("row.doc_id", "p_text", "p_metadata", "quality", "keep")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER.format('coalesce(text, {})').format(chr(39) * 2)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tokens import chunks
+
 SPACE = "▁"
 NO_PAIR = np.int32(2**31 - 1)
 CHUNK_CHARS = 2_000_000
@@ -308,19 +310,6 @@ def decode(v: Vocabulary, flat: np.ndarray, offsets: np.ndarray) -> list[str]:
     return out
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of a batch whose texts hold about ``most`` characters at most (or one text)."""
-    start, total, texts = 0, 0, batch.column(column).to_pylist()
-    for k, t in enumerate(texts):
-        n = len(t or "")
-        if k > start and total + n > most:
-            yield batch.slice(start, k - start), texts[start:k]
-            start, total = k, 0
-        total += n
-    if len(texts) > start:
-        yield batch.slice(start), texts[start:]
-
-
 def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", decoded: bool = True, carry: list[str] | None = None) -> DataFrame:
     """Columns: row (the input row or its ``carry`` columns), ids (array<int>, the end id last) and, if asked for, decoded."""
     v = load(model_path)
@@ -332,7 +321,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", deco
         voc = shared.value
         encoder = Encoder(voc)
         for batch in batches:
-            for part, texts in chunks(batch, "body"):
+            for part, texts in chunks(batch, "body", CHUNK_CHARS):
                 flat, offsets = encoder.encode(texts)
                 columns = {"row": part.column("row"), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))}
                 if decoded:
