@@ -36,9 +36,11 @@ def text_key(text: Column) -> Column:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table below the shared checkpoint folder and read it back: lineage ends at files every executor sees."""
+    """Write a table below the shared checkpoint folder and read it back: lineage ends at files every executor sees.
+
+    Zstandard frees its buffers with each page; Snappy's direct buffers wait for a collection and pile up over many small files."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
