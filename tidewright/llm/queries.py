@@ -21,6 +21,10 @@ SHARDS = [f"shard-{k:03d}" for k in range(128)]
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
+def piece_model() -> str:
+    return public_tokenizers.path(PIECE_MODEL)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels"), per_class=3000), carry=["doc_id"])
@@ -37,7 +41,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL), carry=["doc_id"])
+    coded = encode_decode(table(spark, sf_dir, "documents"), piece_model(), carry=["doc_id"])
     return coded.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

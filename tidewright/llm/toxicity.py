@@ -90,15 +90,16 @@ def severity_grades(y: np.ndarray, sets: list[np.ndarray], markers: np.ndarray)
     return np.where(y, 1 + (n > np.median(n[y])), 0) if y.any() else np.zeros(y.size, int)
 
 
-def fit(grades: np.ndarray, sets: list[np.ndarray], names: np.ndarray, l2: float = 1e-3, steps: int = 600, rate: float = 0.1) -> Ordinal:
-    """Full-batch Adam on the cumulative-link likelihood; thresholds are a first one and positive steps."""
+def fit(grades: np.ndarray, sets: list[np.ndarray], names: np.ndarray, toxic_share: float = 0.5, l2: float = 1e-5, steps: int = 600, rate: float = 0.1) -> Ordinal:
+    """Full-batch Adam on the cumulative-link likelihood; thresholds are a first one and positive steps.
+
+    The rows of grades above 0 weigh ``toxic_share`` together, however the sample was drawn."""
     cuts = max(int(grades.max(initial=0)), 1)
     if not names.size:
         return Ordinal(names, np.zeros(0), 20.0 + np.arange(cuts))
     hits = [np.searchsorted(names, np.intersect1d(s, names, assume_unique=True)) for s in sets]
     row, col = np.repeat(np.arange(len(hits)), [h.size for h in hits]), np.concatenate(hits)
-    share = np.bincount(grades, minlength=cuts + 1)[grades]
-    weight = 1 / share / (cuts + 1)  # each grade weighs the same
+    weight = np.where(grades > 0, toxic_share / max((grades > 0).sum(), 1), (1 - toxic_share) / max((grades == 0).sum(), 1))
     p = np.concatenate([np.zeros(names.size), [0.0], np.zeros(cuts - 1)])
     m = v = np.zeros(p.size)
     sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -40, 40)))
@@ -124,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, id_col: str
           least_z: float = 5.0, least_n: int = 5) -> Ordinal:
     y, sets = labelled_features(docs, labels, per_class, id_col, text_col, label_col)
     names = screen(y, sets, least_z, least_n)
-    return fit(severity_grades(y, sets, names), sets, names)
+    n = labels.agg(F.count_if(F.col(label_col) > 0).alias("toxic"), F.count(label_col).alias("all")).first()
+    return fit(severity_grades(y, sets, names), sets, names, (n["toxic"] + 1) / (n["all"] + 2))
 
 
 def linear_scores(model: Ordinal, texts: list[str | None]) -> np.ndarray:
