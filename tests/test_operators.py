@@ -43,7 +43,7 @@ def test_nan_is_missing(spark):
 def test_best_link(spark):
     sch = T.StructType([T.StructField("id", T.IntegerType()), RD.ENTRY_SCHEMA["links"]])
     d = spark.createDataFrame([(1, [("https://h/a.log", "data#"), ("https://h/a.nc", "x/data#"), ("https://h/a.zip", "x/data#")]), (2, [("http://h/a.nc", "data#")]), (3, None)], sch)
-    assert {r.id: r.download_url for r in RD.best_link(d, "id").collect()} == {1: "https://h/a.nc", 2: None, 3: None}
+    assert {r.id: r.download_url for r in RD.best_link(d, "id", ("opendap",)).collect()} == {1: "https://h/a.nc", 2: None, 3: None}
 
 
 @pytest.mark.parametrize("start,title,want", [("2023-04-01T00:00", "x", ("2023", "04")), (None, "a_20230615T1_b", ("2023", "06")), (None, "a_20231799_20240102", ("2024", "01")), (None, "none", ("unknown", "unknown"))])

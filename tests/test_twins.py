@@ -23,7 +23,8 @@ def test_query(spark, con, name):
     if q.sql:
         assert twin.compare(df, con.execute(q.sql)) == ""
     else:
-        assert df.count() > 0
+        got = df.toPandas()  # every column is computed, which a count would prune
+        assert len(got) and not got.isna().all(axis=None)
 
 
 def test_inventory_is_covered():

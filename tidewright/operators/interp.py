@@ -31,31 +31,41 @@ def spherical(h: np.ndarray, rng: float, sill: float, nugget: float) -> np.ndarr
     return np.where(h == 0, 0.0, nugget + (sill - nugget) * t * (1.5 - 0.5 * t * t))
 
 
-def solve_kriging(dq: np.ndarray, xy: np.ndarray, z: np.ndarray, err: np.ndarray, vg: tuple[float, float, float]):
-    """Ordinary kriging of stacked neighbourhoods: distances to the target ``dq (n,k)``, positions ``(n,k,2)``, values and
-    error variances ``(n,k)``.  Error variance enters the semivariogram diagonal with a minus sign."""
-    rng, sill, nug = vg
-    nug = max(nug, NUGGET_FLOOR * sill)
-    n, k = z.shape
-    gap = np.sqrt(((xy[:, :, None, :] - xy[:, None, :, :]) ** 2).sum(-1))
-    a = np.ones((n, k + 1, k + 1))
-    a[:, k, k] = 0.0
-    a[:, :k, :k] = spherical(gap, rng, sill, nug)
-    i = np.arange(k)
-    a[:, i, i] += DIAGONAL * sill - err
-    b = np.ones((n, k + 1, 1))
-    b[:, :k, 0] = spherical(dq, rng, sill, nug)
+def _whitened(c: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """C^-1 right for stacked symmetric matrices; a matrix that has no inverse gives NaN for itself only."""
     try:
-        s = np.linalg.solve(a, b)
+        return np.linalg.solve(c, right)
     except np.linalg.LinAlgError:
-        s = np.full((n, k + 1, 1), np.nan)
-    w = s[:, :k, 0]
-    pred = (w * z).sum(1)
-    var = (s[:, :, 0] * b[:, :, 0]).sum(1)
-    bad = ~np.isfinite(pred) | (np.abs(w).max(1) > MAX_WEIGHT)
-    iw = 1 / np.maximum(dq, 1.0) ** 2
-    pred = np.where(bad, (iw * z).sum(1) / iw.sum(1), pred)
-    return pred, np.where(bad, np.nan, np.maximum(var, 0.0)), bad
+        out = np.full(right.shape, np.nan)
+        for i in range(len(c)):
+            if np.linalg.matrix_rank(c[i]) == c.shape[-1]:
+                out[i] = np.linalg.solve(c[i], right[i])
+        return out
+
+
+def solve_kriging(dq: np.ndarray, xy: np.ndarray, z: np.ndarray, err: np.ndarray, vg: tuple[float, float, float], max_weight: float = MAX_WEIGHT):
+    """Ordinary kriging of stacked neighbourhoods in covariance form: distances to the target ``dq (n,k)``, positions ``(n,k,2)``, values and
+    error variances ``(n,k)``.
+
+    With C the covariance of the observations (error variance added to its diagonal) and c that with the target, the weights are
+    C^-1 (c + m 1), where m makes them add up to one; the variance is sill - w.c + m.  Both solves share one factorisation."""
+    rng, sill, nug = vg
+    nug = max(nug, NUGGET_FLOOR * sill)
+    covariance = lambda h: sill - spherical(h, rng, sill, nug)
+    gap = np.linalg.norm(xy[:, :, None] - xy[:, None], axis=-1)
+    own = np.eye(z.shape[1])
+    c_all = covariance(gap) + own * (err - DIAGONAL * sill)[:, None, :]
+    c_target = covariance(dq)
+    solved = _whitened(c_all, np.stack([c_target, np.ones_like(c_target)], -1))
+    by_target, by_one = solved[..., 0], solved[..., 1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m = (1 - by_target.sum(1)) / by_one.sum(1)
+    w = by_target + m[:, None] * by_one
+    usable = np.isfinite(w).all(1) & (np.abs(np.nan_to_num(w)).max(1) <= max_weight)
+    near = np.maximum(dq, 1.0) ** -2.0
+    plain = np.average(z, axis=1, weights=near) if z.shape[0] == 1 else (near * z).sum(1) / near.sum(1)
+    variance = np.maximum(sill - (w * c_target).sum(1) - m, 0.0)
+    return np.where(usable, (np.nan_to_num(w) * z).sum(1), plain), np.where(usable, variance, np.nan), ~usable
 
 
 def kriging(nn: DataFrame, qid: str, vg: tuple[float, float, float], z: str = "z", err: str | None = None) -> DataFrame:

@@ -323,7 +323,7 @@ def _line(t: Tables, level: float, tag: str):
     s = C.crossings(field(t), "z", level)
     return s.select((F.col("row") * WIDTH + F.col("col")).alias("k"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"),
                     F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")).alias("len")).withColumn(
-        tag, F.xxhash64("k", "x", "y"))
+        tag, F.struct("k", "x", "y"))
 
 
 @query("ras_boundary_distance", "RAS-31", None)
@@ -350,8 +350,8 @@ def _(t: Tables):
     late = c.where("year > 1997").groupBy("row", "col").agg(F.avg("qty").alias("z"))
     v = C.crossings(early, "z", 25.3).select(((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), (F.col("y1") - F.col("y2")).alias("nx"), (F.col("x2") - F.col("x1")).alias("ny"))
     n = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny"))
-    v = cut_lineage(v.where(n > 0).withColumn("ux", F.col("nx") / n).withColumn("uy", F.col("ny") / n).withColumn("vid", F.xxhash64("x", "y", "ux", "uy")).dropDuplicates(["vid"]))
-    s = v.withColumn("k", F.explode(F.sequence(F.lit(-8), F.lit(8)))).withColumn("sid", F.col("vid") * 31 + F.col("k"))
+    v = cut_lineage(v.where(n > 0).withColumn("ux", F.col("nx") / n).withColumn("uy", F.col("ny") / n).withColumn("vid", F.struct("x", "y", "ux", "uy")).dropDuplicates(["x", "y", "ux", "uy"]))
+    s = v.withColumn("k", F.explode(F.sequence(F.lit(-8), F.lit(8)))).withColumn("sid", F.struct("vid", "k"))
     s = s.withColumn("ax", F.col("x") + F.col("ux") * F.col("k") / 4 + 0.5).withColumn("ay", F.col("y") + F.col("uy") * F.col("k") / 4 + 0.5)
     _, box = frame_of(t)
     z = P.grid_bilinear(s.select("sid", "vid", "k", "ax", "ay"), late, "sid", 1.0, box[1] + 1, 10, "z").withColumn("f", F.col("sample") - 25.3)

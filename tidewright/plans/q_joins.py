@@ -267,12 +267,12 @@ def _(t: Tables):
     return s.select("aid", F.coalesce(r6(F.col("sample")), F.lit(-1.0)).alias("z"))
 
 
-@query("jon_profile_lookup", "JON-24 JON-25", f"""WITH {S.LEVELS}, k AS (SELECT p_partkey * 1.7::DOUBLE AS c, CAST(p_size AS DOUBLE) AS z FROM part WHERE p_partkey BETWEEN 10 AND 120), q AS (SELECT event_id, (event_id % 2400) / 10 AS s FROM lv),
+@query("jon_profile_lookup", "JON-24 JON-25", f"""WITH {S.LEVELS}, k AS (SELECT p_partkey * 1.7::DOUBLE AS c, CAST(p_size AS DOUBLE) AS z FROM part), q AS (SELECT event_id, (event_id % 2400) / 10 AS s FROM lv),
  b AS (SELECT q.event_id, c AS bc, z AS bz FROM q ASOF LEFT JOIN k ON q.s >= k.c), a AS (SELECT q.event_id, c AS ac, z AS az FROM q ASOF LEFT JOIN k ON q.s <= k.c)
  SELECT event_id, CASE WHEN bc IS NULL OR ac IS NULL THEN 1 ELSE 0 END AS extrapolated, round(coalesce(CASE WHEN ac = bc THEN bz ELSE bz + (az - bz) * (s - bc) / (ac - bc) END, bz, az), 5) AS h,
  coalesce(round(CASE WHEN ac = bc THEN bz ELSE bz + (az - bz) * (s - bc) / (ac - bc) END, 5), -1.0) AS inside_only FROM q JOIN b USING (event_id) JOIN a USING (event_id)""")
 def _(t: Tables):
-    k = t.part.where("p_partkey between 10 and 120").select((F.col("p_partkey") * 1.7).alias("c"), F.col("p_size").cast("double").alias("z"))
+    k = t.part.select((F.col("p_partkey") * 1.7).alias("c"), F.col("p_size").cast("double").alias("z"))
     q = S.levels(t).select("event_id", (F.col("event_id") % 2400 / 10).alias("s"))
     br = T.bracket(q, k, [], "s", "c", "z", "event_id")
     j = T.flat_linear(br, "s", "h")
@@ -315,7 +315,7 @@ def _(t: Tables):
 
 
 @query("jon_axis_crosswalk", "JON-32", f"""WITH {S.LEVELS}, q AS (SELECT DISTINCT user_id AS pid, user_id * 1.3::DOUBLE AS s FROM events), ex AS (SELECT user_id AS pid, CAST(min(event_id) AS DOUBLE) AS c FROM events WHERE user_id % 5 = 0 GROUP BY 1),
- ga AS (SELECT n_nationkey * 6 AS pid, n_nationkey * 8.0::DOUBLE AS c, n_nationkey % 4 AS off FROM nation), k AS (SELECT p_partkey * 2.0::DOUBLE AS s, CAST(p_size AS DOUBLE) AS c FROM part WHERE p_partkey < 90),
+ ga AS (SELECT n_nationkey * 6 AS pid, n_nationkey * 8.0::DOUBLE AS c, n_nationkey % 4 AS off FROM nation), k AS (SELECT p_partkey * 2.0::DOUBLE AS s, CAST(p_size AS DOUBLE) AS c FROM part),
  b AS (SELECT q.pid, k.s AS bs, k.c AS bc FROM q ASOF LEFT JOIN k ON q.s >= k.s), a AS (SELECT q.pid, k.s AS as_, k.c AS ac FROM q ASOF LEFT JOIN k ON q.s <= k.s)
  SELECT q.pid, CASE WHEN ex.c IS NOT NULL THEN 'exact' WHEN ga.off <= 1 THEN 'gauge' WHEN bs IS NOT NULL AND as_ IS NOT NULL THEN 'interpolated' ELSE 'none' END AS method,
  coalesce(round(CASE WHEN ex.c IS NOT NULL THEN ex.c WHEN ga.off <= 1 THEN ga.c WHEN as_ = bs THEN bc ELSE bc + (ac - bc) * (q.s - bs) / (as_ - bs) END, 5), -1.0) AS chain, CASE WHEN ex.c IS NOT NULL THEN 0.0::DOUBLE WHEN ga.off <= 1 THEN 0.5 + ga.off ELSE 2.0 END AS sigma
@@ -324,7 +324,7 @@ def _(t: Tables):
     q = t.events.select(F.col("user_id").alias("pid")).distinct().withColumn("s", F.col("pid") * 1.3)
     ex = t.events.where("user_id % 5 = 0").groupBy(F.col("user_id").alias("pid")).agg(F.min("event_id").cast("double").alias("xc"))
     ga = t.nation.select((F.col("n_nationkey") * 6).cast("long").alias("pid"), (F.col("n_nationkey") * 8.0).alias("gc"), (F.col("n_nationkey") % 4).alias("off"))
-    k = t.part.where("p_partkey < 90").select((F.col("p_partkey") * 2.0).alias("s"), F.col("p_size").cast("double").alias("c"))
+    k = t.part.select((F.col("p_partkey") * 2.0).alias("s"), F.col("p_size").cast("double").alias("c"))
     d = T.linear(T.bracket(q, k, [], "s", "s", "c", "pid"), "s", "lin").join(ex, "pid", "left").join(broadcast_if_small(ga), "pid", "left")
     pick = lambda m, c, s: F.struct(F.lit(m).alias("method"), c.alias("chain"), s.cast("double").alias("sigma"))
     got = F.coalesce(F.when(F.col("xc").isNotNull(), pick("exact", F.col("xc"), F.lit(0.0))), F.when(F.col("off") <= 1, pick("gauge", F.col("gc"), 0.5 + F.col("off"))),

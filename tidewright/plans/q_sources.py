@@ -34,6 +34,10 @@ def _(t: Tables):
     return R.scan_csv(t.spark, p, sch, ("stat_type", "daily")).select("station", F.date_format("day", "yyyy-MM-dd").alias("d"), "cm")
 
 
+#: Words of links that this query's configuration refuses; the third is in capitals and so meets no lower-cased link.
+REFUSED = ("opendap", "mirror.example.org/old", "CITING")
+
+
 def _pages(t: Tables):
     """Catalogue answers: one JSON document per ten orders, links of several kinds per entry."""
     k = F.col("o_orderkey").cast("string")
@@ -41,13 +45,15 @@ def _pages(t: Tables):
     base = F.concat(F.lit("https://data.example.org/"), k)
     links = F.array(link(F.concat(base, F.lit(".log")), F.lit("http://x/data#")), link(F.concat(base, F.lit(".zip?x=1")), F.when(F.col("o_custkey") % 2 == 0, "http://x/data#").otherwise("http://x/browse#")),
                     link(F.when(F.col("o_custkey") % 3 == 0, F.concat(base, F.lit(".NC"))).otherwise(F.concat(F.lit("http://plain/"), k, F.lit(".nc"))), F.when(F.col("o_custkey") % 5 == 0, "http://x/data#").otherwise("x")),
-                    link(F.concat(F.lit("https://data.example.org/opendap/"), k, F.lit(".nc")), F.lit("http://x/data#")))
+                    link(F.concat(F.lit("https://data.example.org/opendap/"), k, F.lit(".nc")), F.lit("http://x/data#")),
+                    link(F.concat(F.lit("https://Mirror.example.org/OLD/"), k, F.lit(".nc4")), F.lit("http://x/data#")),
+                    link(F.when(F.col("o_custkey") % 11 == 0, F.concat(F.lit("https://data.example.org/citing/"), k, F.lit(".nc4"))).otherwise(F.lit("ftp://x")), F.lit("http://x/data#")))
     e = F.struct(F.concat(F.lit("G_20"), F.date_format("o_orderdate", "yyMMdd"), F.lit("T1_"), k).alias("title"), k.alias("producer_granule_id"),
                  F.when(F.col("o_orderkey") % 4 > 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'")).alias("time_start"), F.when(F.col("o_custkey") % 7 > 0, links).alias("links"))
     return t.orders.groupBy(F.floor(F.col("o_orderkey") / 10).alias("page")).agg(F.to_json(F.struct(F.struct(F.collect_list(e).alias("entry")).alias("feed"))).alias("doc"))
 
 
-_URL = """CASE WHEN o_custkey % 7 = 0 THEN '' WHEN o_custkey % 3 = 0 AND o_custkey % 5 = 0 THEN 'https://data.example.org/' || o_orderkey || '.NC' WHEN o_custkey % 2 = 0 THEN 'https://data.example.org/' || o_orderkey || '.zip?x=1'
+_URL = """CASE WHEN o_custkey % 7 = 0 THEN '' WHEN o_custkey % 11 = 0 AND NOT (o_custkey % 3 = 0 AND o_custkey % 5 = 0) THEN 'https://data.example.org/citing/' || o_orderkey || '.nc4' WHEN o_custkey % 3 = 0 AND o_custkey % 5 = 0 THEN 'https://data.example.org/' || o_orderkey || '.NC' WHEN o_custkey % 2 = 0 THEN 'https://data.example.org/' || o_orderkey || '.zip?x=1'
  WHEN o_custkey % 3 = 0 THEN 'https://data.example.org/' || o_orderkey || '.NC' ELSE 'https://data.example.org/' || o_orderkey || '.zip?x=1' END"""
 
 
@@ -56,7 +62,7 @@ def _(t: Tables):
     docs = _pages(t).select(F.from_json("doc", R.PAGE_SCHEMA).alias("p")).select("p.*")
     e = R.explode_pages(docs)
     y, m = X.year_month(F.col("time_start"), F.col("title"))
-    u = R.best_link(e, "producer_granule_id")
+    u = R.best_link(e, "producer_granule_id", REFUSED)
     return e.select("producer_granule_id", y.alias("yr"), m.alias("mo")).join(u, "producer_granule_id").select(F.col("producer_granule_id").alias("gid"), F.coalesce("download_url", F.lit("")).alias("url"), "yr", "mo")
 
 

@@ -53,10 +53,10 @@ def _(t: Tables):
 
 
 def _axis_nodes(t: Tables):
-    return S.axis(t).where("node_id < 1000")
+    return S.axis(t)
 
 
-@query("int_channel_coordinates", "INT-06 CV-02", f"""WITH {S.LEVELS}, {S.SENSORS}, {S.AXIS}, tn AS (SELECT *, coalesce(lead(bx) OVER w, bx) - coalesce(lag(bx) OVER w, bx) AS tx, coalesce(lead(by_) OVER w, by_) - coalesce(lag(by_) OVER w, by_) AS ty FROM ax WHERE node_id < 1000 WINDOW w AS (ORDER BY chain)), d AS (SELECT aid, ax, ay, tn.*, sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)) AS dist FROM sa, tn),
+@query("int_channel_coordinates", "INT-06 CV-02", f"""WITH {S.LEVELS}, {S.SENSORS}, {S.AXIS}, tn AS (SELECT *, coalesce(lead(bx) OVER w, bx) - coalesce(lag(bx) OVER w, bx) AS tx, coalesce(lead(by_) OVER w, by_) - coalesce(lag(by_) OVER w, by_) AS ty FROM ax WINDOW w AS (ORDER BY chain)), d AS (SELECT aid, ax, ay, tn.*, sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)) AS dist FROM sa, tn),
  b AS (SELECT aid, ax, ay, arg_min(chain, (dist, node_id)) AS s, arg_min(bx, (dist, node_id)) AS bx, arg_min(by_, (dist, node_id)) AS by_, arg_min(tx, (dist, node_id)) AS tx, arg_min(ty, (dist, node_id)) AS ty, min(dist) AS dist FROM d WHERE dist <= 8000 GROUP BY 1, 2, 3)
  SELECT aid, s, round(dist * CASE WHEN tx * (ay - by_) - ty * (ax - bx) < 0 THEN -1 ELSE 1 END, 5) AS off_m, round(dist * CASE WHEN tx * (ay - by_) - ty * (ax - bx) < 0 THEN -1 ELSE 1 END * 3.0, 5) AS off_scaled FROM b""")
 def _(t: Tables):

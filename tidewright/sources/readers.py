@@ -49,10 +49,10 @@ def explode_pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode("feed.entry").alias("e")).select("e.*")
 
 
-def best_link(entries: DataFrame, key: str) -> DataFrame:
-    """Highest positive link score per entry, first one on ties; entries without a data link keep NULL."""
+def best_link(entries: DataFrame, key: str, refused: Sequence[str]) -> DataFrame:
+    """Highest positive link score per entry, first one on ties; entries without a data link keep NULL.  ``refused``: words that rule a link out."""
     e = entries.select(key, F.posexplode_outer("links").alias("i", "l"))
-    s = e.withColumn("score", F.when(F.col("l").isNotNull(), X.link_score(F.col("l.href"), F.col("l.rel"))))
+    s = e.withColumn("score", F.when(F.col("l").isNotNull(), X.link_score(F.col("l.href"), F.col("l.rel"), refused)))
     good = F.when(F.col("score") > 0, F.struct("score", -F.col("i")))
     return s.groupBy(key).agg(F.max_by("l.href", good).alias("download_url"))
 
