@@ -24,7 +24,17 @@ def test_blocks_are_used(spark, large_path):
     _, df = frame(spark)
     got, many = B.with_blocks(df, ["t", "id"])
     assert many
-    assert got.groupBy("k", B.BLK).count().agg({"count": "max"}).first()[0] <= 1200
+    assert got.groupBy(B.BLK).count().agg({"count": "max"}).first()[0] <= 600  # twice the limit
+
+
+def test_blocks_of_one_instant_and_of_strings(spark, large_path):
+    df = spark.range(3000).selectExpr("id", "1.0 AS t", "concat('s', id % 997) AS name", "id % 3 AS k")
+    for order in (["t", "id"], ["name", "id"]):
+        got, many = B.with_blocks(df, order)
+        assert many and got.groupBy(B.BLK).count().agg({"count": "max"}).first()[0] <= 600
+    pos = B.row_position(df, ["k"], ["name", "id"], "pos").toPandas()
+    want = pos.sort_values(["k", "name", "id"]).groupby("k").cumcount() + 1
+    assert (pos["pos"] == want).all()
 
 
 def test_position_sum_neighbour(spark, large_path):

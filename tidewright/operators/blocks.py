@@ -1,70 +1,38 @@
 """Ordered operators that stay bounded when one key holds a large share of all rows.
 
 A plain ``partitionBy(key)`` window sends every row of a key to one task.  Here a table above the size limit is
-first cut into value blocks along the ordering column.  The cut points are quantiles of the *whole* table, so a
-block holds about ``tidewright.block.rows`` rows no matter how the keys are skewed; windows then run inside
+first cut into blocks along the ordering columns by a range shuffle of the *whole* table, so a block holds about
+``tidewright.block.rows`` rows no matter how the keys are skewed and however large the table is; windows then run inside
 ``(key, block)`` and a block summary (a few rows per key) carries ranks, sums or last values across blocks.
-Values that repeat so often that they fill whole blocks get a block of their own, cut again by the second
-ordering column.
+All ordering columns, of any type, take part in the cut, so an instant that many rows share is cut by the next column; only rows
+equal in all of them stay together.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import BLOCK_ROWS_KEY, broadcast_if_small, is_bounded, setting
+from ..session import BLOCK_ROWS_KEY, broadcast_if_small, cut_lineage, is_bounded, setting
 
 BLK = "__blk"
-_MAX_BLOCKS = 4096
-
-
-def _numeric(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes)[name]
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(F.col(name)).cast("double")
-    return F.col(name).cast("double")
-
-
-def _bucket(df: DataFrame, value: Column, splits: Sequence[float], out: str) -> DataFrame:
-    tmp = out + "_x"
-    edges = [-math.inf, *splits, math.inf]
-    df = df.withColumn(tmp, F.coalesce(value, F.lit(-math.inf)))
-    df = Bucketizer(splits=edges, inputCol=tmp, outputCol=out, handleInvalid="keep").transform(df)
-    return df.withColumn(out, F.col(out).cast("long")).drop(tmp)
 
 
 def with_blocks(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool]:
-    """Add the block column; returns the frame and whether more than one block exists."""
+    """Add the block column, which grows along ``order``; returns the frame and whether more than one block exists.
+
+    The cut points are sampled anew by every run of a range shuffle, so the blocks are kept by a reliable checkpoint."""
     if is_bounded(df):
         return df, False
     limit = setting(df.sparkSession, BLOCK_ROWS_KEY)
-    first = _numeric(df, order[0])
-    second = _numeric(df, order[1]) if len(order) > 1 and dict(df.dtypes)[order[1]] != "string" else None
-    probs = [i / 1024 for i in range(1, 1024)]
-    picks = [F.count(F.lit(1)).alias("n"), F.percentile_approx(first, probs, 20000).alias("a")]
-    if second is not None:
-        picks.append(F.percentile_approx(second, probs, 20000).alias("b"))
-    row = df.agg(*picks).first()
-    if row.n <= limit:
+    n = df.count()
+    if n <= limit:
         return df, False
-    want = min(_MAX_BLOCKS, 1024, math.ceil(row.n / limit))
-    raw = [float(v) for v in row.a]
-    hot = sorted({v for v in raw if raw.count(v) > max(1, 1024 // want)})
-    step = max(1, 1024 // want)
-    edges = set(raw[step - 1::step]) | set(hot) | {math.nextafter(v, math.inf) for v in hot}
-    df = _bucket(df, first, sorted(e for e in edges if math.isfinite(e)), BLK)
-    if hot and second is not None:
-        df = _bucket(df, second, sorted(set(float(v) for v in row.b)), BLK + "2")
-        df = df.withColumn(BLK, F.col(BLK) * 4096 + F.when(first.isin(hot), F.col(BLK + "2")).otherwise(0))
-        df = df.drop(BLK + "2")
-    return df, True
+    cut = df.repartitionByRange(math.ceil(n / limit), *_order(order)).withColumn(BLK, F.spark_partition_id().cast("long"))
+    return cut_lineage(cut), True
 
 
 def _order(order: Sequence[str], desc: bool = False) -> list[Column]:
