@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from . import spatial as S
 
-MAX_WEIGHT = 1.5         # a larger absolute weight falls back to inverse distance
+MAX_WEIGHT = 5.0         # fixed value: a larger absolute weight falls back to inverse distance
+NEIGHBOURS = 32          # fixed value: neighbourhood of a local solve
 NUGGET_FLOOR = 0.01      # fixed value: nugget is at least this share of the sill
 DIAGONAL = 1e-8          # fixed value: diagonal stabiliser, share of the sill
 
@@ -118,6 +119,12 @@ def channel_xy(points: DataFrame, axis: DataFrame, point_id: str, cap: float, an
     return near.select(*points.columns, F.col("chain").alias("s"), off.alias("offset"), (off * aniso).alias("offset_scaled"))
 
 
+def variogram_bins(nn: DataFrame, a: str, b: str, width: float) -> DataFrame:
+    """Semivariance by lag bin ``lag, gamma, n`` from a table of near pairs with ``dist``; its size follows the rows, not their square."""
+    d = F.col(a) - F.col(b)
+    return nn.groupBy((F.floor(F.col("dist") / width) * width + width / 2).alias("lag")).agg((F.avg(d * d) / 2).alias("gamma"), F.count(F.lit(1)).alias("n"))
+
+
 def variogram_fit(bins: DataFrame, ranges: list[float]) -> DataFrame:
     """Range of a spherical model by grid search over a bin table ``lag, gamma, n``: sill and nugget fixed to the bins'
     extremes, weighted squared error per trial, smallest wins."""

@@ -131,7 +131,8 @@ def _(t: Tables):
 @query("src_file_inventory", "SRC-16 AGG-51 SNK-04", None)
 def _(t: Tables):
     p = work_path(t.spark, "inventory")
-    t.documents.select(F.col("text").alias("value"), "lang").repartition("lang").write.partitionBy("lang").text(p)
+    # a language's texts are dealt over several files, so that the largest one is not a single task's
+    t.documents.select(F.col("text").alias("value"), "lang", "doc_id").repartition("lang", F.pmod(F.xxhash64("doc_id"), F.lit(8))).drop("doc_id").write.partitionBy("lang").text(p)
     inv = R.inventory(t.spark, p, {"lang=en": "english", "lang=": "other_language"}, 64 * 1024 * 1024)
     return inv.select("family", "length", F.length("sha").alias("hash_digits")).where("length > 0")
 

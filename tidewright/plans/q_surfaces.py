@@ -26,6 +26,15 @@ def neighbours(t: Tables, k: int = 8):
     return P.knn(a, b, k, "aid", "bid", ["bx", "by", "bh"]).withColumnRenamed("bh", "z")
 
 
+def fitted(t: Tables) -> tuple[float, float, float]:
+    """Range, sill and nugget of the levels, from each sounding's nearest others."""
+    b = S.sensor(t, "click", "b")
+    a = b.select(F.col("bid").alias("aid"), F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("bh").alias("ah"))
+    near = P.knn(a, b, 8, "aid", "bid", ["bh"]).where("aid <> bid").join(a.select("aid", "ah"), "aid")
+    v = I.variogram_fit(I.variogram_bins(near, "ah", "bh", 500.0), [2000.0, 5000.0, 10000.0, 20000.0, 40000.0]).first()
+    return (v["rng"], v["sill"], v["nugget"])
+
+
 @query("int_inverse_distance", "INT-01 INT-04", f"""WITH {S.LEVELS}, {S.SENSORS}, {_NN}, p AS (SELECT aid, sum(bh / power(greatest(dist, 1), 2)) / sum(1 / power(greatest(dist, 1), 2)) AS pred, min(bh) AS lo, max(bh) AS hi FROM nn GROUP BY 1) SELECT aid, round(pred, 6) AS pred, round(greatest(least(pred * 1.2, hi), lo), 6) AS clipped, round(abs(pred * 1.2 - greatest(least(pred * 1.2, hi), lo)), 6) AS clip_amount FROM p""")
 def _(t: Tables):
     p = I.idw(neighbours(t), "aid", "z").withColumn("scaled", F.col("pred") * 1.2)
@@ -34,14 +43,14 @@ def _(t: Tables):
 
 @query("int_kriging", "INT-02 UDF-04", None)
 def _(t: Tables):
-    g = I.kriging(neighbours(t, 12), "aid", (20000.0, 0.2, 0.02))
+    g = I.kriging(neighbours(t, I.NEIGHBOURS), "aid", fitted(t))
     return g.select("aid", r6(F.col("pred")).alias("pred"), r6(F.col("variance")).alias("variance"), "fallback")
 
 
 @query("int_soft_kriging", "INT-03", None)
 def _(t: Tables):
-    n = neighbours(t, 12).withColumn("e", (F.col("bid") % 5) / 100)
-    g = I.kriging(n, "aid", (20000.0, 0.2, 0.02), err="e")
+    n = neighbours(t, I.NEIGHBOURS).withColumn("e", (F.col("bid") % 5) / 100)
+    g = I.kriging(n, "aid", fitted(t), err="e")
     return g.select("aid", r6(F.col("pred")).alias("pred"), r6(F.col("variance")).alias("variance"), "fallback")
 
 
@@ -70,8 +79,8 @@ def _(t: Tables):
     fit = ST.ols_multi(b, [], ["bx", "by"], "bh").withColumn("one", F.lit(1)).drop("n")
     trend = lambda x, y: F.col("beta0") + F.col("beta1") * F.col(x) + F.col("beta2") * F.col(y)
     res = b.join(F.broadcast(fit), "one").withColumn("r", F.col("bh") - trend("bx", "by")).select("bid", "bx", "by", "r")
-    nn = P.knn(S.sensor(t, "view", "a"), res, 12, "aid", "bid", ["bx", "by", "r"])
-    k = I.kriging(nn, "aid", (20000.0, 0.2, 0.02), z="r")
+    nn = P.knn(S.sensor(t, "view", "a"), res, I.NEIGHBOURS, "aid", "bid", ["bx", "by", "r"])
+    k = I.kriging(nn, "aid", fitted(t), z="r")
     q = S.sensor(t, "view", "a").withColumn("one", F.lit(1)).join(F.broadcast(fit), "one")
     return q.join(k, "aid").select("aid", r6(trend("ax", "ay") + F.col("pred")).alias("pred"), "fallback")
 
