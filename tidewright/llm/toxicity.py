@@ -90,7 +90,7 @@ def severity_grades(y: np.ndarray, sets: list[np.ndarray], markers: np.ndarray)
     return np.where(y, 1 + (n > np.median(n[y])), 0) if y.any() else np.zeros(y.size, int)
 
 
-def fit(grades: np.ndarray, sets: list[np.ndarray], names: np.ndarray, toxic_share: float = 0.5, l2: float = 1e-5, steps: int = 600, rate: float = 0.1) -> Ordinal:
+def fit(grades: np.ndarray, sets: list[np.ndarray], names: np.ndarray, toxic_share: float = 0.5, l2: float = 1e-6, steps: int = 600, rate: float = 0.1) -> Ordinal:
     """Full-batch Adam on the cumulative-link likelihood; thresholds are a first one and positive steps.
 
     The rows of grades above 0 weigh ``toxic_share`` together, however the sample was drawn."""
