@@ -2,7 +2,7 @@
 
 Every line is normalised (ASCII white space stripped, A-Z lower-cased) and hashed to 128 bits.  Distinct documents per hash are
 counted in two aggregates with map-side sums, so a line that stands in a third of all documents costs each task a few partial
-rows.  Only hashes and positions are shuffled for the decision; a text moves once, to meet the list of its own dropped places.
+rows.  The frequent hashes are broadcast if their count is within the bound; beyond it the join splits a frequent hash's places.  Only hashes and positions are shuffled for the decision; a text moves once, to meet the list of its own dropped places.
 
 Defined results: a null or empty text is one empty line; an empty key is never dropped unless ``min_chars`` is 0; rows with one
 id count as one document (null ids together as one), yet each row gets its own result; an empty table gives an empty table.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, text_key
+from .common import UPPER, ascii_lower, broadcast_counted, stored, text_key
 
 STRIPPED = " \t\n\x0b\x0c\r"
 
@@ -30,7 +30,10 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_c
              .select("id", "tkey", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(UPPER), "key").alias("h2")))
     frequent = (lines.groupBy("h1", "h2", "id").agg(F.count(F.lit(1)).alias("n"))
                 .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") >= min_docs).select("h1", "h2"))
-    return (lines.join(frequent, ["h1", "h2"]).groupBy("id", "tkey").agg(F.collect_set("pos").alias("dropped")))
+    # a table of its own: were it still partitioned by its keys, the join would take that over and a line's places could not be split
+    frequent = stored(frequent, "frequent-lines")
+    found = lines.join(broadcast_counted(frequent, frequent.count()), ["h1", "h2"])
+    return found.groupBy("id", "tkey").agg(F.collect_set("pos").alias("dropped"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -172,7 +172,9 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of an edge with the least node of its component, by alternating star contractions."""
-    now = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    now, last = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()), None
+    sign = F.xxhash64("u", "v")  # edges are distinct: count, sum and xor of their hashes tell when a round changes none
+    marks = [F.count(F.lit(1)), F.sum(sign.cast("decimal(38,0)")), F.bit_xor(sign)]
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -180,8 +182,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = cut_lineage(small)
-        same = new.count() == now.count() and new.join(now, ["u", "v"], "left_anti").isEmpty()
-        now = new
+        state = new.agg(*marks).first()
+        now, same, last = new, state == last, state
         if same:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -199,13 +201,14 @@ def candidate_pairs(sketched: DataFrame, roots: DataFrame | None, small: int, le
         sizes = sizes.agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     else:
         sizes = sizes.agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").drop("r0", "r1")
-    met = stored(rows.join(sizes, ["t", "value"]), "buckets")
+    # sizes and hubs are tables of their own: an aggregate's partitioning would carry over to the joins and keep a large bucket in one task
+    met = stored(rows.join(stored(sizes, "sizes"), ["t", "value"]), "buckets")
     lists = met.filter(F.col("size") <= small).groupBy("t", "value").agg(F.collect_list(F.struct("node", "root")).alias("ms"))
     some = (lists.select("ms", F.explode("ms").alias("x")).select("x", F.explode("ms").alias("y"))
             .filter("x.node < y.node and x.root <> y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     big = met.filter(F.col("size") > small)
     central = big.groupBy("node").agg(F.sum("size").alias("mates"))
-    hubs = big.join(central, "node").groupBy("t", "value").agg(F.max(F.struct("mates", "node", "root")).alias("hub"))
+    hubs = stored(big.join(central, "node").groupBy("t", "value").agg(F.max(F.struct("mates", "node", "root")).alias("hub")), "hubs")
     star = (big.join(hubs, ["t", "value"]).filter("hub.root <> root")
             .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))
     pairs = some.unionByName(star).distinct()
