@@ -13,7 +13,8 @@ probability that falls with their edit distance.  Texts that share a sketch meet
   the same steps follow for pairs of different classes.
 * Classes are connected components, by star contraction with a reliable checkpoint a round.
 
-Misses are a matter of chance: at similarity 0.8 a pair shares fewer than 3 of 24 two-run sketches with probability below 1e-8.
+Misses are a matter of chance: at similarity 0.8 a pair shares fewer than 3 of 24 two-run sketches with probability below 1e-8, and
+none of 32 seven-run sketches, which large buckets lead to, with probability 6e-4 (4e-6 at 0.85).
 
 Defined results: equal texts, empty ones too, are one class; a null text is a class of its own row; a text of fewer than ``k`` words is
 one run, one without words resembles equal texts only; rows that repeat an id are separate rows of the class of their text.
@@ -29,11 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, stored
-from .tokens import Words, chunks, mix
+from .tokens import Words, chunks, free_buffers, mix
 
-#: (runs in a sketch, sketches, least and most runs in a text), by level
-LEVELS = (((2, 24, 1, 1 << 60),), ((3, 48, 1, 50), (8, 96, 40, 1 << 60)))
-LEAST_SHARED = 3
+#: By level: tiers of (runs in a sketch, sketches, least and most runs in a text), and the sketches that a pair must share at least
+LEVELS = ((((2, 24, 1, 1 << 60),), 3), (((3, 16, 1, 50), (7, 32, 40, 1 << 60)), 1))
 SMALL = 16
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _TOP = np.uint64(2**64 - 1)
@@ -114,6 +114,7 @@ def sketch_rows(texts: DataFrame, level: tuple, k: int) -> DataFrame:
                 flat = pa.array(s.view(np.int64).ravel())
                 at = pa.array(np.arange(len(bodies) + 1, dtype=np.int32) * s.shape[1])
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(at, flat)], names=["node", "n", "sketch"])
+            free_buffers()
 
     return texts.mapInArrow(run, "node binary, n long, sketch array<long>")
 
@@ -166,6 +167,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Data
                 s = aligned(left, part.column("right").to_pylist(), k, threshold)
                 hit = pa.array(s >= threshold)
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(hit), part.column("b").filter(hit), pa.array(s).filter(hit)], names=["a", "b", "similarity"])
+            free_buffers()
 
     return met.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary, similarity double")
 
@@ -195,7 +197,8 @@ def candidate_pairs(sketched: DataFrame, roots: DataFrame | None, small: int, le
         named = sketched.withColumn("root", F.col("node"))
     else:
         named = sketched.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = named.select("node", "root", F.posexplode("sketch").alias("t", "value")).filter("value <> 0")
+    own = F.filter(F.transform("sketch", lambda v, t: F.struct(t.alias("t"), v.alias("value"))), lambda s: s["value"] != 0)
+    rows = named.select("node", "root", F.explode(own).alias("s")).select("node", "root", "s.t", "s.value")
     sizes = rows.groupBy("t", "value")
     if roots is None:  # every node is a class
         sizes = sizes.agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -225,12 +228,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     named = docs.select(F.col(id_col).alias("id"), node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("body"))
     picks = named.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     links, roots, inner, candidates = None, None, None, None
-    for number, level in enumerate(LEVELS):
+    for number, (level, shared) in enumerate(LEVELS):
         if number == 0:
             sketched = stored(sketch_rows(named.filter("node is not null").select("node", "body"), level, k).dropDuplicates(["node"]), "sketches")
         else:
             sketched = stored(sketch_rows(texts_of(named, picks, inner), level, k).dropDuplicates(["node"]), "sketches")
-        pairs, big = candidate_pairs(sketched, roots, SMALL, LEAST_SHARED, threshold)
+        pairs, big = candidate_pairs(sketched, roots, SMALL, shared, threshold)
         candidates = stored(pairs, "pairs")
         wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
         found = stored(verify(candidates, stored(texts_of(named, picks, wanted), "texts"), k, threshold), "links")

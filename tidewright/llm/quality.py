@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import Words, chunks
+from .tokens import Words, chunks, free_buffers
 
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 HASHED = 256
@@ -213,5 +213,6 @@ def score(docs: DataFrame, model: CoTrained, text_col: str = "text", keep_at: fl
                 both = sigmoid(a + b - m.prior)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sigmoid(a)), pa.array(sigmoid(b)), pa.array(both), pa.array(both >= keep_at)],
                                                  names=["row", "p_text", "p_metadata", "quality", "keep"])
+            free_buffers()
 
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], *[T.StructField(c, T.DoubleType()) for c in ("p_text", "p_metadata", "quality")], T.StructField("keep", T.BooleanType())]))

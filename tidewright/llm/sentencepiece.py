@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import chunks
+from .tokens import chunks, free_buffers
 
 SPACE = "▁"
 NO_PAIR = np.int32(2**31 - 1)
-CHUNK_CHARS = 2_000_000
-CACHED_WORDS = 500_000
+CHUNK_CHARS = 1_000_000
+CACHED_WORDS = 250_000
 LONG_WORD = 256
 
 
@@ -327,6 +327,7 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", deco
                 if decoded:
                     columns["decoded"] = pa.array(decode(voc, flat, offsets), pa.string())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            free_buffers()
 
     fields = [rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]
     return rows.mapInArrow(run, T.StructType(fields + [T.StructField("decoded", T.StringType())] * decoded))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 500_000
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _IN_WORD = np.zeros(256, bool)
@@ -23,6 +23,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def free_buffers() -> None:
+    """Give back what Arrow's pool holds unused: workers live on after their task and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+
+
 class Words:
     """Words of texts: ``start``, ``size`` (bytes), ``doc`` for each, and hashes of any byte ranges."""
 

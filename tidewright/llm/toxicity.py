@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import Words, chunks
+from .tokens import Words, chunks, free_buffers
 
 STARTS = (4, 5, 6, 7)
 
@@ -153,5 +153,6 @@ def score(docs: DataFrame, model: Ordinal, text_col: str = "text", carry: list[s
                 above = 1 / (1 + np.exp(-np.clip(linear_scores(m, texts)[:, None] - m.thresholds, -40, 40)))
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array((above >= 0.5).sum(1).astype(np.int32)),
                                                   pa.array(above[:, 0] >= 0.5)], names=["row", "p_toxic", "expected_severity", "grade", "toxic"])
+            free_buffers()
 
     return rows.mapInArrow(run, T.StructType([rows.schema["row"]]).add("p_toxic", "double").add("expected_severity", "double").add("grade", "integer").add("toxic", "boolean"))
