@@ -260,7 +260,7 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "
     """(id, node, class_id, n_rows): one row per input row; class_id is the least id of the class."""
     members, _ = near_duplicates(docs, k, threshold, id_col, text_col)
     members = stored(members, "members")
-    named = members.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"))
+    named = stored(members.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows")), "classes")
     return (members.join(named, "root", "left").select("id", "node", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_rows", F.lit(1)).cast("long").alias("n_rows")))
 
 
