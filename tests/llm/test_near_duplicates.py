@@ -68,6 +68,39 @@ def test_classes_like_all_pairs(spark, monkeypatch, small):
     assert got == by_hand(texts)
 
 
+def family(singles, pairs, seed=11):
+    """Texts of 500 words with 8 of 100 places changed; any two differ in 12 places or more (at most 0.79), the first ``pairs`` couples in 10 (0.81).
+
+    Each change is found in many texts, so that the couples hardly meet in a small bucket."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(500)]
+    sets = []
+
+    def fits(new, but=None):
+        return all(len(new ^ s) >= 12 for s in sets if s is not but)
+    while len(sets) < 2 * pairs:
+        one = frozenset(rng.sample(range(100), 8))
+        two = frozenset([*rng.sample(sorted(one), 3), *rng.sample(sorted(set(range(100)) - one), 5)])
+        if fits(one) and fits(two):
+            sets += [one, two]
+    while len(sets) < 2 * pairs + singles:
+        one = frozenset(rng.sample(range(100), 8))
+        if fits(one):
+            sets.append(one)
+    return [" ".join(f"x{i}" if i % 5 == 2 and i // 5 in s else w for i, w in enumerate(base)) for s in sets]
+
+
+@pytest.mark.parametrize("small, block", [(16, 4096), (2, 90)])
+def test_couples_in_a_large_family(spark, monkeypatch, small, block):
+    monkeypatch.setattr(om, "SMALL", small)
+    monkeypatch.setattr(om, "BLOCK", block, raising=False)
+    monkeypatch.setattr(om, "PACK", min(block // 3, 128), raising=False)
+    texts = family(120, 80)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["class_id"] for r in om.classes(docs).collect()}
+    assert got == {i: i - i % 2 if i < 160 else i for i in range(len(texts))}
+
+
 def test_alignment_is_a_longest_chain():
     rng = random.Random(8)
     for _ in range(60):

@@ -11,10 +11,13 @@ probability that falls with their edit distance.  Texts that share a sketch meet
   the order of both.  With ``m`` runs in the chain and n1, n2 in the texts, similarity is m / (n1 + n2 - m), at least ``threshold``.
 * A large bucket whose members are not all of one class after that is sketched again, with longer and many more sketches, and
   the same steps follow for pairs of different classes.
+* First-level buckets that still hold several classes are compared in full, block by block: every pair of different classes that shares
+  enough sketches meets in the bucket of the first sketch it shares, its runs are counted, and it is aligned if the count can reach the
+  threshold.  No pair becomes a row unless it links two classes.
 * Classes are connected components, by star contraction with a reliable checkpoint a round.
 
-Misses are a matter of chance: at similarity 0.8 a pair shares fewer than 3 of 24 two-run sketches with probability below 1e-8, and
-none of 32 seven-run sketches, which large buckets lead to, with probability 6e-4 (4e-6 at 0.85).
+Misses are a matter of chance: at similarity 0.8 a pair shares fewer than 3 of 24 two-run sketches with probability below 1e-8.  The
+second level only spares comparisons: what it misses, the comparison in full finds.
 
 Defined results: equal texts, empty ones too, are one class; a null text is a class of its own row; a text of fewer than ``k`` words is
 one run, one without words resembles equal texts only; rows that repeat an id are separate rows of the class of their text.
@@ -35,6 +38,8 @@ from .tokens import Words, chunks, free_buffers, mix
 #: By level: tiers of (runs in a sketch, sketches, least and most runs in a text), and the sketches that a pair must share at least
 LEVELS = ((((2, 24, 1, 1 << 60),), 3), (((3, 16, 1, 50), (7, 32, 40, 1 << 60)), 1))
 SMALL = 16
+#: Comparison in full: members of a block of sketches; members and runs of one side of a pack of texts
+BLOCK, PACK, PACK_RUNS = 4096, 128, 500_000
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _TOP = np.uint64(2**64 - 1)
 
@@ -223,11 +228,152 @@ def candidate_pairs(sketched: DataFrame, roots: DataFrame | None, small: int, le
     return met_pairs.filter(equal >= least_shared).select("a", "b"), big
 
 
+def split_buckets(big: DataFrame, roots: DataFrame) -> DataFrame:
+    """(t, value, node, root, size) of the large buckets that hold several classes."""
+    named = big.select("t", "value", "node").join(roots, "node", "left").select("t", "value", "node", F.coalesce("root", "node").alias("root"))
+    split = (named.groupBy("t", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"))
+             .filter("r0 <> r1").select("t", "value", "size"))
+    return named.join(stored(split, "split"), ["t", "value"])
+
+
+def packs_of(n: np.ndarray) -> np.ndarray:
+    """Number of the pack of each text, in order of the texts: at most PACK texts and PACK_RUNS runs (or one text) in each."""
+    out, pack, count, runs = np.zeros(n.size, np.int64), 0, 0, 0
+    for at, size in enumerate(n.tolist()):
+        if count and (count == PACK or runs + size > PACK_RUNS):
+            pack, count, runs = pack + 1, 0, 0
+        out[at], count, runs = pack, count + 1, runs + size
+    return out
+
+
+def packs(open_: DataFrame, sketched: DataFrame, least_shared: int, threshold: float) -> DataFrame:
+    """(t, value, i, j, p, slot, node, root, mates): packs of texts that hold pairs to compare; ``mates`` are the slots of a left text's partners.
+
+    A bucket is dealt into blocks, and every two blocks meet once.  A pair belongs to the bucket of the first sketch it shares; if that one is
+    small, the pair has been made before."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = (open_.join(sketched.select("node", "n", "sketch"), "node").withColumn("c", F.pmod(F.xxhash64("node", "t"), blocks).cast("int"))
+            .withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .select("t", "value", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "root", "n", "sketch"))
+    schema = pa.schema([("t", pa.int32()), ("value", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("p", pa.int64()), ("slot", pa.int16()),
+                        ("node", pa.binary()), ("root", pa.binary()), ("mates", pa.list_(pa.int16()))])
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        t, value, i, j = (x.as_py() for x in key)
+        group = group.combine_chunks()
+        n, side = group.column("n").to_numpy(), group.column("c").to_numpy()
+        s = group.column("sketch").combine_chunks().flatten().to_numpy().reshape(n.size, -1)
+        nodes, roots = group.column("node").to_pylist(), group.column("root").to_pylist()
+        root = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+        order = np.argsort(n, kind="stable")
+        place = np.empty(n.size, np.int64)
+        place[order] = np.arange(n.size)
+        left, right = order[side[order] == i], order[side[order] == j]
+        pl, pr = packs_of(n[left]), packs_of(n[right])
+        out: dict[str, list] = {c: [] for c in ("p", "slot", "node", "root", "mates")}
+        for a in range(pl[-1] + 1 if left.size and right.size else 0):
+            x = left[pl == a]
+            near = (n[right] >= threshold * n[x[0]]) & (threshold * n[right] <= n[x[-1]])
+            y, py = right[near], pr[near]
+            shared, before = np.zeros((x.size, y.size), np.uint8), np.zeros((x.size, y.size), bool)
+            for c in range(s.shape[1]):
+                equal = (s[x, c][:, None] == s[y, c]) & (s[x, c] != 0)[:, None]
+                shared += equal
+                if c < t:
+                    before |= equal
+            n1, n2 = n[x][:, None], n[y]
+            met = (shared >= least_shared) & ~before & (root[x][:, None] != root[y]) & (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2))
+            if i == j:
+                met &= place[x][:, None] < place[y]
+            for b in np.unique(py[met.any(0)]).tolist():
+                z, part = y[py == b], met[:, py == b]
+                first = int(np.flatnonzero(pr == b)[0])
+                slot = PACK + np.searchsorted(place[right], place[z]) - first
+                rows_, cols_ = np.flatnonzero(part.any(1)), np.flatnonzero(part.any(0))
+                out["p"] += [a << 32 | b] * (rows_.size + cols_.size)
+                out["slot"] += [*rows_.tolist(), *slot[cols_].tolist()]
+                who = [*x[rows_].tolist(), *z[cols_].tolist()]
+                out["node"] += [nodes[w] for w in who]
+                out["root"] += [roots[w] for w in who]
+                out["mates"] += [*(slot[part[r]].tolist() for r in rows_), *([] for _ in cols_)]
+        size = len(out["p"])
+        return pa.table({"t": [t] * size, "value": [value] * size, "i": [i] * size, "j": [j] * size, **out}, schema=schema)
+
+    return rows.groupBy("t", "value", "i", "j").applyInArrow(run, "t int, value long, i int, j int, p long, slot short, node binary, root binary, mates array<short>")
+
+
+def common_runs(label: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, slab: int = 16384) -> np.ndarray:
+    """Number of labelled runs that each left text shares with each right one."""
+    _, column, holders = np.unique(label, return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(offsets.size - 1), np.diff(offsets))
+    several = holders[column] > 1
+    doc, column = doc[several], (np.cumsum(holders > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    out = np.zeros((left.size, right.size), np.int64)
+    for low in range(0, int(column[-1]) + 1 if column.size else 0, slab):
+        a, b = np.searchsorted(column, [low, low + slab])
+        held = np.zeros((offsets.size - 1, slab), np.float32)
+        held[doc[a:b], column[a:b] - low] = 1
+        out += (held[left] @ held[right].T).astype(np.int64)
+    return out
+
+
+def linked(root: list[bytes], bodies: list[str], left: np.ndarray, right: np.ndarray, k: int, threshold: float) -> list[tuple[int, int, float]]:
+    """(left, right, similarity) of pairs of a pack that reach the threshold, without those whose classes others have joined by then."""
+    _, label, offsets = word_runs(bodies, k)
+    n = np.diff(offsets)
+    ls, at_l = np.unique(left, return_inverse=True)
+    rs, at_r = np.unique(right, return_inverse=True)
+    common = common_runs(label, offsets, ls, rs)[at_l, at_r]
+    keep = np.flatnonzero(common >= np.ceil(threshold / (1 + threshold) * (n[left] + n[right]) - 1e-9))
+    keep = keep[np.argsort(-common[keep], kind="stable")]
+    parent = {r: r for r in root}
+
+    def find(r: bytes) -> bytes:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    out, todo = [], list(zip(left[keep].tolist(), right[keep].tolist()))
+    while todo:
+        batch, runs, at = [], 0, 0
+        while at < len(todo) and len(batch) < 128 and (not batch or runs < PACK_RUNS):
+            a, b = todo[at]
+            if find(root[a]) != find(root[b]):
+                batch.append((a, b))
+                runs += int(n[a] + n[b])
+            at += 1
+        todo = todo[at:]
+        for (a, b), s in zip(batch, aligned([bodies[a] for a, _ in batch], [bodies[b] for _, b in batch], k, threshold) if batch else ()):
+            if s >= threshold and find(root[a]) != find(root[b]):
+                parent[find(root[a])] = find(root[b])
+                out.append((a, b, float(s)))
+    return out
+
+
+def compared_in_full(met: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(a, b, similarity): links between the classes of each pack."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        slots = {s: at for at, s in enumerate(group.column("slot").to_pylist())}
+        pairs = [(at, slots[m]) for at, ms in enumerate(group.column("mates").to_pylist()) for m in ms]
+        left, right = np.array(pairs, np.int64).reshape(-1, 2).T
+        nodes = group.column("node").to_pylist()
+        found = linked(group.column("root").to_pylist(), group.column("body").to_pylist(), left, right, k, threshold)
+        free_buffers()
+        return pa.table({"a": [min(nodes[a], nodes[b]) for a, b, _ in found], "b": [max(nodes[a], nodes[b]) for a, b, _ in found],
+                         "similarity": [s for _, _, s in found]}, schema=schema)
+
+    return met.join(texts, "node").groupBy("t", "value", "i", "j", "p").applyInArrow(run, "a binary, b binary, similarity double")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, links).  members: (id, node, root), one row per input row; links: (a, b, similarity) between different texts."""
     named = docs.select(F.col(id_col).alias("id"), node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("body"))
     picks = named.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    links, roots, inner, candidates = None, None, None, None
+    links, roots, inner, candidates, first = None, None, None, None, None
     for number, (level, shared) in enumerate(LEVELS):
         if number == 0:
             sketched = stored(sketch_rows(named.filter("node is not null").select("node", "body"), level, k).dropDuplicates(["node"]), "sketches")
@@ -239,12 +385,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
         found = stored(verify(candidates, stored(texts_of(named, picks, wanted), "texts"), k, threshold), "links")
         links = found if links is None else links.unionByName(found)
         roots = components(links)
+        first = first or (big, sketched, shared)
+        open_ = split_buckets(first[0], roots)
         if number + 1 < len(LEVELS):
-            open_ = big.select("t", "value", "node").join(roots, "node", "left").select("t", "value", "node", F.coalesce("root", "node").alias("root"))
-            split = open_.groupBy("t", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("t", "value")
-            inner = cut_lineage(open_.join(split, ["t", "value"]).select("node").distinct())
+            inner = cut_lineage(open_.select("node").distinct())
             if inner.isEmpty():
                 break
+    else:
+        met = stored(packs(open_, first[1], first[2], threshold), "packs")
+        if not met.isEmpty():
+            texts = stored(texts_of(named, picks, met.select("node").distinct()), "texts")
+            links = links.unionByName(stored(compared_in_full(met, texts, k, threshold), "links"))
+            roots = components(links)
     members = named.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     return members, links
 
