@@ -129,6 +129,18 @@ def test_first_of_each(spark):
     assert om.first_of_each(docs.limit(0)).count() == 0
 
 
+def test_first_of_each_with_null_and_shared_ids(spark):
+    """Classes without an id, or with one id for several texts, stay apart."""
+    words = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
+    rows = [(None, words(f"n{j}")) for j in range(6)] + [(7, words(f"s{j}")) for j in range(6)]
+    rows += [(None, words("n0")), (7, words("s0")), (None, words("n1") + " more"), (3, words("n2")), (None, words("s1"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in om.first_of_each(docs).collect())
+    assert got == sorted([(0, f"n{j}0") for j in (0, 1, 3, 4, 5)] + [(3, "n20")] + [(7, f"s{j}0") for j in range(6)])
+    found = om.classes(docs)
+    assert found.select("root").distinct().count() == 12
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(1, 20)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")

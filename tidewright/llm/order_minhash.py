@@ -409,19 +409,25 @@ def texts_of(named: DataFrame, picks: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, class_id, n_rows): one row per input row; class_id is the least id of the class."""
+    """(id, node, root, class_id, n_rows): one row per input row; class_id is the least id of the class.
+
+    ``root`` tells classes apart whose least ids are equal or null; a null text has none."""
     members, _ = near_duplicates(docs, k, threshold, id_col, text_col)
     members = stored(members, "members")
     named = stored(members.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows")), "classes")
-    return (members.join(named, "root", "left").select("id", "node", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_rows", F.lit(1)).cast("long").alias("n_rows")))
+    return (members.join(named, "root", "left").select("id", "node", "root", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_rows", F.lit(1)).cast("long").alias("n_rows")))
 
 
 def first_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that stay: of each class the row with the least id (one of those that share it); null texts all stay."""
-    found = classes(docs, k, threshold, id_col, text_col)
-    stay = found.filter("node is not null and id <=> class_id").groupBy("class_id").agg(F.min("node").alias("node"))
+    """The input rows that stay: of each class the row with the least id (one of those that share it; a null id only where no row has another);
+    null texts all stay."""
+    members, _ = near_duplicates(docs, k, threshold, id_col, text_col)
+    members = stored(members.filter("node is not null"), "members")
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node")).alias("m"))
+    stay = stored(first.select(F.col("m.id").alias("i0"), F.col("m.node").alias("n0")), "stay")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), node_of(F.col(text_col)).alias("node"))
-    kept = rows.join(stay, rows["id"].eqNullSafe(stay["class_id"]) & (rows["node"] == stay["node"]), "left_semi")
-    repeated = found.filter("id <=> class_id").groupBy("id", "node").count().filter("count > 1").isEmpty()
+    kept = rows.join(stay, (rows["node"] == stay["n0"]) & rows["id"].eqNullSafe(stay["i0"]), "left_semi")
+    repeated = (members.join(stay, (members["node"] == stay["n0"]) & members["id"].eqNullSafe(stay["i0"]), "left_semi")
+                .groupBy("id", "node").count().filter("count > 1").isEmpty())
     kept = kept if repeated else kept.dropDuplicates(["id", "node"])
     return kept.unionByName(rows.filter("node is null")).select("row.*")
