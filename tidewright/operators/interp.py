@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from . import spatial as S
 
 MAX_WEIGHT = 5.0         # fixed value: a larger absolute weight falls back to inverse distance
@@ -119,10 +120,28 @@ def channel_xy(points: DataFrame, axis: DataFrame, point_id: str, cap: float, an
     return near.select(*points.columns, F.col("chain").alias("s"), off.alias("offset"), (off * aniso).alias("offset_scaled"))
 
 
-def variogram_bins(nn: DataFrame, a: str, b: str, width: float) -> DataFrame:
-    """Semivariance by lag bin ``lag, gamma, n`` from a table of near pairs with ``dist``; its size follows the rows, not their square."""
-    d = F.col(a) - F.col(b)
-    return nn.groupBy((F.floor(F.col("dist") / width) * width + width / 2).alias("lag")).agg((F.avg(d * d) / 2).alias("gamma"), F.count(F.lit(1)).alias("n"))
+def variogram_cells(points: DataFrame, x: str, y: str, z: str, scales: list[tuple[float, float, float]]) -> DataFrame:
+    """Semivariance by lag bin ``lag, gamma, n`` over all pairs of rows, from counts, sums and squares of square cells.
+
+    ``scales`` has cell width, least and most lag; a bin is as wide as a cell and the lag of two cells is that of their centres, 0 within a
+    cell.  The rows are only summed; cells then meet the cells at each lag, as many as fit within the largest one."""
+    bins = None
+    for width, least, most in scales:
+        cells = points.groupBy(F.floor(F.col(x) / width).alias("cx"), F.floor(F.col(y) / width).alias("cy")).agg(
+            F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col(z).cast("double")).alias("s"), F.sum(F.col(z).cast("double") * F.col(z)).alias("q"))
+        cells = cut_lineage(cells)
+        r = int(most // width)
+        a = cells.withColumnsRenamed({"n": "n1", "s": "s1", "q": "q1"}).withColumn("dx", F.explode(F.sequence(F.lit(0), F.lit(r)))).withColumn(
+            "dy", F.explode(F.sequence(F.lit(-r), F.lit(r)))).withColumn("dist", F.hypot("dx", "dy") * width)
+        a = a.where((F.col("dx") > 0) | (F.col("dy") >= 0)).where((F.col("dist") >= least) & (F.col("dist") <= most))
+        met = a.withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy")).join(cells, ["cx", "cy"])
+        own = F.col("dist") == 0
+        pairs = F.when(own, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n1") * F.col("n"))
+        d2 = F.when(own, F.col("n") * F.col("q") - F.col("s") * F.col("s")).otherwise(F.col("n") * F.col("q1") + F.col("n1") * F.col("q") - 2 * F.col("s1") * F.col("s"))
+        one = met.groupBy((F.floor(F.col("dist") / width) * width + width / 2).alias("lag")).agg(F.sum(d2).alias("d2"), F.sum(pairs).alias("n"))
+        one = one.where("n > 0").select("lag", (F.greatest(F.col("d2"), F.lit(0.0)) / F.col("n") / 2).alias("gamma"), "n")
+        bins = one if bins is None else bins.unionByName(one)
+    return cut_lineage(bins)
 
 
 def variogram_fit(bins: DataFrame, ranges: list[float]) -> DataFrame:

@@ -26,12 +26,13 @@ def neighbours(t: Tables, k: int = 8):
     return P.knn(a, b, k, "aid", "bid", ["bx", "by", "bh"]).withColumnRenamed("bh", "z")
 
 
+#: Cell width, least and most lag, up to the largest trial range
+SCALES = [(500.0, 0.0, 3999.0), (2000.0, 4000.0, 40000.0)]
+
+
 def fitted(t: Tables) -> tuple[float, float, float]:
-    """Range, sill and nugget of the levels, from each sounding's nearest others."""
-    b = S.sensor(t, "click", "b")
-    a = b.select(F.col("bid").alias("aid"), F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("bh").alias("ah"))
-    near = P.knn(a, b, 8, "aid", "bid", ["bh"]).where("aid <> bid").join(a.select("aid", "ah"), "aid")
-    v = I.variogram_fit(I.variogram_bins(near, "ah", "bh", 500.0), [2000.0, 5000.0, 10000.0, 20000.0, 40000.0]).first()
+    """Range, sill and nugget of the levels, from all pairs of soundings up to the largest trial range."""
+    v = I.variogram_fit(I.variogram_cells(S.sensor(t, "click", "b"), "bx", "by", "bh", SCALES), [2000.0, 5000.0, 10000.0, 20000.0, 40000.0]).first()
     return (v["rng"], v["sill"], v["nugget"])
 
 
