@@ -193,10 +193,16 @@ def seamless(layers: Sequence[tuple[str, DataFrame, Column]], z: str) -> DataFra
     return stacked.groupBy("row", "col").agg(F.min_by(z, seen).alias(z), F.min_by("source", seen).alias("source"))
 
 
-def crossings(field: DataFrame, z: str, level: float) -> DataFrame:
-    """Marching squares: one row per contour segment in a 2x2 block, ends interpolated along the block's edges."""
-    s = attach_shift(field, z, {"b": (0, 1), "c": (1, 1), "d": (1, 0)}).where("b is not null and c is not null and d is not null")
-    a, b, c, d = (F.col(n) - level for n in (z, "b", "c", "d"))
+def corner_blocks(field: DataFrame, z: str, level: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
+    """2x2 blocks by their upper left cell: corners ``a b c d`` clockwise, ``level`` taken off; blocks with a missing corner go."""
+    s = attach_shift(field, z, {"b": (0, 1), "c": (1, 1), "d": (1, 0)}, keys).where(f"{z} is not null and b is not null and c is not null and d is not null")
+    return s.select(*keys, "row", "col", *[(F.col(src) - level).alias(n) for src, n in ((z, "a"), ("b", "b"), ("c", "c"), ("d", "d"))])
+
+
+def block_segments(blocks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Marching squares over ``corner_blocks``: one row per contour segment, ``seg`` 0 or 1 within its block, ends interpolated
+    along the block's edges."""
+    a, b, c, d = (F.col(n) for n in "abcd")
     code = (F.when(a > 0, 1).otherwise(0) + F.when(b > 0, 2).otherwise(0) + F.when(c > 0, 4).otherwise(0)
             + F.when(d > 0, 8).otherwise(0))
     cut = lambda p, q: p / (p - q)
@@ -210,11 +216,16 @@ def crossings(field: DataFrame, z: str, level: float) -> DataFrame:
              .when(F.col("code").isin(4, 11), seg(right, bottom)).when(F.col("code").isin(8, 7), seg(bottom, left))
              .when(F.col("code").isin(3, 12), seg(left, right)).when(F.col("code").isin(6, 9), seg(top, bottom))
              .when(F.col("code") == 5, two(left, top, right, bottom)).when(F.col("code") == 10, two(top, right, bottom, left)))
-    out = s.withColumn("code", code).withColumn("s", F.explode(lines))
-    return out.select("row", "col", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"),
+    out = blocks.withColumn("code", code).select("*", F.posexplode(lines).alias("seg", "s"))
+    return out.select(*keys, "row", "col", "seg", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"),
                       F.col("s.q.y").alias("y2"))
 
 
+def crossings(field: DataFrame, z: str, level: float) -> DataFrame:
+    """Contour segments of a field at one level."""
+    return block_segments(corner_blocks(field, z, level))
+
+
 def transitions(a: DataFrame, b: DataFrame, cls: str, area: float, keys: Sequence[str] = CELL) -> DataFrame:
     """Area per (class before, class after)."""
     j = a.select(*keys, F.col(cls).alias("from_class")).join(b.select(*keys, F.col(cls).alias("to_class")), list(keys))

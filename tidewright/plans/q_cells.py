@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from ..operators import blocks as B
 from ..operators import cells as C
 from ..operators import labels as LB
+from ..operators import scenes as SC
 from ..operators import select as L
 from ..operators import spatial as P
 from ..session import broadcast_if_small, cut_lineage
 from . import standins as S
-from .q_windows import reach
 from .registry import Tables, query
 from .standins import r6
 
@@ -78,11 +78,12 @@ def _(t: Tables):
 
 
 @query("ras_component_table", "RAS-07", f"""WITH RECURSIVE {S.MASK}, {_cc('mk', 4)}, nb AS (SELECT a.label, count(*) AS k FROM lb a CROSS JOIN {_N4} JOIN lb b ON b.row = a.row + dr AND b.col = a.col + dc GROUP BY 1)
- SELECT lb.label, count(*) AS n_cells, min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1, round(avg(row), 6) AS c_row, round(avg(col), 6) AS c_col, CAST(4 * count(*) - coalesce(max(k), 0) AS BIGINT) AS boundary, CASE WHEN count(*) < 3 THEN 1 ELSE 0 END AS is_noise FROM lb LEFT JOIN nb USING (label) GROUP BY 1""")
+ SELECT lb.label, count(*) AS n_cells, min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1, round(avg(row), 6) AS c_row, round(avg(col), 6) AS c_col, CAST(4 * count(*) - coalesce(max(k), 0) AS BIGINT) AS boundary, CASE WHEN count(*) < 3 THEN 1 ELSE 0 END AS is_noise, CASE WHEN lb.label = (SELECT arg_min(label, (row * row + (col - 5) * (col - 5), row, col)) FROM lb) THEN 1 ELSE 0 END AS is_main FROM lb LEFT JOIN nb USING (label) GROUP BY 1""")
 def _(t: Tables):
     lab = cut_lineage(LB.label_cells(S.mask(t), WIDTH, 4))
     g = LB.component_table(lab, [], 0.0004, 3)
-    return g.select("label", "n_cells", "row0", "row1", "col0", "col1", r6(F.col("c_row")).alias("c_row"), r6(F.col("c_col")).alias("c_col"), "boundary", F.col("is_noise").cast("int").alias("is_noise"))
+    main = SC.main_component(lab, [], 0, 5).select("label", F.lit(1).alias("is_main"))
+    return g.join(F.broadcast(main), "label", "left").select("label", "n_cells", "row0", "row1", "col0", "col1", r6(F.col("c_row")).alias("c_row"), r6(F.col("c_col")).alias("c_col"), "boundary", F.col("is_noise").cast("int").alias("is_noise"), F.coalesce("is_main", F.lit(0)).alias("is_main"))
 
 
 _BIG = "bg AS (SELECT row, col FROM lb WHERE label IN (SELECT label FROM lb GROUP BY 1 HAVING count(*) >= {k}))"
@@ -99,7 +100,7 @@ def _(t: Tables):
     return LB.fill_holes(m, fr, box, WIDTH).join(m.withColumn("own", F.lit(1)), ["row", "col"], "left").select("row", "col", F.col("own").isNull().cast("int").alias("filled"))
 
 
-@query("ras_clean_water", "RAS-08 RAS-33", f"WITH RECURSIVE {S.MASK}, {_FR}, {_cc('mk', 8)}, {_BIG.format(k=4)}, {_INV.format(m='bg')} SELECT row, col FROM bg UNION ALL SELECT row, col FROM ho WHERE label IN (SELECT label FROM ho GROUP BY 1 HAVING count(*) <= 2)")
+@query("ras_clean_water", "RAS-08", f"WITH RECURSIVE {S.MASK}, {_FR}, {_cc('mk', 8)}, {_BIG.format(k=4)}, {_INV.format(m='bg')} SELECT row, col FROM bg UNION ALL SELECT row, col FROM ho WHERE label IN (SELECT label FROM ho GROUP BY 1 HAVING count(*) <= 2)")
 def _(t: Tables):
     fr, box = frame_of(t)
     return LB.clean_water(S.mask(t), fr, box, WIDTH, 4, 2).select("row", "col")
@@ -147,18 +148,6 @@ def _(t: Tables):
     return j.select("year", "n_bodies", "total", "largest", "frag_index", "n_gt3", "n_mmu1", "n_seen", F.when(F.col("n_seen") >= 0.12 * F.col("full"), "HIGH").otherwise("PARTIAL").alias("coverage"))
 
 
-@query("ras_channel_connectivity", "RAS-12", f"""WITH {S.CELLS}, nd AS (SELECT p_partkey AS row, 5 AS col FROM part), st AS (SELECT row, col, max(water) AS w, count(water) AS ob FROM cl GROUP BY 1, 2), b AS (SELECT nd.row * 20 // (SELECT max(p_partkey) + 1 FROM part) AS k, max(CASE WHEN w = 1 THEN 1 ELSE 0 END) AS c, sum(CASE WHEN ob > 0 THEN 1 ELSE 0 END) AS n_obs, sum(coalesce(w, 0)) AS n_wet FROM nd LEFT JOIN st ON st.row = nd.row AND st.col = nd.col GROUP BY 1)
- SELECT CAST(sum(n_obs) AS BIGINT) AS n_observable, CAST(sum(n_wet) AS BIGINT) AS n_wet, CAST(min(CASE WHEN c = 0 THEN k ELSE 20 END) * 2 AS BIGINT) AS connected_km FROM b""")
-def _(t: Tables):
-    hi = t.part.agg(F.max("p_partkey").alias("m")).first().m + 1
-    st = S.cells(t).groupBy("row", "col").agg(F.max("water").alias("w"), F.count("water").alias("ob"))
-    nd = t.part.select(F.col("p_partkey").alias("row"), F.lit(5).cast("long").alias("col")).join(st, ["row", "col"], "left")
-    b = nd.groupBy(F.floor(F.col("row") * 20 / hi).alias("k")).agg(F.max(F.coalesce(F.col("w"), F.lit(0))).alias("c"), F.sum((F.coalesce("ob", F.lit(0)) > 0).cast("long")).alias("o"), F.sum(F.coalesce("w", F.lit(0))).alias("w")).withColumn("z", F.lit(0))
-    r = reach(b, ["z"], 2, 0)
-    s = b.groupBy("z").agg(F.sum("o").alias("n_observable"), F.sum("w").cast("long").alias("n_wet"))
-    return s.join(r, "z").select("n_observable", "n_wet", F.col("reach_km").alias("connected_km"))
-
-
 @query("ras_first_valid_mosaic", "RAS-13 RAS-14", f"""WITH {S.CELLS} SELECT row, col, coalesce(arg_min(cls, (day, l_orderkey, l_linenumber)) FILTER (cls IS NOT NULL), -1) AS cls, coalesce(arg_min(l_orderkey, (day, l_orderkey, l_linenumber)) FILTER (cls IS NOT NULL), -1) AS source FROM cl GROUP BY 1, 2""")
 def _(t: Tables):
     g = C.first_valid(S.cells(t), "cls", ["day", "l_orderkey", "l_linenumber"], "l_orderkey")
@@ -318,50 +307,6 @@ def _(t: Tables):
     return per.agg(F.sum("n").alias("n_segments"), F.round(F.sum(F.when(F.col("n") == 1, F.col("len"))), 4).alias("simple_length"))
 
 
-def _line(t: Tables, level: float, tag: str):
-    """Contour vertices with their length, one per segment."""
-    s = C.crossings(field(t), "z", level)
-    return s.select((F.col("row") * WIDTH + F.col("col")).alias("k"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"),
-                    F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")).alias("len")).withColumn(
-        tag, F.struct("k", "x", "y"))
-
-
-@query("ras_boundary_distance", "RAS-31", None)
-def _(t: Tables):
-    a, b = cut_lineage(_line(t, 25.3, "aid")), cut_lineage(_line(t, 27.3, "bid"))
-    cap = 6.0
-    both = None
-    for src, dst, sid, did, tag in ((a, b, "aid", "bid", "a_to_b"), (b, a, "bid", "aid", "b_to_a")):
-        q = src.select(sid, F.col("x").alias("ax"), F.col("y").alias("ay"), "len").dropDuplicates([sid])
-        n = P.nearest_within(q, dst.select(did, F.col("x").alias("bx"), F.col("y").alias("by")).dropDuplicates([did]), cap, sid, did)
-        n = n.select(F.lit(tag).alias("direction"), "len", "dist")
-        both = n if both is None else both.unionByName(n)
-    stat = B.summarise(both, ["direction"], {"n": F.count(F.lit(1)), "unpaired_share": F.avg(F.col("dist").isNull().cast("double")), "mean_weighted": F.sum(F.col("dist") * F.col("len")) / F.sum(F.when(F.col("dist").isNotNull(), F.col("len"))),
-                                            "within_1": F.avg(F.coalesce(F.col("dist") <= 1, F.lit(False)).cast("double"))}, {"p50": ("dist", 0.5), "p95": ("dist", 0.95)})
-    return stat
-
-
-@query("ras_migration", "RAS-32", None)
-def _(t: Tables):
-    """Rate of contour movement between two halves of the record along the field's gradient, first sign change on a line
-    of samples, and the share of vertices that moved the same way."""
-    c = S.cells(t)
-    early = c.where("year <= 1997").groupBy("row", "col").agg(F.avg("qty").alias("z"))
-    late = c.where("year > 1997").groupBy("row", "col").agg(F.avg("qty").alias("z"))
-    v = C.crossings(early, "z", 25.3).select(((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), (F.col("y1") - F.col("y2")).alias("nx"), (F.col("x2") - F.col("x1")).alias("ny"))
-    n = F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny"))
-    v = cut_lineage(v.where(n > 0).withColumn("ux", F.col("nx") / n).withColumn("uy", F.col("ny") / n).withColumn("vid", F.struct("x", "y", "ux", "uy")).dropDuplicates(["x", "y", "ux", "uy"]))
-    s = v.withColumn("k", F.explode(F.sequence(F.lit(-8), F.lit(8)))).withColumn("sid", F.struct("vid", "k"))
-    s = s.withColumn("ax", F.col("x") + F.col("ux") * F.col("k") / 4 + 0.5).withColumn("ay", F.col("y") + F.col("uy") * F.col("k") / 4 + 0.5)
-    _, box = frame_of(t)
-    z = P.grid_bilinear(s.select("sid", "vid", "k", "ax", "ay"), late, "sid", 1.0, box[1] + 1, 10, "z").withColumn("f", F.col("sample") - 25.3)
-    z = B.neighbour(z, ["vid"], ["k"], {"pf": "f"})
-    cross = z.where((F.col("pf") > 0) != (F.col("f") > 0)).withColumn("at", (F.col("k") - 1 + F.col("pf") / (F.col("pf") - F.col("f"))) / 4)
-    hit = cross.groupBy("vid").agg(F.min_by("at", F.struct(F.abs("at"), "at")).alias("shift"))
-    j = v.join(hit, "vid", "left")
-    return B.summarise(j, [], {"n": F.count(F.lit(1)), "resolved": F.count("shift"), "outward": F.count_if(F.col("shift") > 0)}, {"median_shift": ("shift", 0.5)})
-
-
 @query("ras_island_mask", "RAS-34", f"""WITH RECURSIVE {S.CELLS}, {_FR}, g AS (SELECT row, col, count(water) AS n, count(DISTINCT CASE WHEN water IS NOT NULL THEN year END) AS ny, coalesce(max(water), 0) AS w, avg(qty) AS z FROM cl GROUP BY 1, 2), mk AS (SELECT row, col FROM g WHERE n >= 1 AND ny >= 1 AND w = 0 AND z > 15), {_cc('mk', 8)}, {_BIG.format(k=2)}, {_INV.format(m='bg')}, ok AS (SELECT row, col FROM bg UNION ALL SELECT row, col FROM ho WHERE label IN (SELECT label FROM ho GROUP BY 1 HAVING count(*) <= 2))
  SELECT row, col, CASE WHEN ok.row IS NOT NULL THEN 'land' WHEN coalesce(n, 0) < 1 THEN 'unknown' ELSE 'water_or_mixed' END AS state FROM fr LEFT JOIN g USING (row, col) LEFT JOIN ok USING (row, col)""")
 def _(t: Tables):
