@@ -1,6 +1,7 @@
 """Portable draws: integer congruences only, so another engine can repeat them exactly."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,5 +29,13 @@ def mix_sql(*parts: str | int) -> str:
     return acc
 
 
+def mix_array(*parts: np.ndarray | int) -> np.ndarray:
+    """The same number for NumPy integers, in tasks that draw for a whole block of replicates."""
+    acc = np.int64(1)
+    for p in parts:
+        acc = (((acc * _A + np.asarray(p, np.int64) * _B + _C) % _M) * _A + 12345) % _M
+    return acc
+
+
 def uniform(*parts: Column | int) -> Column:
     return mix(*parts) / F.lit(float(_M))

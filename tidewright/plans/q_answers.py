@@ -138,8 +138,7 @@ def _(t: Tables):
 @query("q_slope_sensitivity", "Q-08", None)
 def _(t: Tables):
     s = cut_lineage(slopes(t).withColumn("track", F.dayofmonth("day") % 9).withColumn("uid", F.unix_date("day").cast("long")))
-    rows = RS.cluster_rows(s, "track", REPS, 31)
-    med = RS.weighted_median(rows, ["rep", "post"], "slope", "m", "med")
+    med = RS.cluster_stats(s, "track", ["post"], "slope", REPS, 31).withColumnRenamed("median", "med")
     d = med.groupBy("rep").agg((F.max(F.when(F.col("post") == 1, F.col("med"))) - F.max(F.when(F.col("post") == 0, F.col("med")))).alias("d"))
     ci = B.quantiles(d, [], "d", {"lo": 0.025, "mid": 0.5, "hi": 0.975}).select(F.lit("track_bootstrap").alias("block"), F.col("mid").alias("value"), "lo", "hi")
     pair = B.quantiles(s, ["track", "post"], "slope", {"m": 0.5}).groupBy("track").agg((F.max(F.when(F.col("post") == 1, F.col("m"))) - F.max(F.when(F.col("post") == 0, F.col("m")))).alias("d")).where("d is not null")

@@ -16,7 +16,7 @@ from . import standins as S
 from .registry import Tables, query
 from .standins import r6
 
-REPS = 200
+REPS = 10_000
 
 
 @query("agg_named_outputs", "AGG-01 AGG-02 AGG-06 AGG-10", f"""WITH {S.LEVELS} SELECT station, event_type, count(*) AS n, round(avg(cm), 6) AS mean_cm, min(cm) AS min_cm, max(cm) AS max_cm, count(DISTINCT day) AS n_days,
@@ -213,10 +213,8 @@ def _(t: Tables):
 @query("agg_cluster_bootstrap", "AGG-28", f"""WITH {S.LEVELS}, {S.DAILY}, k AS (SELECT station, row_number() OVER (ORDER BY station) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT station FROM dl)), dr AS (SELECT rep, 1 + {mix_sql(14, 'rep', 'pos')} % n AS pos FROM k, (SELECT unnest(range(1, {REPS + 1})) AS rep)),
  s AS (SELECT rep, sum(cm) / count(*) AS m, median(cm) AS md FROM dr JOIN k USING (pos) JOIN dl USING (station) GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) AS mean_lo, round(quantile_cont(m, 0.975), 6) AS mean_hi, round(quantile_cont(md, 0.025), 6) AS med_lo, round(quantile_cont(md, 0.975), 6) AS med_hi FROM s""")
 def _(t: Tables):
-    rows = RS.cluster_rows(S.daily(t), "station", REPS, 14)
-    mean = rows.groupBy("rep").agg((F.sum(F.col("m") * F.col("cm")) / F.sum("m")).alias("mean"))
-    s = mean.join(RS.weighted_median(rows, ["rep"], "cm", "m", "md"), "rep")
-    g = B.summarise(s, [], {}, {"mean_lo": ("mean", 0.025), "mean_hi": ("mean", 0.975), "med_lo": ("md", 0.025), "med_hi": ("md", 0.975)})
+    s = RS.cluster_stats(S.daily(t), "station", [], "cm", REPS, 14)
+    g = B.summarise(s, [], {}, {"mean_lo": ("mean", 0.025), "mean_hi": ("mean", 0.975), "med_lo": ("median", 0.025), "med_hi": ("median", 0.975)})
     return g.select(*[r6(F.col(c)).alias(c) for c in g.columns])
 
 

@@ -187,13 +187,13 @@ def _(t: Tables):
     return g.withColumn("one", F.lit(1)).join(F.broadcast(tot), "one").select("fold", "band", "n", r6(F.col("rmse")).alias("rmse"), r6(F.col("mae")).alias("mae"), r6(F.col("med")).alias("med"), r6(F.col("sse") / F.col("tot")).alias("sse_share"))
 
 
-@query("cv_paired_delta", "CV-06", f"""WITH {S.LEVELS}, {S.POINTS}, k AS (SELECT track, row_number() OVER (ORDER BY track) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT track FROM pt)), dr AS (SELECT rep, 1 + {mix_sql(21, 'rep', 'pos')} % n AS pos FROM k, (SELECT unnest(range(1, 201)) AS rep)), e AS (SELECT track, h - 0.5 AS e0, h - 0.4 - chain / 1000 AS e1 FROM pt),
- s AS (SELECT rep, sqrt(avg(e1*e1)) - sqrt(avg(e0*e0)) AS d FROM dr JOIN k USING (pos) JOIN e USING (track) GROUP BY 1) SELECT round((SELECT sqrt(avg(e1*e1)) - sqrt(avg(e0*e0)) FROM e), 6) AS delta, round(quantile_cont(d, 0.025), 6) AS ci_lo, round(quantile_cont(d, 0.975), 6) AS ci_hi FROM s""")
+@query("cv_paired_delta", "CV-06", f"""WITH {S.LEVELS}, {S.POINTS}, k AS (SELECT track, row_number() OVER (ORDER BY track) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT track FROM pt)), dr AS (SELECT rep, 1 + {mix_sql(21, 'rep', 'pos')} % n AS pos FROM k, (SELECT unnest(range(1, 10001)) AS rep)), e AS (SELECT track, h - 0.5 AS e0, h - 0.4 - chain / 1000 AS e1 FROM pt), pk AS (SELECT track, sum(e0*e0) AS s0, sum(e1*e1) AS s1, count(*) AS n FROM e GROUP BY 1),
+ s AS (SELECT rep, sqrt(sum(s1) / sum(pk.n)) - sqrt(sum(s0) / sum(pk.n)) AS d FROM dr JOIN k USING (pos) JOIN pk USING (track) GROUP BY 1) SELECT round((SELECT sqrt(avg(e1*e1)) - sqrt(avg(e0*e0)) FROM e), 6) AS delta, round(quantile_cont(d, 0.025), 6) AS ci_lo, round(quantile_cont(d, 0.975), 6) AS ci_hi FROM s""")
 def _(t: Tables):
     e = S.points(t).select("track", (F.col("h") - 0.5).alias("e0"), (F.col("h") - 0.4 - F.col("chain") / 1000).alias("e1"))
     # squared errors are summed per track first, so a replicate joins tracks and never rows
     per = e.groupBy("track").agg(F.sum(F.col("e0") * F.col("e0")).alias("s0"), F.sum(F.col("e1") * F.col("e1")).alias("s1"), F.count(F.lit(1)).alias("n"))
-    rows = RS.cluster_rows(per, "track", 200, 21)
+    rows = RS.cluster_rows(per, "track", 10_000, 21)
     w = lambda c: F.sqrt(F.sum(F.col("m") * F.col(c)) / F.sum(F.col("m") * F.col("n")))
     d = rows.groupBy("rep").agg((w("s1") - w("s0")).alias("d"))
     ci = B.quantiles(d, [], "d", {"ci_lo": 0.025, "ci_hi": 0.975}).withColumn("one", F.lit(1))
