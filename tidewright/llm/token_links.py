@@ -20,6 +20,8 @@ word without spaces is aligned whole.  Input columns travel as one struct, so th
 """
 from __future__ import annotations
 
+import itertools
+import json
 import re
 from collections.abc import Iterator
 
@@ -37,10 +39,14 @@ from .tokens import chunks, free_buffers, mix
 BUCKETS = 256
 FAN_IN = 16
 BROADCAST_BYTES = 256 * 1024 * 1024
-CACHED_WORDS, CACHED_LINKS = 300_000, 4_000_000
-HELD_PAIRS = 2_000_000
+CACHED_WORDS, CACHED_LINKS = 250_000, 3_000_000
+HELD_PAIRS = 1_000_000
 WIDE_GROUP = 1_000_000
+_WHITE = "\u180e"
 _CUT = re.compile(r" (?=[^\s᠎])(?<=[^\s᠎] )")
+#: Fixed value: how byte-level tokenizers of this family cut a text before they merge.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_WORD = 2_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,7 +58,8 @@ def byte_symbols() -> dict[str, int]:
 
 
 def models(byte_bpe: str, piece_model: str) -> tuple:
-    """(A's file, B's file, bytes of A's tokens, bytes of B's tokens; None for tokens without text), read on the driver."""
+    """(A's file, B's file, bytes of A's tokens, bytes of B's tokens; None for tokens without text; whether A's ids are its merge ranks), read
+    on the driver."""
     import sentencepiece
     from tokenizers import Tokenizer
 
@@ -68,32 +75,42 @@ def models(byte_bpe: str, piece_model: str) -> tuple:
     for i in range(b.get_piece_size()):
         p = b.id_to_piece(i)
         b_bytes.append(bytes([int(p[3:5], 16)]) if b.is_byte(i) else None if b.is_control(i) or b.is_unknown(i) else p.replace("▁", " ").encode())
-    return a_file, b_file, a_bytes, b_bytes
+    told = json.loads(a_file)
+    merged_ids = [told["model"]["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1)) for m in told["model"].get("merges", [])]
+    cut = told.get("pre_tokenizer") or {}
+    ranked = (told["model"]["type"] == "BPE" and not told["normalizer"] and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+              and None not in merged_ids and all(x < y for x, y in zip(merged_ids, merged_ids[1:])))
+    return a_file, b_file, a_bytes, b_bytes, ranked
 
 
-def of_worker(shared) -> Aligner:
+def of_worker(shared, text: bool = False) -> Aligner:
     """The aligner of this worker process: a broadcast value stays with the process, and so does what it found out for earlier tasks."""
     *known, kept = shared.value
     if "aligner" not in kept:
         kept["aligner"] = Aligner(*known)
+    if kept["aligner"].text != text:
+        kept["aligner"].text = text
+        kept["aligner"].clear()
     return kept["aligner"]
 
 
 class Aligner:
     """Aligns texts word by word and keeps what it has found out about words, up to a bound."""
 
-    def __init__(self, a_file: str, b_file: bytes, a_bytes: list, b_bytes: list):
+    def __init__(self, a_file: str, b_file: bytes, a_bytes: list, b_bytes: list, ranked: bool):
+        """``ranked``: merges by rank of the merged bytes give the same ids, and the faster encoder that works so is used for all but long words."""
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_str(a_file)
-        self.a.encode_special_tokens = True
+        self.a_file, self.a = a_file, None
+        ranks = {x: i for i, x in enumerate(a_bytes) if x is not None}
+        self.ranked = tiktoken.Encoding("ranked", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}) if ranked else None
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         self.width = len(b_bytes)
         self.faces = [(np.frombuffer(b"".join(x or b"" for x in t), np.uint8), np.r_[0, np.cumsum([len(x or b"") for x in t])], np.array([x is None for x in t]))
                       for t in (a_bytes, b_bytes)]
         self.marked = [f"{i}{end}" for i in range(max(len(a_bytes), self.width)) for end in ",|;"]
-        self.age = 0
+        self.age, self.text = 0, False
         self.clear()
 
     def clear(self) -> None:
@@ -106,6 +123,7 @@ class Aligner:
         self.age += 1
         self.numbers = Numbers()
         self.numbers.fresh = []
+        self.odd: set[str] = set()
         self.pairs, self.times, self.offsets = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.sums = np.zeros((0, 5), np.int64)  # good, n_a, n_b, n_groups, n_links
         self.texts: list[str] = []
@@ -119,6 +137,9 @@ class Aligner:
             if t:
                 ws = _CUT.split(" " + t)
                 ws[0] = ws[0][1:]
+                for w in (ws[0], ws[-1]):  # white space is left at the ends of a text only
+                    if not w or w[0].isspace() or w[-1].isspace() or w[0] == _WHITE or w[-1] == _WHITE:
+                        self.odd.add(w)
                 codes.append(np.fromiter(map(self.numbers.__getitem__, ws), np.int64, len(ws)))
                 counts[k] = len(ws)
         if self.numbers.fresh:
@@ -126,28 +147,64 @@ class Aligner:
             self.numbers.fresh = []
         return np.concatenate(codes) if codes else np.zeros(0, np.int64), counts
 
-    def encoded(self, ids: list[list[int]], side: int, size: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, word of each, whether a word's joined bytes are its own)."""
+    def whole(self) -> object:
+        """The library that reads A's file, made where it is first needed."""
+        if self.a is None:
+            from tokenizers import Tokenizer
+
+            self.a = Tokenizer.from_str(self.a_file)
+            self.a.encode_special_tokens = True
+        return self.a
+
+    def ids_of(self, text: str, side: int) -> list[int]:
+        if side:
+            return self.b.encode(text)
+        if self.ranked:
+            return self.ranked.encode_ordinary(" " + text)
+        return self.whole().encode(" " + text, add_special_tokens=False).ids
+
+    def encoded(self, words: list[str], side: int, size: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, word of each, whether a word's joined bytes are its own).
+
+        Words without white space at their ends stand in one text, where no token crosses the spaces between them; the others, and all if
+        that text does not come back byte by byte, are encoded one by one."""
         surface, at, none = self.faces[side]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int64, int(count.sum()))
-        word = np.repeat(np.arange(count.size), count)
-        got = np.bincount(word, at[flat + 1] - at[flat], count.size).astype(np.int64)
-        good = (got == size) & (np.bincount(word, none[flat], count.size) == 0)
-        own = np.flatnonzero(good)
-        starts = np.r_[0, np.cumsum(size)]
-        wanted, n = gather(target, starts, own)
-        found, _ = gather(surface, at, flat[good[word]])
-        wrong = np.bincount(np.repeat(own, n), found != wanted, count.size) > 0
-        return flat, word, good & ~wrong
+        odd = np.fromiter(map(self.odd.__contains__, words), bool, len(words)) | (size > LONG_WORD)
+        plain, ends, parts = np.flatnonzero(~odd), np.r_[0, np.cumsum(size)], []
+        if plain.size:
+            text = " ".join(itertools.compress(words, (~odd).tolist()))
+            flat = np.array(self.ids_of(text, side), np.int64)
+            stop = np.cumsum(at[flat + 1] - at[flat])
+            wanted, n = gather(target, ends, plain)
+            bounds = np.cumsum(n)
+            if not none[flat].any() and stop[-1] == bounds[-1] and (gather(surface, at, flat)[0] == wanted).all() and np.isin(bounds, stop).all():
+                parts.append((flat, plain[np.searchsorted(bounds, stop)]))
+            else:
+                odd[:] = True
+        good = ~odd
+        rest = np.flatnonzero(odd)
+        if rest.size:
+            alone = list(itertools.compress(words, odd.tolist()))
+            ids = self.b.encode(alone, num_threads=1) if side else [self.whole().encode(" " + w, add_special_tokens=False).ids for w in alone]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat, word = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(count.sum())), np.repeat(rest, count)
+            got = np.bincount(word, at[flat + 1] - at[flat], size.size).astype(np.int64)
+            good[rest] = (got[rest] == size[rest]) & (np.bincount(word, none[flat], size.size)[rest] == 0)
+            own = rest[good[rest]]
+            wanted, n = gather(target, ends, own)
+            found, _ = gather(surface, at, flat[good[word]])
+            good &= ~(np.bincount(np.repeat(own, n), found != wanted, size.size) > 0)
+            parts.append((flat, word))
+        flat, word = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(word, kind="stable")
+        return flat[order], word[order], good
 
     def add(self, fresh: list[str]) -> None:
-        spaced = [" " + w for w in fresh]
-        raw = [w.encode() for w in spaced]
+        raw = [(" " + w).encode() for w in fresh]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         target = np.frombuffer(b"".join(raw), np.uint8)
-        fa, wa, good_a = self.encoded([e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)], 0, size, target)
-        fb, wb, good_b = self.encoded(self.b.encode(fresh, num_threads=1), 1, size, target)
+        fa, wa, good_a = self.encoded(fresh, 0, size, target)
+        fb, wb, good_b = self.encoded(fresh, 1, size, target)
         good = good_a & good_b
         n = len(fresh)
         fa, wa, fb, wb = fa[good[wa]], wa[good[wa]], fb[good[wb]], wb[good[wb]]
@@ -173,6 +230,8 @@ class Aligner:
         self.offsets = np.r_[self.offsets, self.offsets[-1] + np.cumsum(np.bincount(key >> 32, minlength=n))]
         sums = [good, np.bincount(wa, minlength=n), np.bincount(wb, minlength=n), np.bincount(owner, minlength=n), np.bincount(owner, links, n)]
         self.sums = np.concatenate([self.sums, np.stack(sums, 1).astype(np.int64)])
+        if not self.text:
+            return
         group, side = np.r_[ga, gb], np.repeat([0, 1], [ga.size, gb.size])
         order = np.argsort(group * 2 + side, kind="stable")
         part = (group * 2 + side)[order]
@@ -399,7 +458,7 @@ def token_links(docs: DataFrame, byte_bpe: str, piece_model: str, text_col: str
         index = spark.sparkContext.broadcast((sizes, np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8), slots, n, best, {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = of_worker(shared)
+        aligner = of_worker(shared, True)
         for batch in batches:
             for part, texts in chunks(batch, "body"):
                 words, counts_ = aligner.words(texts)
