@@ -90,17 +90,42 @@ def family(singles, pairs, seed=11):
     return [" ".join(f"x{i}" if i % 5 == 2 and i // 5 in s else w for i, w in enumerate(base)) for s in sets]
 
 
-@pytest.mark.parametrize("small, block", [(16, 4096), (2, 90)])
+@pytest.mark.parametrize("small, block", [(16, 1024), (2, 90)])
 def test_couples_in_a_large_family(spark, monkeypatch, small, block):
     monkeypatch.setattr(om, "SMALL", small)
-    monkeypatch.setattr(om, "BLOCK", block, raising=False)
-    monkeypatch.setattr(om, "PACK", min(block // 3, 128), raising=False)
+    monkeypatch.setattr(om, "BLOCK", block)
     texts = family(120, 80)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["id"]: r["class_id"] for r in om.classes(docs).collect()}
     assert got == {i: i - i % 2 if i < 160 else i for i in range(len(texts))}
 
 
+def test_work_doubles_with_the_family(spark):
+    """Texts that move for the comparison in full: at most one for each sketch of a member of a family below the threshold, whatever its pairs."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for size in (200, 400, 800):
+        texts = [" ".join(f"x{i}" if i in s else w for i, w in enumerate(base)) for s in ({*rng.sample(range(300), 11)} for _ in range(size))]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        named = docs.select("doc_id", om.node_of(om.F.col("text")).alias("node"), om.F.col("text").alias("body"))
+        sketched = om.stored(om.sketch_rows(named.select("node", "body"), om.LEVEL, 5), "sketches")
+        _, big = om.candidate_pairs(sketched, om.SMALL, om.SHARED, 0.8)
+        none = spark.createDataFrame([], "node binary, root binary")
+        rows.append(om.with_mates(om.open_blocks(big, none, sketched), om.SHARED, 0.8).count())
+    assert all(size < n < om.LEVEL[0][1] * size for n, size in zip(rows, (200, 400, 800)))
+
+
+def test_class_roots_and_links(spark):
+    """Classes whose least ids are equal or null stay apart by root; the links of a class join its texts."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words[:-1] + ["z"])
+    rows = [(None, "one two three four five six"), (None, "alpha beta gamma delta epsilon"), (7, " ".join(words)), (7, near), (7, "other text of its own entirely"), (8, None)]
+    got = om.classes(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert len({r.root for r in got if r.root}) == 4 and len(got) == 6
+    assert {(r.id, r.n_rows, r.n_links) for r in got} == {(None, 1, 0), (7, 2, 1), (7, 1, 0), (8, 1, 0)}
+
+
 def test_alignment_is_a_longest_chain():
     rng = random.Random(8)
     for _ in range(60):

@@ -9,15 +9,14 @@ probability that falls with their edit distance.  Texts that share a sketch meet
   so no bucket makes pairs by the square.  Pairs that share too few of all sketches go before any text moves.
 * A verified pair aligns: runs common to both texts, within the band that can still reach the threshold, form the longest chain in
   the order of both.  With ``m`` runs in the chain and n1, n2 in the texts, similarity is m / (n1 + n2 - m), at least ``threshold``.
-* A large bucket whose members are not all of one class after that is sketched again, with longer and many more sketches, and
-  the same steps follow for pairs of different classes.
-* First-level buckets that still hold several classes are compared in full, block by block: every pair of different classes that shares
-  enough sketches meets in the bucket of the first sketch it shares, its runs are counted, and it is aligned if the count can reach the
-  threshold.  No pair becomes a row unless it links two classes.
+* Large buckets that still hold several classes are compared in full.  The members outside a bucket's largest class are dealt into blocks
+  of up to 1,024 texts; each block is one task's work together with one block of any members, so that a text moves once for each such
+  block and no pair is a row.  A pair belongs to the bucket of the first sketch it shares; the task counts common runs of the pairs of
+  different classes that share enough sketches and aligns those that can reach the threshold.  Members of the largest class never meet
+  each other, and a bucket's rows are in proportion to its members while the others fill one block.
 * Classes are connected components, by star contraction with a reliable checkpoint a round.
 
-Misses are a matter of chance: at similarity 0.8 a pair shares fewer than 3 of 24 two-run sketches with probability below 1e-8.  The
-second level only spares comparisons: what it misses, the comparison in full finds.
+Misses are a matter of chance: at similarity 0.8 a pair shares fewer than 3 of 24 two-run sketches with probability below 1e-8.
 
 Defined results: equal texts, empty ones too, are one class; a null text is a class of its own row; a text of fewer than ``k`` words is
 one run, one without words resembles equal texts only; rows that repeat an id are separate rows of the class of their text.
@@ -35,11 +34,11 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, stored
 from .tokens import Words, chunks, free_buffers, mix
 
-#: By level: tiers of (runs in a sketch, sketches, least and most runs in a text), and the sketches that a pair must share at least
-LEVELS = ((((2, 24, 1, 1 << 60),), 3), (((3, 16, 1, 50), (7, 32, 40, 1 << 60)), 1))
+#: Tiers of (runs in a sketch, sketches, least and most runs in a text), and the sketches that a pair must share at least
+LEVEL, SHARED = ((2, 24, 1, 1 << 60),), 3
 SMALL = 16
-#: Comparison in full: members of a block of sketches; members and runs of one side of a pack of texts
-BLOCK, PACK, PACK_RUNS = 4096, 128, 500_000
+#: Comparison in full: texts and runs of one side of a task's work
+BLOCK, BLOCK_RUNS = 1024, 400_000
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _TOP = np.uint64(2**64 - 1)
 
@@ -196,28 +195,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def candidate_pairs(sketched: DataFrame, roots: DataFrame | None, small: int, least_shared: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b, large buckets).  With ``roots`` only pairs of different classes count."""
-    if roots is None:
-        named = sketched.withColumn("root", F.col("node"))
-    else:
-        named = sketched.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def candidate_pairs(sketched: DataFrame, small: int, least_shared: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs a < b, large buckets)."""
     own = F.filter(F.transform("sketch", lambda v, t: F.struct(t.alias("t"), v.alias("value"))), lambda s: s["value"] != 0)
-    rows = named.select("node", "root", F.explode(own).alias("s")).select("node", "root", "s.t", "s.value")
-    sizes = rows.groupBy("t", "value")
-    if roots is None:  # every node is a class
-        sizes = sizes.agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    else:
-        sizes = sizes.agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").drop("r0", "r1")
+    rows = sketched.select("node", F.explode(own).alias("s")).select("node", "s.t", "s.value")
+    sizes = rows.groupBy("t", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # sizes and hubs are tables of their own: an aggregate's partitioning would carry over to the joins and keep a large bucket in one task
     met = stored(rows.join(stored(sizes, "sizes"), ["t", "value"]), "buckets")
-    lists = met.filter(F.col("size") <= small).groupBy("t", "value").agg(F.collect_list(F.struct("node", "root")).alias("ms"))
+    lists = met.filter(F.col("size") <= small).groupBy("t", "value").agg(F.collect_list("node").alias("ms"))
     some = (lists.select("ms", F.explode("ms").alias("x")).select("x", F.explode("ms").alias("y"))
-            .filter("x.node < y.node and x.root <> y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+            .filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")))
     big = met.filter(F.col("size") > small)
     central = big.groupBy("node").agg(F.sum("size").alias("mates"))
-    hubs = stored(big.join(central, "node").groupBy("t", "value").agg(F.max(F.struct("mates", "node", "root")).alias("hub")), "hubs")
-    star = (big.join(hubs, ["t", "value"]).filter("hub.root <> root")
+    hubs = stored(big.join(central, "node").groupBy("t", "value").agg(F.max(F.struct("mates", "node")).alias("hub")), "hubs")
+    star = (big.join(hubs, ["t", "value"]).filter("hub.node <> node")
             .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))
     pairs = some.unionByName(star).distinct()
     side = sketched.select("node", "n", "sketch")
@@ -228,81 +219,61 @@ def candidate_pairs(sketched: DataFrame, roots: DataFrame | None, small: int, le
     return met_pairs.filter(equal >= least_shared).select("a", "b"), big
 
 
-def split_buckets(big: DataFrame, roots: DataFrame) -> DataFrame:
-    """(t, value, node, root, size) of the large buckets that hold several classes."""
-    named = big.select("t", "value", "node").join(roots, "node", "left").select("t", "value", "node", F.coalesce("root", "node").alias("root"))
-    split = (named.groupBy("t", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"))
-             .filter("r0 <> r1").select("t", "value", "size"))
-    return named.join(stored(split, "split"), ["t", "value"])
-
-
-def packs_of(n: np.ndarray) -> np.ndarray:
-    """Number of the pack of each text, in order of the texts: at most PACK texts and PACK_RUNS runs (or one text) in each."""
-    out, pack, count, runs = np.zeros(n.size, np.int64), 0, 0, 0
-    for at, size in enumerate(n.tolist()):
-        if count and (count == PACK or runs + size > PACK_RUNS):
-            pack, count, runs = pack + 1, 0, 0
-        out[at], count, runs = pack, count + 1, runs + size
-    return out
+def open_blocks(big: DataFrame, roots: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(t, value, i, j, c, node, root, n, sketch) of the large buckets that hold several classes, once for each piece of work (i, j).
+
+    Blocks from 0 on hold the members outside the bucket's largest class, the blocks after them that class."""
+    named = (big.select("t", "value", "node").join(roots, "node", "left").join(sketched.select("node", "n", "sketch"), "node")
+             .select("t", "value", "node", F.coalesce("root", "node").alias("root"), "n", "sketch"))
+    by_class = named.groupBy("t", "value", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("runs"))
+    most = F.max(F.struct("k", "root", "runs"))
+    split = by_class.groupBy("t", "value").agg(most.alias("m"), F.sum("k").alias("k"), F.sum("runs").alias("runs"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    blocks = lambda k, runs: F.greatest(F.lit(1), F.ceil(k / BLOCK), F.ceil(runs / BLOCK_RUNS)).cast("int")
+    split = split.select("t", "value", F.col("m.root").alias("main"), blocks(F.col("k") - F.col("m.k"), F.col("runs") - F.col("m.runs")).alias("b"), blocks(F.col("m.k"), F.col("m.runs")).alias("bm"))
+    rows = named.join(stored(split, "split"), ["t", "value"])
+    c = F.when(F.col("root") == F.col("main"), F.col("b") + F.pmod(F.xxhash64("node", "t"), F.col("bm"))).otherwise(F.pmod(F.xxhash64("node", "t"), F.col("b"))).cast("int")
+    rows = rows.withColumn("c", c).withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("c") < F.col("b"), F.col("b") + F.col("bm")).otherwise(F.col("b")) - 1)))
+    return rows.select("t", "value", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "root", "n", "sketch")
+
+
+def meeting(group: pa.Table, i: int, j: int, t: int, least_shared: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (left, right) of the pairs of different classes that share enough sketches, none before sketch ``t``, and may be alike by length."""
+    group = group.combine_chunks()
+    n, side = group.column("n").to_numpy(), group.column("c").to_numpy()
+    s = group.column("sketch").combine_chunks().flatten().to_numpy().reshape(n.size, -1)
+    root = np.unique(np.array([r.hex() for r in group.column("root").to_pylist()]), return_inverse=True)[1]
+    left, right, out = np.flatnonzero(side == i), np.flatnonzero(side == j), []
+    for at in range(0, left.size, 128):
+        x = left[at : at + 128]
+        y = right[(n[right] >= threshold * n[x].min()) & (threshold * n[right] <= n[x].max())]
+        shared, before = np.zeros((x.size, y.size), np.uint8), np.zeros((x.size, y.size), bool)
+        for c in range(s.shape[1]):
+            equal = (s[x, c][:, None] == s[y, c]) & (s[x, c] != 0)[:, None]
+            shared += equal
+            if c < t:
+                before |= equal
+        n1, n2 = n[x][:, None], n[y]
+        met = (shared >= least_shared) & ~before & (root[x][:, None] != root[y]) & (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2))
+        if i == j:
+            met &= x[:, None] < y
+        a, b = np.nonzero(met)
+        out.append((x[a], y[b]))
+    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+
+
+def with_mates(work: DataFrame, least_shared: int, threshold: float) -> DataFrame:
+    """The rows of ``open_blocks`` that have a pair to compare, so that no other text is moved."""
+    names = work.columns
 
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        t, _, i, j = (x.as_py() for x in key)
+        left, right = meeting(group, i, j, t, least_shared, threshold)
+        return group.select(names).take(pa.array(np.union1d(left, right)))
 
-def packs(open_: DataFrame, sketched: DataFrame, least_shared: int, threshold: float) -> DataFrame:
-    """(t, value, i, j, p, slot, node, root, mates): packs of texts that hold pairs to compare; ``mates`` are the slots of a left text's partners.
+    return work.groupBy("t", "value", "i", "j").applyInArrow(run, work.schema)
 
-    A bucket is dealt into blocks, and every two blocks meet once.  A pair belongs to the bucket of the first sketch it shares; if that one is
-    small, the pair has been made before."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = (open_.join(sketched.select("node", "n", "sketch"), "node").withColumn("c", F.pmod(F.xxhash64("node", "t"), blocks).cast("int"))
-            .withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("t", "value", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "root", "n", "sketch"))
-    schema = pa.schema([("t", pa.int32()), ("value", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("p", pa.int64()), ("slot", pa.int16()),
-                        ("node", pa.binary()), ("root", pa.binary()), ("mates", pa.list_(pa.int16()))])
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        t, value, i, j = (x.as_py() for x in key)
-        group = group.combine_chunks()
-        n, side = group.column("n").to_numpy(), group.column("c").to_numpy()
-        s = group.column("sketch").combine_chunks().flatten().to_numpy().reshape(n.size, -1)
-        nodes, roots = group.column("node").to_pylist(), group.column("root").to_pylist()
-        root = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
-        order = np.argsort(n, kind="stable")
-        place = np.empty(n.size, np.int64)
-        place[order] = np.arange(n.size)
-        left, right = order[side[order] == i], order[side[order] == j]
-        pl, pr = packs_of(n[left]), packs_of(n[right])
-        out: dict[str, list] = {c: [] for c in ("p", "slot", "node", "root", "mates")}
-        for a in range(pl[-1] + 1 if left.size and right.size else 0):
-            x = left[pl == a]
-            near = (n[right] >= threshold * n[x[0]]) & (threshold * n[right] <= n[x[-1]])
-            y, py = right[near], pr[near]
-            shared, before = np.zeros((x.size, y.size), np.uint8), np.zeros((x.size, y.size), bool)
-            for c in range(s.shape[1]):
-                equal = (s[x, c][:, None] == s[y, c]) & (s[x, c] != 0)[:, None]
-                shared += equal
-                if c < t:
-                    before |= equal
-            n1, n2 = n[x][:, None], n[y]
-            met = (shared >= least_shared) & ~before & (root[x][:, None] != root[y]) & (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2))
-            if i == j:
-                met &= place[x][:, None] < place[y]
-            for b in np.unique(py[met.any(0)]).tolist():
-                z, part = y[py == b], met[:, py == b]
-                first = int(np.flatnonzero(pr == b)[0])
-                slot = PACK + np.searchsorted(place[right], place[z]) - first
-                rows_, cols_ = np.flatnonzero(part.any(1)), np.flatnonzero(part.any(0))
-                out["p"] += [a << 32 | b] * (rows_.size + cols_.size)
-                out["slot"] += [*rows_.tolist(), *slot[cols_].tolist()]
-                who = [*x[rows_].tolist(), *z[cols_].tolist()]
-                out["node"] += [nodes[w] for w in who]
-                out["root"] += [roots[w] for w in who]
-                out["mates"] += [*(slot[part[r]].tolist() for r in rows_), *([] for _ in cols_)]
-        size = len(out["p"])
-        return pa.table({"t": [t] * size, "value": [value] * size, "i": [i] * size, "j": [j] * size, **out}, schema=schema)
-
-    return rows.groupBy("t", "value", "i", "j").applyInArrow(run, "t int, value long, i int, j int, p long, slot short, node binary, root binary, mates array<short>")
-
-
-def common_runs(label: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, slab: int = 16384) -> np.ndarray:
+def common_runs(label: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, slab: int = 4096) -> np.ndarray:
     """Number of labelled runs that each left text shares with each right one."""
     _, column, holders = np.unique(label, return_inverse=True, return_counts=True)
     doc = np.repeat(np.arange(offsets.size - 1), np.diff(offsets))
@@ -338,7 +309,7 @@ def linked(root: list[bytes], bodies: list[str], left: np.ndarray, right: np.nda
     out, todo = [], list(zip(left[keep].tolist(), right[keep].tolist()))
     while todo:
         batch, runs, at = [], 0, 0
-        while at < len(todo) and len(batch) < 128 and (not batch or runs < PACK_RUNS):
+        while at < len(todo) and len(batch) < 128 and (not batch or runs < BLOCK_RUNS):
             a, b = todo[at]
             if find(root[a]) != find(root[b]):
                 batch.append((a, b))
@@ -352,51 +323,38 @@ def linked(root: list[bytes], bodies: list[str], left: np.ndarray, right: np.nda
     return out
 
 
-def compared_in_full(met: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(a, b, similarity): links between the classes of each pack."""
+def compared_in_full(work: DataFrame, texts: DataFrame, k: int, threshold: float, least_shared: int) -> DataFrame:
+    """(a, b, similarity): links between the classes of each piece of work."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
 
-    def run(group: pa.Table) -> pa.Table:
-        slots = {s: at for at, s in enumerate(group.column("slot").to_pylist())}
-        pairs = [(at, slots[m]) for at, ms in enumerate(group.column("mates").to_pylist()) for m in ms]
-        left, right = np.array(pairs, np.int64).reshape(-1, 2).T
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        t, _, i, j = (x.as_py() for x in key)
+        left, right = meeting(group, i, j, t, least_shared, threshold)
         nodes = group.column("node").to_pylist()
-        found = linked(group.column("root").to_pylist(), group.column("body").to_pylist(), left, right, k, threshold)
+        found = linked(group.column("root").to_pylist(), group.column("body").to_pylist(), left, right, k, threshold) if left.size else []
         free_buffers()
         return pa.table({"a": [min(nodes[a], nodes[b]) for a, b, _ in found], "b": [max(nodes[a], nodes[b]) for a, b, _ in found],
                          "similarity": [s for _, _, s in found]}, schema=schema)
 
-    return met.join(texts, "node").groupBy("t", "value", "i", "j", "p").applyInArrow(run, "a binary, b binary, similarity double")
+    return work.join(texts, "node").groupBy("t", "value", "i", "j").applyInArrow(run, "a binary, b binary, similarity double")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links).  members: (id, node, root), one row per input row; links: (a, b, similarity) between different texts."""
+    """(members, links).  members: (id, node, root), one row per input row; links: (a, b, similarity) between different texts, as many as were
+    verified before both were of one class."""
     named = docs.select(F.col(id_col).alias("id"), node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("body"))
     picks = named.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    links, roots, inner, candidates, first = None, None, None, None, None
-    for number, (level, shared) in enumerate(LEVELS):
-        if number == 0:
-            sketched = stored(sketch_rows(named.filter("node is not null").select("node", "body"), level, k).dropDuplicates(["node"]), "sketches")
-        else:
-            sketched = stored(sketch_rows(texts_of(named, picks, inner), level, k).dropDuplicates(["node"]), "sketches")
-        pairs, big = candidate_pairs(sketched, roots, SMALL, shared, threshold)
-        candidates = stored(pairs, "pairs")
-        wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
-        found = stored(verify(candidates, stored(texts_of(named, picks, wanted), "texts"), k, threshold), "links")
-        links = found if links is None else links.unionByName(found)
+    sketched = stored(sketch_rows(named.filter("node is not null").select("node", "body"), LEVEL, k).dropDuplicates(["node"]), "sketches")
+    pairs, big = candidate_pairs(sketched, SMALL, SHARED, threshold)
+    candidates = stored(pairs, "pairs")
+    wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
+    links = stored(verify(candidates, stored(texts_of(named, picks, wanted), "texts"), k, threshold), "links")
+    roots = components(links)
+    work = stored(with_mates(open_blocks(big, roots, sketched), SHARED, threshold), "work")
+    if not work.isEmpty():
+        texts = stored(texts_of(named, picks, work.select("node").distinct()), "texts")
+        links = links.unionByName(stored(compared_in_full(work, texts, k, threshold, SHARED), "links"))
         roots = components(links)
-        first = first or (big, sketched, shared)
-        open_ = split_buckets(first[0], roots)
-        if number + 1 < len(LEVELS):
-            inner = cut_lineage(open_.select("node").distinct())
-            if inner.isEmpty():
-                break
-    else:
-        met = stored(packs(open_, first[1], first[2], threshold), "packs")
-        if not met.isEmpty():
-            texts = stored(texts_of(named, picks, met.select("node").distinct()), "texts")
-            links = links.unionByName(stored(compared_in_full(met, texts, k, threshold), "links"))
-            roots = components(links)
     members = named.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
     return members, links
 
@@ -409,13 +367,17 @@ def texts_of(named: DataFrame, picks: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, root, class_id, n_rows): one row per input row; class_id is the least id of the class.
+    """(id, node, root, class_id, n_rows, n_links): one row per input row; class_id is the least id of the class, n_links the verified links
+    between its different texts.
 
     ``root`` tells classes apart whose least ids are equal or null; a null text has none."""
-    members, _ = near_duplicates(docs, k, threshold, id_col, text_col)
+    members, links = near_duplicates(docs, k, threshold, id_col, text_col)
     members = stored(members, "members")
-    named = stored(members.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows")), "classes")
-    return (members.join(named, "root", "left").select("id", "node", "root", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_rows", F.lit(1)).cast("long").alias("n_rows")))
+    of_class = members.filter("root is not null").groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_rows"))
+    linked_ = links.join(members.select(F.col("node").alias("a"), "root").distinct(), "a").groupBy("root").agg(F.count(F.lit(1)).alias("n_links"))
+    named = stored(of_class.join(linked_, "root", "left"), "classes")
+    return (members.join(named, "root", "left").select("id", "node", "root", F.coalesce("class_id", "id").alias("class_id"),
+                                                       *[F.coalesce(c, F.lit(d)).cast("long").alias(c) for c, d in (("n_rows", 1), ("n_links", 0))]))
 
 
 def first_of_each(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -54,7 +54,8 @@ def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"), k=5, threshold=0.8).select(F.col("id").alias("doc_id"), "class_id", "n_rows")
+    return classes(table(spark, sf_dir, "documents"), k=5, threshold=0.8).select(
+        F.col("id").alias("doc_id"), "class_id", "n_rows", F.hex("root").alias("class_root"), "n_links")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
