@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..session import broadcast_if_small
 from . import blocks as B
@@ -232,6 +233,27 @@ def transitions(a: DataFrame, b: DataFrame, cls: str, area: float, keys: Sequenc
     return j.groupBy("from_class", "to_class").agg((F.count(F.lit(1)) * area).alias("area"))
 
 
+def pyramid(base: DataFrame, keys: Sequence[str], counts: Sequence[str], levels: int) -> list[tuple[int, DataFrame]]:
+    """(cell size, counts by cell) of cells once, twice, four times ... as wide, each level summed from the one before."""
+    out, size, now = [(1, base)], 1, base
+    for _ in range(levels - 1):
+        now = now.groupBy(*keys, F.floor(F.col("row") / 2).alias("row"), F.floor(F.col("col") / 2).alias("col")).agg(*[F.sum(c).alias(c) for c in counts])
+        size *= 2
+        out.append((size, now))
+    return out
+
+
+def convergence(shares: DataFrame, by: Sequence[str], limit: float = 0.3) -> DataFrame:
+    """``shares(by, size, method, cells, pct)`` to one row a size: median and range over methods, the step from the next coarser size,
+    the drift from the coarsest to the finest and whether the last step is below ``limit``.  Sizes are few."""
+    by = list(by)
+    g = B.summarise(shares, [*by, "size"], {"cells": F.max("cells"), "lo": F.min("pct"), "hi": F.max("pct")}, {"pct": ("pct", 0.5)})
+    w = W.partitionBy(*by).orderBy(F.col("size").desc())
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    g = g.withColumn("step", F.col("pct") - F.lag("pct").over(w)).withColumn("drift", F.last("pct").over(whole) - F.first("pct").over(whole))
+    return g.withColumn("converged", F.abs(F.last("step").over(whole)) < limit)
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import BLOCK_ROWS_KEY, broadcast_if_small, cut_lineage, is_small, setting
+from .frame import require_metric
 
 
 def _offsets(n: int = 1) -> Column:
@@ -37,6 +38,7 @@ def radius_pairs(a: DataFrame, b: DataFrame, radius: float, same: Sequence[str]
                  window: tuple[str, str, float] | None = None) -> DataFrame:
     """Pairs of an ``a`` row (``ax, ay``) and a ``b`` row (``bx, by``) within ``radius``, equal on ``same`` and, with
     ``window = (a_time, b_time, limit)``, close in time.  ``b`` is the side copied to neighbouring buckets."""
+    require_metric((a, ("ax", "ay")), (b, ("bx", "by")))
     left = a.withColumn("__cx", F.floor(F.col("ax") / radius)).withColumn("__cy", F.floor(F.col("ay") / radius))
     right = (b.withColumn("__dx", _offsets()).withColumn("__dy", _offsets())
              .withColumn("__cx", F.floor(F.col("bx") / radius) + F.col("__dx"))
@@ -76,7 +78,7 @@ def knn(query: DataFrame, train: DataFrame, k: int, qid: str, tid: str, carry: S
     neighbour is closer than one cell size, because anything outside the neighbourhood is farther than that.
     Unsettled queries go on with larger cells, so sparse places cost extra rounds and dense ones do not.
     """
-    spark = query.sparkSession
+    require_metric((query, ("ax", "ay")), (train, ("bx", "by")))
     q = query.select(qid, "ax", "ay")
     t = train.select(tid, "bx", "by", *[c for c in carry if c not in ("bx", "by")])
     lim = t.agg(F.count(F.lit(1)).alias("n"), F.min("bx").alias("a"), F.max("bx").alias("b"), F.min("by").alias("c"),
@@ -152,6 +154,7 @@ def in_domain(points: DataFrame, rings: DataFrame, point_id: str, band: float) -
     Edges are cut into horizontal bands of height ``band`` and meet the points by equi join on the band, so a
     polygon of many thousand vertices costs each point only the edges of its own band.
     """
+    require_metric((points, ("ax", "ay")), (rings, ("x", "y")))
     e = edges(rings).withColumn("__b", F.explode(F.sequence(
         F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band))))
     p = points.select(point_id, "ax", "ay").withColumn("__b", F.floor(F.col("ay") / band))
@@ -173,6 +176,7 @@ def zone_label(points: DataFrame, rings: DataFrame, point_id: str, band: float,
 
 def grid_nearest(points: DataFrame, cells: DataFrame, x0: float, y0: float, size: float, value: str) -> DataFrame:
     """Value of the cell each point falls in."""
+    require_metric((points, ("ax", "ay")))
     p = points.withColumn("row", F.floor((F.col("ay") - y0) / size)).withColumn("col", F.floor((F.col("ax") - x0) / size))
     return p.join(cells.select("row", "col", value), ["row", "col"], "left")
 
@@ -180,6 +184,7 @@ def grid_nearest(points: DataFrame, cells: DataFrame, x0: float, y0: float, size
 def grid_bilinear(points: DataFrame, cells: DataFrame, point_id: str, size: float, n_row: int, n_col: int,
                   value: str) -> DataFrame:
     """Bilinear sample with values at cell centres and the border cell repeated outwards."""
+    require_metric((points, ("ax", "ay")))
     p = points.withColumn("__fx", F.col("ax") / size - 0.5).withColumn("__fy", F.col("ay") / size - 0.5)
     p = p.withColumn("__ix", F.floor("__fx")).withColumn("__iy", F.floor("__fy"))
     p = p.withColumn("__ux", F.col("__fx") - F.col("__ix")).withColumn("__uy", F.col("__fy") - F.col("__iy"))
@@ -203,6 +208,7 @@ def diameter(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     from pyspark.sql import types as T
 
     keys = list(keys)
+    require_metric((df, (x, y)))
     src = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
 
     def hull(pts: np.ndarray) -> np.ndarray:

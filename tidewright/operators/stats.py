@@ -81,7 +81,7 @@ def gram(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str) -> DataF
 
 def _solve_rows(sums: DataFrame, keys: Sequence[str], k: int, inverse: bool) -> DataFrame:
     names = [f"beta{i}" for i in range(k)] + ([f"h{i}_{j}" for i in range(k) for j in range(i, k)] if inverse else [])
-    schema = T.StructType([sums.schema[c] for c in [*keys, "n"]] + [T.StructField(c, T.DoubleType()) for c in names])
+    schema = T.StructType([sums.schema[c] for c in [*keys, "n"]] + [T.StructField("rank", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in names])
 
     def solve(batches):
         for pdf in batches:
@@ -90,12 +90,15 @@ def _solve_rows(sums: DataFrame, keys: Sequence[str], k: int, inverse: bool) ->
                 for j in range(i, k):
                     g[:, i, j] = g[:, j, i] = pdf[f"g{i}_{j}"].to_numpy(float)
             b = pdf[[f"b{i}" for i in range(k)]].to_numpy(float)
-            bad = ~(np.abs(np.linalg.det(g)) > 1e-12)
+            scale = np.sqrt(np.einsum("nii->ni", g))
+            scale[~(scale > 0)] = 1.0
+            rank = np.linalg.matrix_rank(g / (scale[:, :, None] * scale[:, None, :]), tol=1e-10, hermitian=True) if len(pdf) else np.zeros(0, int)
+            bad = rank < k
             g[bad] = np.eye(k)
             inv = np.linalg.inv(g)
             beta = np.einsum("nij,nj->ni", inv, b)
             beta[bad] = np.nan
-            out = {c: pdf[c] for c in [*keys, "n"]}
+            out = {c: pdf[c] for c in [*keys, "n"]} | {"rank": rank.astype(np.int64)}
             out |= {f"beta{i}": beta[:, i] for i in range(k)}
             if inverse:
                 out |= {f"h{i}_{j}": inv[:, i, j] for i in range(k) for j in range(i, k)}
@@ -120,7 +123,43 @@ def ols_multi(df: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str, rob
                        sum((dot(i) * cols[i] for i in range(1, k)), dot(0) * cols[0]).alias("__lev"))
     scaled = F.col("__e") / (1 - F.col("__lev"))
     se = rows.groupBy(*keys).agg(*[F.sqrt(F.sum(F.pow(F.col(f"__z{i}") * scaled, 2))).alias(f"se{i}") for i in range(k)])
-    return _join(fit.select(*keys, "n", *[f"beta{i}" for i in range(k)]), se, keys)
+    return _join(fit.select(*keys, "n", "rank", *[f"beta{i}" for i in range(k)]), se, keys)
+
+
+#: Levels that a category may have as dummies of a design.
+MOST_LEVELS = 50
+
+
+def design(df: DataFrame, numeric: Sequence[str], interactions: Sequence[tuple[str, str]] = (), categories: Sequence[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """Columns of a linear model: numbers, products of two columns, and a dummy for each level of a category but its first (the reference).
+
+    Returns the rows with the columns added and {term: column}; terms are ``x``, ``x:w`` and ``category=level``."""
+    terms = {c: c for c in numeric}
+    for c in categories:
+        levels = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect())
+        if len(levels) > MOST_LEVELS:
+            raise ValueError(f"{c} has more than {MOST_LEVELS} levels")
+        for k, level in enumerate(levels[1:]):
+            df = df.withColumn(f"__{c}_{k}", (F.col(c) == level).cast("double"))
+            terms[f"{c}={level}"] = f"__{c}_{k}"
+    for a, b in interactions:
+        df = df.withColumn(f"__{a}_x_{b}", F.col(terms.get(a, a)) * F.col(terms.get(b, b)))
+        terms[f"{a}:{b}"] = f"__{a}_x_{b}"
+    return df, terms
+
+
+def ols_design(df: DataFrame, keys: Sequence[str], y: str, numeric: Sequence[str], interactions: Sequence[tuple[str, str]] = (), categories: Sequence[str] = ()) -> DataFrame:
+    """``keys, n, rank, term, beta, se``: a linear model per group with HC3 errors, one row a term; NULL where the group's columns are
+    linearly dependent (``rank`` below the number of terms).  Rows with a missing value take no part."""
+    keys = list(keys)
+    rows, terms = design(df, numeric, interactions, categories)
+    for c in [y, *numeric, *categories]:
+        rows = rows.where(F.col(c).isNotNull())
+    fit = ols_multi(rows, keys, list(terms.values()), y, robust=True)
+    k, names = len(terms) + 1, ["intercept", *terms]
+    whole = F.col("rank") == k
+    lines = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.when(whole, F.col(f"beta{i}")).alias("beta"), F.when(whole, F.col(f"se{i}")).alias("se")) for i, n in enumerate(names)]))
+    return fit.select(*keys, "n", "rank", lines.alias("t")).select(*keys, "n", "rank", "t.*")
 
 
 def planar_residual(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str, out: str, soft_scale: float | None = None,
@@ -210,6 +249,47 @@ def kruskal(df: DataFrame, keys: Sequence[str], group: str, value: str) -> DataF
     return g.select(*keys, "n", "k", h.alias("h"))
 
 
+def chi2_tail(x: Column, df: Column, terms: int = 400) -> Column:
+    """Upper tail of the chi-square distribution with whole ``df``: the incomplete gamma function by its series below a + 1, by its
+    continued fraction above; ``terms`` serve up to some thousand degrees of freedom."""
+    a, z = df.cast("double") / 2, x.cast("double") / 2
+    half = df % 2 == 1
+    steps = F.sequence(F.lit(1), F.lit(terms))
+    # gamma of a whole or half number, from 1 or the root of pi upwards
+    up = F.when(df > 2, F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor((df - 1) / 2)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    log_gamma = F.aggregate(up, F.when(half, F.lit(0.5 * np.log(np.pi))).otherwise(F.lit(0.0)), lambda s, i: s + F.log(i - F.when(half, 0.5).otherwise(0.0)))
+    scale = F.exp(a * F.log(z) - z - log_gamma)
+    series = F.aggregate(steps, F.struct((1 / a).alias("t"), (1 / a).alias("s")),
+                         lambda acc, i: F.struct((acc["t"] * z / (a + i)).alias("t"), (acc["s"] + acc["t"] * z / (a + i)).alias("s")), lambda acc: acc["s"])
+    b0 = z + 1 - a
+
+    def lentz(acc, i):
+        an, b = -i * (i - a), acc["b"] + 2
+        d = 1 / (an * acc["d"] + b)
+        c = b + an / acc["c"]
+        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+    fraction = F.aggregate(steps, F.struct(b0.alias("b"), F.lit(1e300).alias("c"), (1 / b0).alias("d"), (1 / b0).alias("h")), lentz, lambda acc: acc["h"])
+    return F.when(z <= 0, 1.0).when(z < a + 1, 1 - scale * series).otherwise(scale * fraction)
+
+
+def offset_stability(scenes: DataFrame, groupings: Sequence[str], centre: str, spread: str, alpha: float = 0.05, most_ratio: float = 1.5) -> DataFrame:
+    """One row a grouping: Kruskal-Wallis of the scenes' medians across its groups of two and more, its p and whether groups differ;
+    between-scene spread against the median spread within scenes; and what that says of a common offset (PER_GROUP, CONSTANT, NO_CONSTANT)."""
+    tests = None
+    for g in groupings:
+        several = scenes.groupBy(F.col(g).alias("__g")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+        rows = scenes.join(broadcast_if_small(several), F.col(g) == F.col("__g")).select(F.lit(g).alias("grouping"), F.col("__g").cast("string").alias("grp"), centre)
+        tests = rows if tests is None else tests.unionByName(rows)
+    h = kruskal(tests, ["grouping"], "grp", centre)
+    h = h.withColumn("p", chi2_tail(F.col("h"), F.col("k") - 1)).withColumn("structured", F.col("p") < alpha)
+    s = B.summarise(scenes, [], {"between": F.max(centre) - F.min(centre)}, {"within": (spread, 0.5)}).withColumn("ratio", F.col("between") / F.col("within"))
+    any_ = h.agg(F.max("structured").alias("any"))
+    verdict = F.when(F.col("any"), "PER_GROUP").when(F.col("ratio") < most_ratio, "CONSTANT").otherwise("NO_CONSTANT")
+    one = lambda d: F.broadcast(d.withColumn("__one", F.lit(1)))  # aggregates of one row
+    return h.withColumn("__one", F.lit(1)).join(one(s), "__one").join(one(any_), "__one").withColumn("verdict", verdict).drop("__one", "any")
+
+
 def confusion(pred: Column, truth: Column) -> dict[str, Column]:
     """Aggregates of a binary comparison; combine in one ``agg``."""
     tp, fp = F.count_if(pred & truth), F.count_if(pred & ~truth)

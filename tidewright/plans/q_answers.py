@@ -241,7 +241,7 @@ def _(t: Tables):
     return g.select("which", "src", "n", r6(F.col("le90")).alias("le90"), r6(F.col("bias")).alias("bias"), "worst")
 
 
-@query("q_wind_manifest", "Q-19 WIN-04", f"""WITH {S.ASSETS}, w AS (SELECT *, CASE WHEN o_orderkey % 11 <= 3 THEN 'CALM' WHEN o_orderkey % 11 <= 5 THEN 'LOW' WHEN o_orderkey % 11 <= 8 THEN 'MODERATE' ELSE 'HIGH' END AS wind, CASE WHEN month(day) IN (12,1,2) THEN 'DJF' WHEN month(day) IN (3,4,5) THEN 'MAM' WHEN month(day) IN (6,7,8) THEN 'JJA' ELSE 'SON' END AS season FROM ast),
+@query("q_wind_manifest", "WIN-04", f"""WITH {S.ASSETS}, w AS (SELECT *, CASE WHEN o_orderkey % 11 <= 3 THEN 'CALM' WHEN o_orderkey % 11 <= 5 THEN 'LOW' WHEN o_orderkey % 11 <= 8 THEN 'MODERATE' ELSE 'HIGH' END AS wind, CASE WHEN month(day) IN (12,1,2) THEN 'DJF' WHEN month(day) IN (3,4,5) THEN 'MAM' WHEN month(day) IN (6,7,8) THEN 'JJA' ELSE 'SON' END AS season FROM ast),
  r AS (SELECT *, row_number() OVER (PARTITION BY wind, season, orbit ORDER BY cents DESC, o_orderkey) AS rk FROM w) SELECT wind, season, orbit, o_orderkey, CAST(rk AS INTEGER) AS rk FROM r WHERE rk <= 2""")
 def _(t: Tables):
     a = S.assets(t)
@@ -295,7 +295,7 @@ def text_audit(t: Tables):
     return t.benchmark.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_docs"), F.coalesce("d", F.lit(-1)).alias("first_doc"), F.when(F.col("n") > 0, "found").otherwise("MISSING").alias("status"))
 
 
-@query("q_bed_difference", "Q-23 JON-13 INT-05", f"""WITH {S.LEVELS}, {S.SENSORS}, {S.AXIS}, d AS (SELECT aid, ah, aday, chain, node_id, sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)) AS dist FROM sa, ax), b AS (SELECT aid, max(ah) AS ah, max(aday) AS aday, arg_min(chain, (dist, node_id)) AS chain FROM d WHERE dist <= 5000 GROUP BY 1) SELECT CAST(floor(chain / 20) AS BIGINT) AS reach, count(*) AS n, count(DISTINCT aday) AS n_tracks, round(avg(ah - 0.5), 6) AS mean_d, round(median(ah - 0.5), 6) AS med_d FROM b GROUP BY 1""")
+@query("q_bed_difference", "Q-23 JON-13", f"""WITH {S.LEVELS}, {S.SENSORS}, {S.AXIS}, d AS (SELECT aid, ah, aday, chain, node_id, sqrt((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)) AS dist FROM sa, ax), b AS (SELECT aid, max(ah) AS ah, max(aday) AS aday, arg_min(chain, (dist, node_id)) AS chain FROM d WHERE dist <= 5000 GROUP BY 1) SELECT CAST(floor(chain / 20) AS BIGINT) AS reach, count(*) AS n, count(DISTINCT aday) AS n_tracks, round(avg(ah - 0.5), 6) AS mean_d, round(median(ah - 0.5), 6) AS med_d FROM b GROUP BY 1""")
 def _(t: Tables):
     n = P.nearest_within(S.sensor(t, "view", "a"), S.axis(t), 5000.0, "aid", "node_id", ["chain"]).where("node_id is not null")
     n = n.select(F.floor(F.col("chain") / 20).alias("reach"), "aday", (F.col("ah") - 0.5).alias("d"))
@@ -303,7 +303,7 @@ def _(t: Tables):
     return g.select("reach", "n", "n_tracks", r6(F.col("mean_d")).alias("mean_d"), r6(F.col("med_d")).alias("med_d"))
 
 
-@query("q_lake_transition", "Q-24 JON-18", f"""WITH {S.LEVELS}, {S.SENSORS}, z AS (SELECT {QJ._ZB} AS zone, bday, bh FROM sb), g AS (SELECT zone, bday, count(*) AS n, median(bh) AS h FROM z WHERE zone IS NOT NULL GROUP BY 1, 2), p AS (SELECT zone, CASE WHEN bday < DATE '{CUT}' THEN 0 ELSE 1 END AS post, count(*) AS k, median(n) AS area, median(h) AS h FROM g GROUP BY 1, 2) SELECT a.zone, a.k AS n_pre, b.k AS n_post, round(b.area - a.area, 6) AS d_area, round(b.h - a.h, 6) AS d_level FROM p a JOIN p b USING (zone) WHERE a.post = 0 AND b.post = 1""")
+@query("q_lake_transition", "JON-18", f"""WITH {S.LEVELS}, {S.SENSORS}, z AS (SELECT {QJ._ZB} AS zone, bday, bh FROM sb), g AS (SELECT zone, bday, count(*) AS n, median(bh) AS h FROM z WHERE zone IS NOT NULL GROUP BY 1, 2), p AS (SELECT zone, CASE WHEN bday < DATE '{CUT}' THEN 0 ELSE 1 END AS post, count(*) AS k, median(n) AS area, median(h) AS h FROM g GROUP BY 1, 2) SELECT a.zone, a.k AS n_pre, b.k AS n_post, round(b.area - a.area, 6) AS d_area, round(b.h - a.h, 6) AS d_level FROM p a JOIN p b USING (zone) WHERE a.post = 0 AND b.post = 1""")
 def _(t: Tables):
     b = S.sensor(t, "click", "b")
     z = P.in_domain(b.select("bid", F.col("bx").alias("ax"), F.col("by").alias("ay")), S.zone_rings(t), "bid", 5000.0)

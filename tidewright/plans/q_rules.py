@@ -82,7 +82,7 @@ def _(t: Tables):
     return _lonlat(S.levels(t)).select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query("prj_projection_round_trip", "PRJ-08 PRJ-39", f"WITH {S.LEVELS} SELECT event_id, round({LON}, 6) AS lon, round({LAT}, 6) AS lat FROM lv")
+@query("prj_projection_round_trip", "PRJ-08", f"WITH {S.LEVELS} SELECT event_id, round({LON}, 6) AS lon, round({LAT}, 6) AS lat FROM lv")
 def _(t: Tables):
     d = _lonlat(S.levels(t))
     x, y = G.to_metric(F.col("lon"), F.col("lat"))

@@ -377,7 +377,7 @@ def _(t: Tables):
     return j.select(F.col("d").cast("double").alias("d"), r6(F.col("rms")).alias("rms"), (F.col("d") == F.col("bd")).cast("int").alias("best"), (F.col("rms") <= F.col("lo") * 1.1).cast("int").alias("in_band"))
 
 
-@query("agg_exposure_by_method", "AGG-47 AGG-60", f"""WITH {S.CELLS}, f AS (SELECT row % 5 AS reach, scl % 4 AS method, avg(CASE WHEN water = 0 THEN 1.0 ELSE 0 END) AS f FROM cl WHERE water IS NOT NULL GROUP BY 1, 2), g AS (SELECT reach, round(median(f), 6) AS med, round(min(f), 6) AS lo, round(max(f), 6) AS hi FROM f GROUP BY 1) SELECT reach, med, lo, hi, coalesce(round(med - lag(med) OVER (ORDER BY reach), 6), 0.0) AS step FROM g""")
+@query("agg_exposure_by_method", "AGG-47", f"""WITH {S.CELLS}, f AS (SELECT row % 5 AS reach, scl % 4 AS method, avg(CASE WHEN water = 0 THEN 1.0 ELSE 0 END) AS f FROM cl WHERE water IS NOT NULL GROUP BY 1, 2), g AS (SELECT reach, round(median(f), 6) AS med, round(min(f), 6) AS lo, round(max(f), 6) AS hi FROM f GROUP BY 1) SELECT reach, med, lo, hi, coalesce(round(med - lag(med) OVER (ORDER BY reach), 6), 0.0) AS step FROM g""")
 def _(t: Tables):
     c = S.cells(t).where("water is not null")
     f = c.groupBy((F.col("row") % 5).alias("reach"), (F.col("scl") % 4).alias("method")).agg(F.avg((F.col("water") == 0).cast("double")).alias("f"))
@@ -432,7 +432,7 @@ def _(t: Tables):
     return g.select("station", "n", r6(F.hypot("beta1", "beta2")).alias("shift"), r6(F.col("beta0")).alias("bias"))
 
 
-@query("agg_kruskal", "AGG-56", f"""WITH {S.LEVELS}, r AS (SELECT station, event_type, rank() OVER (PARTITION BY station ORDER BY cm) + (count(*) OVER (PARTITION BY station, cm) - 1) / 2.0 AS r FROM lv), g AS (SELECT station, sum(s*s/k)::DOUBLE AS q, sum(k)::DOUBLE AS n, count(*) AS kk FROM (SELECT station, event_type, sum(r)::DOUBLE AS s, count(*) AS k FROM r GROUP BY 1, 2) GROUP BY 1),
+@query("agg_kruskal", "AGG-30", f"""WITH {S.LEVELS}, r AS (SELECT station, event_type, rank() OVER (PARTITION BY station ORDER BY cm) + (count(*) OVER (PARTITION BY station, cm) - 1) / 2.0 AS r FROM lv), g AS (SELECT station, sum(s*s/k)::DOUBLE AS q, sum(k)::DOUBLE AS n, count(*) AS kk FROM (SELECT station, event_type, sum(r)::DOUBLE AS s, count(*) AS k FROM r GROUP BY 1, 2) GROUP BY 1),
  tt AS (SELECT station, sum(c*c*c - c)::DOUBLE AS tie FROM (SELECT station, cm, count(*) AS c FROM lv GROUP BY 1, 2) GROUP BY 1) SELECT station, CAST(n AS BIGINT) AS n, kk AS k, round((12/(n*(n+1))*q - 3*(n+1)) / (1 - tie/(n*n*n - n)), 6) AS h FROM g JOIN tt USING (station)""")
 def _(t: Tables):
     return ST.kruskal(S.levels(t), ["station"], "event_type", "cm").select("station", "n", "k", r6(F.col("h")).alias("h"))

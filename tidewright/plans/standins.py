@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.frame import METRIC, in_frame
 from .registry import Tables
 
 r6 = lambda c: F.round(c, 6)
@@ -46,9 +47,10 @@ POINTS = """pt AS (SELECT event_id, day, (event_id * 7 % 2400) / 10 AS chain, cm
 def sensor(t: Tables, kind: str, prefix: str) -> DataFrame:
     """Altimeter A (views) or B (clicks): metric position, time in days, height."""
     e = levels(t).where(F.col("event_type") == kind)
-    return e.select(F.col("event_id").alias(f"{prefix}id"), (F.col("event_id") * 7919 % 100000).cast("double").alias(f"{prefix}x"),
+    e = e.select(F.col("event_id").alias(f"{prefix}id"), (F.col("event_id") * 7919 % 100000).cast("double").alias(f"{prefix}x"),
                     (F.col("event_id") * 104729 % 100000).cast("double").alias(f"{prefix}y"), F.col("us").alias(f"{prefix}us"),
                     F.col("m").alias(f"{prefix}h"), F.col("day").alias(f"{prefix}day"))
+    return in_frame(e, METRIC, f"{prefix}x", f"{prefix}y")
 
 
 SENSORS = """sa AS (SELECT event_id AS aid, CAST(event_id * 7919 % 100000 AS DOUBLE) AS ax, CAST(event_id * 104729 % 100000 AS DOUBLE) AS ay,
@@ -116,8 +118,9 @@ ASSETS = """ast AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_custk
 def axis(t: Tables) -> DataFrame:
     """River axis: one node per part, 100 m apart along x, swinging between 0 and 10 km in y."""
     k = F.col("p_partkey")
-    return t.part.select(k.alias("node_id"), (k * 100 % 100000).cast("double").alias("bx"),
+    a = t.part.select(k.alias("node_id"), (k * 100 % 100000).cast("double").alias("bx"),
                          (F.abs(F.pmod(k * 37, F.lit(20000)) - 10000)).cast("double").alias("by"), (k / 10).alias("chain"))
+    return in_frame(a, METRIC, "bx", "by")
 
 
 AXIS = """ax AS (SELECT p_partkey AS node_id, CAST(p_partkey * 100 % 100000 AS DOUBLE) AS bx,
@@ -128,9 +131,10 @@ def soundings(t: Tables) -> DataFrame:
     """Depth points: spread positions in metres and a depth from the quantity."""
     l = t.lineitem
     u = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return l.select(u.alias("sid"), "l_orderkey", "l_linenumber", (F.col("l_partkey") * 7919 % 50021).cast("double").alias("x"),
+    d = l.select(u.alias("sid"), "l_orderkey", "l_linenumber", (F.col("l_partkey") * 7919 % 50021).cast("double").alias("x"),
                     ((F.col("l_suppkey") * 104729 + F.col("l_partkey") * 31) % 50021).cast("double").alias("y"),
                     F.col("l_quantity").alias("z"), F.round(F.col("l_tax") * 100).cast("long").alias("src"))
+    return in_frame(d, METRIC, "x", "y")
 
 
 SOUNDINGS = """sd AS (SELECT l_orderkey * 8 + l_linenumber AS sid, l_orderkey, l_linenumber, CAST(l_partkey * 7919 % 50021 AS DOUBLE) AS x,
@@ -146,7 +150,7 @@ def zone_rings(t: Tables) -> DataFrame:
     ell = F.array(corner(lo, F.lit(0)), corner(hi, F.lit(0)), corner(hi, F.lit(30000)), corner(lo + 7000, F.lit(30000)),
                   corner(lo + 7000, F.lit(60000)), corner(lo, F.lit(60000)))
     d = t.region.select(k.alias("domain"), F.posexplode(F.when(k == 0, ell).otherwise(rect)).alias("seq", "v"))
-    return d.select("domain", F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq", "v.x", "v.y")
+    return in_frame(d.select("domain", F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq", "v.x", "v.y"), METRIC, "x", "y")
 
 
 # The same zones as half-open tests, for the twin: no point of the fixture lies on a border except at x or y = 0.
