@@ -16,6 +16,7 @@ from ..operators import stats as ST
 from ..operators import temporal as T
 from ..session import broadcast_if_small, cut_lineage
 from . import q_joins as QJ
+from . import q_windows as QW
 from . import standins as S
 from .q_rules import _MANNING, _ROUGH_SQL, _rough
 from .q_stats import _TS, REPS
@@ -250,15 +251,32 @@ def _(t: Tables):
     return L.first_n(w, ["wind", "season", "orbit"], [F.col("cents").desc(), F.col("o_orderkey")], 2, "rk").select("wind", "season", "orbit", "o_orderkey", "rk")
 
 
-@query("q_event_qualification", "Q-20 AGG-16 JON-06 WIN-08", f"""WITH {S.LEVELS}, {S.DAILY}, sr AS (SELECT day, floor(sum(CAST(round(cm * 10) AS BIGINT)) / count(*) + 0.5) / 10 AS h FROM dl WHERE dayofmonth(day) % 6 > 1 GROUP BY 1), ev AS (SELECT day, station % 7 AS orbit, count(*) AS n_assets FROM lv GROUP BY 1, 2), b AS (SELECT ev.day, orbit, n_assets, s.day AS bd, s.h AS bh FROM ev ASOF LEFT JOIN sr s ON ev.day >= s.day), a AS (SELECT b.*, s.day AS ad, s.h AS ah FROM b ASOF LEFT JOIN sr s ON b.day <= s.day)
- SELECT strftime(day, '%Y-%m-%d') || '_orb' || orbit AS event_id, n_assets, CASE WHEN bd IS NULL OR ad IS NULL OR ad - bd > 3 THEN 'WSE_UNRESOLVED' WHEN bd = ad THEN 'daily_observation_same_date' ELSE 'interpolated_between_daily' END AS method, coalesce(round(CASE WHEN ad - bd > 3 THEN NULL WHEN ad = bd THEN bh ELSE bh + (ah - bh) * (day - bd) / (ad - bd) END, 5), -1.0) AS level FROM a""")
+@query("q_event_qualification", "Q-20 AGG-16 JON-06 WIN-08 WIN-09 PRJ-27", f"""WITH {S.LEVELS}, d AS (SELECT user_id AS station, day, round(floor(sum(CAST(round(cm*100) AS BIGINT)) / count(*) / 10 + 0.5) / 100, 1) AS cm FROM lv WHERE event_type = 'click' GROUP BY 1, 2), {QW.regime_sql('d', '2024-01-08')},
+ lo AS (SELECT station, day, regime, cm, max(CASE WHEN day < DATE '2024-01-08' THEN cm END) OVER (PARTITION BY station) AS full_pool FROM rg), ev AS (SELECT user_id AS station, day, count(*) AS n_assets, (max(us) - min(us)) / 6e7 AS span FROM lv WHERE event_type = 'view' GROUP BY 1, 2),
+ eb AS (SELECT ev.*, s.day AS bd, s.cm AS bh, s.regime, s.full_pool FROM ev ASOF LEFT JOIN lo s ON ev.station = s.station AND ev.day >= s.day), ea AS (SELECT eb.*, s.day AS ad, s.cm AS ah FROM eb ASOF LEFT JOIN lo s ON eb.station = s.station AND eb.day <= s.day),
+ ew AS (SELECT *, CASE WHEN ad - bd > 3 THEN NULL WHEN ad = bd THEN bh ELSE bh + (ah - bh) * (day - bd) / (ad - bd) END AS level FROM ea),
+ ef AS (SELECT *, concat_ws('|', CASE WHEN span > 240 THEN 'long_overpass' END, CASE WHEN level IS NULL THEN 'level_unresolved' END, CASE WHEN coalesce(regime, 'REGIME_UNRESOLVED') = 'REGIME_UNRESOLVED' THEN 'regime_unresolved' END) AS flags FROM ew)
+ SELECT strftime(day, '%Y-%m-%d') || '_obs' || station AS event_id, n_assets, round(span, 4) AS span_minutes, CASE WHEN level IS NULL THEN 'WSE_UNRESOLVED' WHEN bd = ad THEN 'daily_observation_same_date' ELSE 'interpolated_between_daily' END AS method, coalesce(round(level, 5), -1.0) AS level,
+  coalesce(regime, 'REGIME_UNRESOLVED') AS regime, coalesce(round(full_pool - level, 5), -99.0) AS fall, flags, CASE WHEN len(flags) - len(replace(flags, '|', '')) >= 1 THEN 'DEGRADED' WHEN flags <> '' THEN 'USABLE' ELSE 'GOOD' END AS quality FROM ef""")
 def _(t: Tables):
-    sr = S.daily(t).where(F.dayofmonth("day") % 6 > 1).groupBy("day").agg((F.floor(F.sum(F.round(F.col("cm") * 10).cast("long")) / F.count(F.lit(1)) + 0.5) / 10).alias("h")).select(F.unix_date("day").cast("double").alias("t"), "h")
-    ev = S.levels(t).groupBy("day", (F.col("station") % 7).alias("orbit")).agg(F.count(F.lit(1)).alias("n_assets"))
-    ev = ev.withColumn("t", F.unix_date("day").cast("double")).withColumn("event_id", F.concat(D(), F.lit("_orb"), F.col("orbit").cast("string")))
-    j = T.linear(T.bracket(ev, sr, [], "t", "t", "h", "event_id"), "t", "level", 3)
-    m = F.when(F.col("level").isNull(), "WSE_UNRESOLVED").when(F.col("before_t") == F.col("after_t"), "daily_observation_same_date").otherwise("interpolated_between_daily")
-    return j.select("event_id", "n_assets", m.alias("method"), F.coalesce(F.round("level", 5), F.lit(-1.0)).alias("level"))
+    """Overpasses as events: level at the event from the observer's own series, regime of that series, fall below the full pool, flags."""
+    lv = S.levels(t).withColumn("station", F.col("user_id"))
+    d = lv.where("event_type = 'click'").groupBy("station", "day").agg(F.sum(F.round(F.col("cm") * 100).cast("long")).alias("s"), F.count(F.lit(1)).alias("k"))
+    d = cut_lineage(d.select("station", "day", F.round(F.floor(F.col("s") / F.col("k") / 10 + 0.5) / 100, 1).alias("cm")))
+    rg = cut_lineage(T.regimes(d, ["station"], "day", "cm", "2024-01-08"))
+    full = d.where("day < date'2024-01-08'").groupBy("station").agg(F.max("cm").alias("full_pool"))
+    ev = lv.where("event_type = 'view'").groupBy("station", "day").agg(F.count(F.lit(1)).alias("n_assets"), ((F.max("us") - F.min("us")) / 6e7).alias("span"))
+    ev = ev.withColumn("t", F.unix_date("day").cast("double")).withColumn("event_id", F.concat(D(), F.lit("_obs"), F.col("station").cast("string")))
+    j = T.linear(T.bracket(ev, d.select("station", F.unix_date("day").cast("double").alias("t"), "cm"), ["station"], "t", "t", "cm", "event_id"), "t", "level", 3)
+    state = rg.select("station", F.unix_date("day").cast("double").alias("before_t"), "regime")
+    # a station without a reading before the event has no full pool either
+    j = j.join(state, ["station", "before_t"], "left").join(broadcast_if_small(full), "station", "left").withColumn("full_pool", F.when(F.col("before_t").isNotNull(), F.col("full_pool")))
+    regime = F.coalesce("regime", F.lit("REGIME_UNRESOLVED"))
+    flags = R.reasons({"long_overpass": F.col("span") > 240, "level_unresolved": F.col("level").isNull(), "regime_unresolved": regime == "REGIME_UNRESOLVED"})
+    method = F.when(F.col("level").isNull(), "WSE_UNRESOLVED").when(F.col("before_t") == F.col("after_t"), "daily_observation_same_date").otherwise("interpolated_between_daily")
+    quality = F.when(F.size(flags) >= 2, "DEGRADED").when(F.size(flags) == 1, "USABLE").otherwise("GOOD")
+    return j.select("event_id", "n_assets", F.round("span", 4).alias("span_minutes"), method.alias("method"), F.coalesce(F.round("level", 5), F.lit(-1.0)).alias("level"), regime.alias("regime"),
+                    F.coalesce(F.round(F.col("full_pool") - F.col("level"), 5), F.lit(-99.0)).alias("fall"), F.array_join(flags, "|").alias("flags"), quality.alias("quality"))
 
 
 @query("q_discharge_and_slope", "Q-21 JON-09 AGG-22", f"""WITH {S.LEVELS}, {S.POINTS}, s AS (SELECT day, max(post) AS post, regr_slope(h, chain) * 100 AS sl FROM pt GROUP BY 1), qd AS (SELECT day, CAST(sum(CAST(round(cm * 100) AS BIGINT)) AS DOUBLE) / 1e6 AS q FROM lv GROUP BY 1), j AS (SELECT lag, s.post, sl, q FROM s, (VALUES (0), (1), (2), (3)) AS g(lag) JOIN qd ON qd.day = s.day - lag) SELECT lag, post, count(*) AS n, round(corr(sl, q), 6) AS r, round(regr_slope(sl, q), 5) AS per_unit FROM j GROUP BY 1, 2""")

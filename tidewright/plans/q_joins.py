@@ -1,6 +1,8 @@
 """Alignment in time and space."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import geodesy as G
@@ -248,22 +250,31 @@ def _(t: Tables):
         F.coalesce("b.water", F.lit(-1)).alias("water"), F.coalesce("b.lag", F.lit(-1)).alias("lag"))
 
 
-_GRID = "gr AS (SELECT p_partkey // 40 AS row, p_partkey % 40 AS col, p_size * 1.0::DOUBLE AS z FROM part WHERE p_partkey < 1600)"
+# a square grid of all parts over 100 km: its side and cell size follow from the table
+_SIDE = "sd AS (SELECT CAST(ceil(sqrt(max(p_partkey) + 1)) AS BIGINT) AS k, CAST((max(p_partkey) + 1 + CAST(ceil(sqrt(max(p_partkey) + 1)) AS BIGINT) - 1) // CAST(ceil(sqrt(max(p_partkey) + 1)) AS BIGINT) AS BIGINT) AS m FROM part)"
+
+
+def _side(t: Tables) -> tuple[int, int]:
+    n = t.part.agg(F.max("p_partkey").alias("m")).first().m + 1
+    k = math.ceil(math.sqrt(n))
+    return k, -(-n // k)
 
 
-@query("jon_grid_nearest", "JON-22", f"""WITH {S.LEVELS}, {S.SENSORS}, gr AS (SELECT p_partkey // 40 AS row, p_partkey % 40 AS col, p_size AS z FROM part) SELECT aid, coalesce(z, -1) AS z FROM sa LEFT JOIN gr ON row = CAST(floor(ay / 2500) AS BIGINT) AND col = CAST(floor(ax / 2500) AS BIGINT)""")
+@query("jon_grid_nearest", "JON-22", f"""WITH {S.LEVELS}, {S.SENSORS}, {_SIDE}, gr AS (SELECT p_partkey // k AS row, p_partkey % k AS col, p_size AS z FROM part, sd) SELECT aid, coalesce(z, -1) AS z FROM (SELECT sa.*, floor(ay / (100000.0::DOUBLE / k)) AS r, floor(ax / (100000.0::DOUBLE / k)) AS c FROM sa, sd) LEFT JOIN gr ON row = CAST(r AS BIGINT) AND col = CAST(c AS BIGINT)""")
 def _(t: Tables):
-    g = t.part.select(F.floor(F.col("p_partkey") / 40).alias("row"), (F.col("p_partkey") % 40).alias("col"), F.col("p_size").alias("z"))
-    return P.grid_nearest(S.sensor(t, "view", "a"), g, 0, 0, 2500, "z").select("aid", F.coalesce("z", F.lit(-1)).alias("z"))
+    k, _ = _side(t)
+    g = t.part.select(F.floor(F.col("p_partkey") / k).alias("row"), (F.col("p_partkey") % k).alias("col"), F.col("p_size").alias("z"))
+    return P.grid_nearest(S.sensor(t, "view", "a"), g, 0, 0, 100000.0 / k, "z").select("aid", F.coalesce("z", F.lit(-1)).alias("z"))
 
 
-@query("jon_grid_bilinear", "JON-23", f"""WITH {S.LEVELS}, {S.SENSORS}, gr AS (SELECT p_partkey // 40 AS row, p_partkey % 40 AS col, p_size * 1.0::DOUBLE AS z FROM part),
- f AS (SELECT aid, ax / 2500 - 0.5 AS fx, ay / 2500 - 0.5 AS fy FROM sa), c AS (SELECT aid, greatest(0, least(39, CAST(floor(fx) AS BIGINT) + j)) AS col, greatest(0, least(39, CAST(floor(fy) AS BIGINT) + i)) AS row,
+@query("jon_grid_bilinear", "JON-23", f"""WITH {S.LEVELS}, {S.SENSORS}, {_SIDE}, gr AS (SELECT p_partkey // k AS row, p_partkey % k AS col, p_size * 1.0::DOUBLE AS z FROM part, sd),
+ f AS (SELECT aid, k, m, ax / (100000.0::DOUBLE / k) - 0.5 AS fx, ay / (100000.0::DOUBLE / k) - 0.5 AS fy FROM sa, sd), c AS (SELECT aid, greatest(0, least(k - 1, CAST(floor(fx) AS BIGINT) + j)) AS col, greatest(0, least(m - 1, CAST(floor(fy) AS BIGINT) + i)) AS row,
  (CASE WHEN j = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) * (CASE WHEN i = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) AS w FROM f, (VALUES (0), (1)) AS a(j), (VALUES (0), (1)) AS b(i))
  SELECT aid, coalesce(round(CASE WHEN count(z) = 4 THEN sum(z * w) END, 6), -1.0) AS z FROM c LEFT JOIN gr USING (row, col) GROUP BY 1""")
 def _(t: Tables):
-    g = t.part.select(F.floor(F.col("p_partkey") / 40).alias("row"), (F.col("p_partkey") % 40).alias("col"), F.col("p_size").cast("double").alias("z"))
-    s = P.grid_bilinear(S.sensor(t, "view", "a"), g, "aid", 2500.0, 40, 40, "z")
+    k, m = _side(t)
+    g = t.part.select(F.floor(F.col("p_partkey") / k).alias("row"), (F.col("p_partkey") % k).alias("col"), F.col("p_size").cast("double").alias("z"))
+    s = P.grid_bilinear(S.sensor(t, "view", "a"), g, "aid", 100000.0 / k, m, k, "z")
     return s.select("aid", F.coalesce(r6(F.col("sample")), F.lit(-1.0)).alias("z"))
 
 
@@ -332,25 +343,26 @@ def _(t: Tables):
     return d.withColumn("g", got).select("pid", "g.method", F.coalesce(F.round("g.chain", 5), F.lit(-1.0)).alias("chain"), "g.sigma")
 
 
-@query("jon_compare_cells", "JON-33", f"""WITH {S.LEVELS}, {S.DAILY}, a AS (SELECT station, day, CASE WHEN n % 7 > 0 THEN cm END AS raw FROM dl WHERE station % 6 < 5), b AS (SELECT station, day, CASE WHEN n % 7 > 1 THEN cm + CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END END AS parsed FROM dl WHERE station % 6 > 0)
+@query("jon_compare_cells", "JON-33", f"""WITH {S.LEVELS}, {S.OBSERVER_DAILY}, a AS (SELECT station, day, CASE WHEN n % 7 > 0 THEN cm END AS raw FROM dl WHERE (station, day) IN (SELECT user_id, day FROM lv WHERE event_type = 'view')), b AS (SELECT station, day, CASE WHEN n % 7 > 1 THEN cm + CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END END AS parsed FROM dl WHERE (station, day) IN (SELECT user_id, day FROM lv WHERE event_type = 'click'))
  SELECT label, count(*) AS n FROM (SELECT CASE WHEN a.station IS NULL THEN 'only_parsed' WHEN b.station IS NULL THEN 'only_raw' WHEN raw IS NULL AND parsed IS NULL THEN 'both_missing' WHEN raw IS NULL OR parsed IS NULL THEN 'one_missing' WHEN raw = parsed THEN 'equal' ELSE 'different' END AS label
  FROM a FULL JOIN b ON a.station = b.station AND a.day = b.day) GROUP BY 1""")
 def _(t: Tables):
-    d, n = S.daily(t), F.col("n")
-    a = d.where("station % 6 < 5").select("station", "day", F.when(n % 7 > 0, F.col("cm")).alias("raw"), F.lit(1).alias("ia"))
-    b = d.where("station % 6 > 0").select("station", "day", F.when(n % 7 > 1, F.col("cm") + F.when(n % 5 == 0, 1).otherwise(0)).alias("parsed"), F.lit(1).alias("ib"))
+    d, n = S.daily(t, "user_id"), F.col("n")
+    of = lambda kind: d.join(S.levels(t).where(F.col("event_type") == kind).select(F.col("user_id").alias("station"), "day"), ["station", "day"], "left_semi")
+    a = of("view").select("station", "day", F.when(n % 7 > 0, F.col("cm")).alias("raw"), F.lit(1).alias("ia"))
+    b = of("click").select("station", "day", F.when(n % 7 > 1, F.col("cm") + F.when(n % 5 == 0, 1).otherwise(0)).alias("parsed"), F.lit(1).alias("ib"))
     r, p = F.col("raw"), F.col("parsed")
     lab = (F.when(F.col("ia").isNull(), "only_parsed").when(F.col("ib").isNull(), "only_raw").when(r.isNull() & p.isNull(), "both_missing")
            .when(r.isNull() | p.isNull(), "one_missing").when(r == p, "equal").otherwise("different"))
     return a.join(b, ["station", "day"], "full").groupBy(lab.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("jon_availability_matrix", "JON-34 AGG-14", f"""WITH {S.LEVELS}, sp AS (SELECT unnest(generate_series((SELECT min(day) FROM lv), (SELECT max(day) FROM lv), INTERVAL 1 DAY)) AS d), v AS (SELECT DISTINCT station, day FROM lv WHERE event_id % 9 = 0)
+@query("jon_availability_matrix", "JON-34 AGG-14", f"""WITH {S.LEVELS}, sp AS (SELECT unnest(generate_series((SELECT min(day) FROM lv), (SELECT max(day) FROM lv), INTERVAL 1 DAY)) AS d), v AS (SELECT DISTINCT station, day FROM lv)
  SELECT strftime(d, '%Y-%m-%d') AS d, """ + ", ".join(f"count(*) FILTER (station = {k}) AS s{k}" for k in range(25)) + """, count(station) AS n_stations FROM sp LEFT JOIN v ON v.day = CAST(sp.d AS DATE) GROUP BY 1""")
 def _(t: Tables):
     lv = S.levels(t)
     sp = lv.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    v = lv.where("event_id % 9 = 0").select("station", "day").distinct()
+    v = lv.select("station", "day").distinct()
     g = sp.join(v, "day", "left").groupBy("day").agg(*[F.count_if(F.col("station") == k).alias(f"s{k}") for k in range(25)], F.count("station").alias("n_stations"))
     return g.select(F.date_format("day", "yyyy-MM-dd").alias("d"), *[c for c in g.columns if c != "day"])
 

@@ -17,9 +17,9 @@ from .standins import r6
 D = lambda c="day": F.date_format(c, "yyyy-MM-dd")
 
 
-@query("win_consecutive_change", "WIN-01", f"""WITH {S.LEVELS}, {S.DAILY}, l AS (SELECT station, day, cm, lag(cm) OVER w AS p, lag(day) OVER w AS pd FROM dl WHERE (station + dayofmonth(day)) % 11 > 0 WINDOW w AS (PARTITION BY station ORDER BY day)) SELECT station, strftime(day, '%Y-%m-%d') AS d, round(cm - p, 6) AS step FROM l WHERE day - pd = 1""")
+@query("win_consecutive_change", "WIN-01", f"""WITH {S.LEVELS}, {S.OBSERVER_DAILY}, l AS (SELECT station, day, cm, lag(cm) OVER w AS p, lag(day) OVER w AS pd FROM dl WINDOW w AS (PARTITION BY station ORDER BY day)) SELECT station, strftime(day, '%Y-%m-%d') AS d, round(cm - p, 6) AS step FROM l WHERE day - pd = 1""")
 def _(t: Tables):
-    d = S.daily(t).where((F.col("station") + F.dayofmonth("day")) % 11 > 0)
+    d = S.daily(t, "user_id")
     l = B.neighbour(d, ["station"], ["day"], {"p": "cm", "pd": "day"})
     return l.where(F.datediff("day", "pd") == 1).select("station", D().alias("d"), r6(F.col("cm") - F.col("p")).alias("step"))
 
@@ -70,22 +70,28 @@ def _(t: Tables):
     return d.withColumn("a", a).select("event_id", r6(mid).alias("med7"))
 
 
-@query("win_drawdown", "WIN-08", f"""WITH {S.LEVELS}, {S.DAILY}, d AS (SELECT * FROM dl WHERE (station * 3 + dayofmonth(day)) % 13 > 3), s AS (SELECT station, day, cm, cm - lag(cm) OVER w AS st, coalesce(day - lag(day) OVER w, 1) AS gap FROM d WINDOW w AS (PARTITION BY station ORDER BY day)),
+@query("win_drawdown", "WIN-08", f"""WITH {S.LEVELS}, {S.OBSERVER_DAILY}, d AS (SELECT * FROM dl), s AS (SELECT station, day, cm, cm - lag(cm) OVER w AS st, coalesce(day - lag(day) OVER w, 1) AS gap FROM d WINDOW w AS (PARTITION BY station ORDER BY day)),
  b AS (SELECT *, sum(CASE WHEN gap > 3 AND day > DATE '2024-01-03' THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY day ROWS UNBOUNDED PRECEDING) AS br FROM s) SELECT station, strftime(day, '%Y-%m-%d') AS d, round(sum(CASE WHEN br = 0 AND day > DATE '2024-01-03' AND st < -0.2 THEN -st ELSE 0 END) OVER (PARTITION BY station ORDER BY day ROWS UNBOUNDED PRECEDING), 5) AS lost FROM b""")
 def _(t: Tables):
-    d = S.daily(t).where((F.col("station") * 3 + F.dayofmonth("day")) % 13 > 3)
+    d = S.daily(t, "user_id")
     r = T.regimes(d, ["station"], "day", "cm", "2024-01-03")
     return r.select("station", D().alias("d"), F.round("lost", 5).alias("lost"))
 
 
-@query("win_regimes", "WIN-09", f"""WITH {S.LEVELS}, {S.DAILY}, d AS (SELECT station, day, round(cm / 10, 1) AS cm FROM dl WHERE (station * 3 + dayofmonth(day)) % 13 > 3), s AS (SELECT station, day, cm, cm - lag(cm) OVER w AS st, coalesce(day - lag(day) OVER w, 1) AS gap, lead(cm, 1) OVER w AS n1, lead(cm, 2) OVER w AS n2, lead(cm, 3) OVER w AS n3 FROM d WINDOW w AS (PARTITION BY station ORDER BY day)),
- b AS (SELECT *, lead(gap, 1) OVER w AS g1, lead(gap, 2) OVER w AS g2, lead(gap, 3) OVER w AS g3, sum(CASE WHEN gap > 3 AND day > DATE '2024-01-08' THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY day ROWS UNBOUNDED PRECEDING) AS br FROM s WINDOW w AS (PARTITION BY station ORDER BY day)),
- f AS (SELECT *, (br = 0 AND day > DATE '2024-01-08' AND coalesce(st < -0.2, FALSE)) AS fall FROM b), l AS (SELECT *, sum(CASE WHEN fall THEN -st ELSE 0 END) OVER (PARTITION BY station ORDER BY day ROWS UNBOUNDED PRECEDING) AS lost, CASE WHEN coalesce(st = 0, FALSE) THEN 1 ELSE 0 END AS flat FROM f),
- r AS (SELECT *, CASE WHEN day < DATE '2024-01-08' THEN 'PREBREACH_IMPOUNDED' WHEN day = DATE '2024-01-08' THEN 'BREACH_ONSET' WHEN gap > 3 THEN 'REGIME_UNRESOLVED' WHEN fall THEN 'ACTIVE_DRAWDOWN' WHEN br = 0 AND lost >= 0.5 THEN CASE WHEN n2 IS NOT NULL AND abs(n1 - cm) < 0.2 AND g1 <= 3 AND abs(n2 - cm) < 0.2 AND g2 <= 3 AND (n3 IS NULL OR (abs(n3 - cm) < 0.2 AND g3 <= 3)) THEN 'POSTBREACH_TRANSITION' ELSE 'REGIME_UNRESOLVED' END
+def regime_sql(source: str, onset: str) -> str:
+    """CTEs that end in rg(station, day, cm, gap, regime) from a series (station, day, cm)."""
+    return f"""s AS (SELECT station, day, cm, cm - lag(cm) OVER w AS st, coalesce(day - lag(day) OVER w, 1) AS gap, lead(cm, 1) OVER w AS n1, lead(cm, 2) OVER w AS n2, lead(cm, 3) OVER w AS n3 FROM {source} WINDOW w AS (PARTITION BY station ORDER BY day)),
+ b AS (SELECT *, lead(gap, 1) OVER w AS g1, lead(gap, 2) OVER w AS g2, lead(gap, 3) OVER w AS g3, sum(CASE WHEN gap > 3 AND day > DATE '{onset}' THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY day ROWS UNBOUNDED PRECEDING) AS br FROM s WINDOW w AS (PARTITION BY station ORDER BY day)),
+ f AS (SELECT *, (br = 0 AND day > DATE '{onset}' AND coalesce(st < -0.2, FALSE)) AS fall FROM b), l AS (SELECT *, sum(CASE WHEN fall THEN -st ELSE 0 END) OVER (PARTITION BY station ORDER BY day ROWS UNBOUNDED PRECEDING) AS lost, CASE WHEN coalesce(st = 0, FALSE) THEN 1 ELSE 0 END AS flat FROM f),
+ r AS (SELECT *, CASE WHEN day < DATE '{onset}' THEN 'PREBREACH_IMPOUNDED' WHEN day = DATE '{onset}' THEN 'BREACH_ONSET' WHEN gap > 3 THEN 'REGIME_UNRESOLVED' WHEN fall THEN 'ACTIVE_DRAWDOWN' WHEN br = 0 AND lost >= 0.5 THEN CASE WHEN n2 IS NOT NULL AND abs(n1 - cm) < 0.2 AND g1 <= 3 AND abs(n2 - cm) < 0.2 AND g2 <= 3 AND (n3 IS NULL OR (abs(n3 - cm) < 0.2 AND g3 <= 3)) THEN 'POSTBREACH_TRANSITION' ELSE 'REGIME_UNRESOLVED' END
  WHEN lost >= 0.5 THEN 'POSTBREACH_TRANSITION' ELSE 'REGIME_UNRESOLVED' END AS reg, CASE WHEN flat IS DISTINCT FROM lag(flat) OVER (PARTITION BY station ORDER BY day) THEN 1 ELSE 0 END AS chg FROM l),
- z AS (SELECT *, sum(chg) OVER (PARTITION BY station ORDER BY day ROWS UNBOUNDED PRECEDING) AS run FROM r) SELECT station, strftime(day, '%Y-%m-%d') AS d, CASE WHEN flat = 1 AND count(*) OVER (PARTITION BY station, run) >= 4 THEN 'REGIME_UNRESOLVED' ELSE reg END AS regime FROM z""")
+ z AS (SELECT *, sum(chg) OVER (PARTITION BY station ORDER BY day ROWS UNBOUNDED PRECEDING) AS run FROM r),
+ rg AS (SELECT station, day, cm, gap, CASE WHEN flat = 1 AND count(*) OVER (PARTITION BY station, run) >= 4 THEN 'REGIME_UNRESOLVED' ELSE reg END AS regime FROM z)"""
+
+
+@query("win_regimes", "WIN-09", f"""WITH {S.LEVELS}, {S.OBSERVER_DAILY}, d AS (SELECT station, day, round(cm / 10, 1) AS cm FROM dl), {regime_sql('d', '2024-01-08')} SELECT station, strftime(day, '%Y-%m-%d') AS d, regime FROM rg""")
 def _(t: Tables):
-    d = S.daily(t).where((F.col("station") * 3 + F.dayofmonth("day")) % 13 > 3).select("station", "day", F.round(F.col("cm") / 10, 1).alias("cm"))
+    d = S.daily(t, "user_id").select("station", "day", F.round(F.col("cm") / 10, 1).alias("cm"))
     return T.regimes(d, ["station"], "day", "cm", "2024-01-08").select("station", D().alias("d"), "regime")
 
 
@@ -129,18 +135,29 @@ def separated(points, keys):
     return a.select(*keys, F.aggregate("c", start, step)["n"].alias("n_sep"))
 
 
-_BIN = "bn AS (SELECT CAST(floor(chain / 5) * 5 AS BIGINT) AS s, avg(h) AS h FROM pt GROUP BY 1)"
+_BIN = "bn AS (SELECT user_id, CAST(floor((event_id * 7 % 2400) / 10 / 5) * 5 AS BIGINT) AS s, avg(cm / 100) AS h FROM lv GROUP BY 1, 2)"
+
 
+def _grad(source: str, value: str, out: str) -> str:
+    return f"""(SELECT *, CASE WHEN ps IS NULL AND ns IS NULL THEN NULL WHEN ps IS NULL THEN (nv - {value}) / (ns - s) WHEN ns IS NULL THEN ({value} - pv) / (s - ps)
+ ELSE ((s - ps) * (s - ps) * nv + ((ns - s) * (ns - s) - (s - ps) * (s - ps)) * {value} - (ns - s) * (ns - s) * pv) / ((s - ps) * (ns - s) * (ns - ps)) END AS {out} FROM (SELECT * EXCLUDE (ps, pv, ns, nv), lag(s) OVER w AS ps, lag({value}) OVER w AS pv, lead(s) OVER w AS ns, lead({value}) OVER w AS nv FROM {source} WINDOW w AS (PARTITION BY user_id ORDER BY s)))"""
 
-@query("win_profile_gradient", "WIN-13 FN-12", f"""WITH {S.LEVELS}, {S.POINTS}, {_BIN}, l AS (SELECT s, h, lag(s) OVER w AS ps, lag(h) OVER w AS ph, lead(s) OVER w AS ns, lead(h) OVER w AS nh FROM bn WHERE s % 35 > 0 WINDOW w AS (ORDER BY s)) SELECT s, round(CASE WHEN ps IS NULL THEN (nh - h) / (ns - s) WHEN ns IS NULL THEN (h - ph) / (s - ps)
- ELSE ((s - ps) * (s - ps) * nh + ((ns - s) * (ns - s) - (s - ps) * (s - ps)) * h - (ns - s) * (ns - s) * ph) / ((s - ps) * (ns - s) * (ns - ps)) END, 6) AS slope FROM l""")
+
+@query("win_profile_gradient", "WIN-13 FN-12", f"""WITH {S.LEVELS}, {_BIN}, b0 AS (SELECT *, 0 AS ps, 0 AS pv, 0 AS ns, 0 AS nv FROM bn), g1 AS {_grad('b0', 'h', 'slope')}, g2 AS {_grad('g1', 'slope', 'bend')} SELECT user_id, s, round(slope, 9) AS slope, round(bend, 9) AS bend FROM g2 WHERE slope IS NOT NULL""")
 def _(t: Tables):
-    b = S.points(t).groupBy((F.floor(F.col("chain") / 5) * 5).alias("s")).agg(F.avg("h").alias("h")).where("s % 35 > 0")
-    b = B.neighbour(B.neighbour(b, [], ["s"], {"ps": "s", "ph": "h"}), [], ["s"], {"ns": "s", "nh": "h"}, step=1)
-    a, c = F.col("s") - F.col("ps"), F.col("ns") - F.col("s")
-    mid = (a * a * F.col("nh") + (c * c - a * a) * F.col("h") - c * c * F.col("ph")) / (a * c * (a + c))
-    g = F.when(F.col("ps").isNull(), (F.col("nh") - F.col("h")) / c).when(F.col("ns").isNull(), (F.col("h") - F.col("ph")) / a).otherwise(mid)
-    return b.select("s", r6(g).alias("slope"))
+    """First and second derivative along the unevenly filled bins of every observer's profile."""
+    b = S.levels(t).groupBy("user_id", (F.floor((F.col("event_id") * 7 % 2400) / 10 / 5) * 5).alias("s")).agg(F.avg(F.col("cm") / 100).alias("h"))
+    g = gradient(gradient(b, ["user_id"], "s", "h", "slope"), ["user_id"], "s", "slope", "bend")
+    return g.where("slope is not null").select("user_id", "s", F.round("slope", 9).alias("slope"), F.round("bend", 9).alias("bend"))
+
+
+def gradient(df, keys, at: str, value: str, out: str):
+    """Derivative on an uneven grid: second-order in the middle, one-sided at the ends; NULL for a lone point."""
+    b = B.neighbour(B.neighbour(df, keys, [at], {"__ps": at, "__pv": value}), keys, [at], {"__ns": at, "__nv": value}, step=1)
+    a, c = F.col(at) - F.col("__ps"), F.col("__ns") - F.col(at)
+    mid = (a * a * F.col("__nv") + (c * c - a * a) * F.col(value) - c * c * F.col("__pv")) / (a * c * (a + c))
+    g = F.when(F.col("__ps").isNull(), (F.col("__nv") - F.col(value)) / c).when(F.col("__ns").isNull(), (F.col(value) - F.col("__pv")) / a).otherwise(mid)
+    return b.withColumn(out, g).drop("__ps", "__pv", "__ns", "__nv")
 
 
 @query("win_split_tracks", "WIN-14", f"""WITH {S.LEVELS}, q AS (SELECT station, us, event_id, us / 6e7 AS x FROM lv), s AS (SELECT *, coalesce(x - lag(x) OVER (PARTITION BY station ORDER BY us, event_id), 0) AS st FROM q), p AS (SELECT *, CAST(sum(CASE WHEN st > 180 THEN 1 ELSE 0 END) OVER (PARTITION BY station ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS piece FROM s)
@@ -320,9 +337,9 @@ def _(t: Tables):
     return L.best(u, ["station", "day"], [F.col("rk"), F.col("event_id")], ["src", "cm"]).select("station", D().alias("d"), "src", "cm")
 
 
-@query("set_missing_days", "SET-03 SET-04", f"""WITH {S.LEVELS}, v AS (SELECT DISTINCT station, day FROM lv WHERE event_id % 7 = 0), sp AS (SELECT station, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM v GROUP BY station) SELECT station, strftime(day, '%Y-%m-%d') AS d FROM (SELECT * FROM sp EXCEPT SELECT * FROM v)""")
+@query("set_missing_days", "SET-03 SET-04", f"""WITH {S.LEVELS}, v AS (SELECT DISTINCT user_id AS station, day FROM lv), sp AS (SELECT station, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM v GROUP BY station) SELECT station, strftime(day, '%Y-%m-%d') AS d FROM (SELECT * FROM sp EXCEPT SELECT * FROM v)""")
 def _(t: Tables):
-    v = S.levels(t).where("event_id % 7 = 0").select("station", "day").distinct()
+    v = S.levels(t).select(F.col("user_id").alias("station"), "day").distinct()
     return T.daily_spine(v, ["station"], "day").join(v, ["station", "day"], "left_anti").select("station", D().alias("d"))
 
 

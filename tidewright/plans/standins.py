@@ -23,9 +23,11 @@ LEVELS = """lv AS (SELECT event_id, user_id % 25 AS station, user_id, event_type
  hour(ts) AS hr, value AS cm, value / 100 AS m FROM events)"""
 
 
-def daily(t: Tables) -> DataFrame:
-    """Station-day mean level, rounded to the printed precision (millimetres) as a yearbook is."""
-    return levels(t).groupBy("station", "day").agg(
+def daily(t: Tables, of: str = "station") -> DataFrame:
+    """Station-day mean level, rounded to the printed precision (millimetres) as a yearbook is.
+
+    ``of="user_id"`` takes every observer as a station of its own: such a series has days without a reading."""
+    return levels(t).groupBy(F.col(of).alias("station"), "day").agg(
         F.sum(F.round(F.col("cm") * 100).cast("long")).alias("s"), F.count(F.lit(1)).alias("n")).select(
         "station", "day", (F.floor(F.col("s") / F.col("n") / 10 + 0.5) / 10).alias("cm"), "n")
 
@@ -33,6 +35,9 @@ def daily(t: Tables) -> DataFrame:
 DAILY = "dl AS (SELECT station, day, floor(sum(CAST(round(cm*100) AS BIGINT)) / count(*) / 10 + 0.5) / 10 AS cm, count(*) AS n FROM lv GROUP BY 1, 2)"
 
 
+OBSERVER_DAILY = DAILY.replace("SELECT station, day", "SELECT user_id AS station, day")
+
+
 def points(t: Tables) -> DataFrame:
     """Profile points: overpass = day, chainage 0..239.9 km, height in metres, track, season half."""
     return levels(t).select("event_id", "day", (F.col("event_id") * 7 % 2400 / 10).alias("chain"), (F.col("cm") / 100).alias("h"),
