@@ -112,7 +112,7 @@ def test_work_doubles_with_the_family(spark):
         sketched = om.stored(om.sketch_rows(named.select("node", "body"), om.LEVEL, 5), "sketches")
         _, big = om.candidate_pairs(sketched, om.SMALL, om.SHARED, 0.8)
         none = spark.createDataFrame([], "node binary, root binary")
-        rows.append(om.with_mates(om.open_blocks(big, none, sketched), om.SHARED, 0.8).count())
+        rows.append(om.with_mates(om.open_blocks(big, none), sketched, om.SHARED, 0.8).count())
     assert all(size < n < om.LEVEL[0][1] * size for n, size in zip(rows, (200, 400, 800)))
 
 

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, stored
@@ -198,7 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
 def candidate_pairs(sketched: DataFrame, small: int, least_shared: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(pairs a < b, large buckets)."""
     own = F.filter(F.transform("sketch", lambda v, t: F.struct(t.alias("t"), v.alias("value"))), lambda s: s["value"] != 0)
-    rows = sketched.select("node", F.explode(own).alias("s")).select("node", "s.t", "s.value")
+    rows = sketched.select("node", "n", F.explode(own).alias("s")).select("node", "n", "s.t", "s.value")
     sizes = rows.groupBy("t", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # sizes and hubs are tables of their own: an aggregate's partitioning would carry over to the joins and keep a large bucket in one task
     met = stored(rows.join(stored(sizes, "sizes"), ["t", "value"]), "buckets")
@@ -206,8 +206,8 @@ def candidate_pairs(sketched: DataFrame, small: int, least_shared: int, threshol
     some = (lists.select("ms", F.explode("ms").alias("x")).select("x", F.explode("ms").alias("y"))
             .filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")))
     big = met.filter(F.col("size") > small)
-    central = big.groupBy("node").agg(F.sum("size").alias("mates"))
-    hubs = stored(big.join(central, "node").groupBy("t", "value").agg(F.max(F.struct("mates", "node")).alias("hub")), "hubs")
+    central = big.withColumn("mates", F.sum("size").over(Window.partitionBy("node")))  # a node has a row a sketch at most
+    hubs = stored(central.groupBy("t", "value").agg(F.max(F.struct("mates", "node")).alias("hub")), "hubs")
     star = (big.join(hubs, ["t", "value"]).filter("hub.node <> node")
             .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))
     pairs = some.unionByName(star).distinct()
@@ -219,12 +219,11 @@ def candidate_pairs(sketched: DataFrame, small: int, least_shared: int, threshol
     return met_pairs.filter(equal >= least_shared).select("a", "b"), big
 
 
-def open_blocks(big: DataFrame, roots: DataFrame, sketched: DataFrame) -> DataFrame:
-    """(t, value, i, j, c, node, root, n, sketch) of the large buckets that hold several classes, once for each piece of work (i, j).
+def open_blocks(big: DataFrame, roots: DataFrame) -> DataFrame:
+    """(t, value, i, j, c, node, root) of the large buckets that hold several classes, once for each piece of work (i, j).
 
     Blocks from 0 on hold the members outside the bucket's largest class, the blocks after them that class."""
-    named = (big.select("t", "value", "node").join(roots, "node", "left").join(sketched.select("node", "n", "sketch"), "node")
-             .select("t", "value", "node", F.coalesce("root", "node").alias("root"), "n", "sketch"))
+    named = big.select("t", "value", "node", "n").join(roots, "node", "left").select("t", "value", "node", F.coalesce("root", "node").alias("root"), "n")
     by_class = named.groupBy("t", "value", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("runs"))
     most = F.max(F.struct("k", "root", "runs"))
     split = by_class.groupBy("t", "value").agg(most.alias("m"), F.sum("k").alias("k"), F.sum("runs").alias("runs"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
@@ -233,7 +232,13 @@ def open_blocks(big: DataFrame, roots: DataFrame, sketched: DataFrame) -> DataFr
     rows = named.join(stored(split, "split"), ["t", "value"])
     c = F.when(F.col("root") == F.col("main"), F.col("b") + F.pmod(F.xxhash64("node", "t"), F.col("bm"))).otherwise(F.pmod(F.xxhash64("node", "t"), F.col("b"))).cast("int")
     rows = rows.withColumn("c", c).withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("c") < F.col("b"), F.col("b") + F.col("bm")).otherwise(F.col("b")) - 1)))
-    return rows.select("t", "value", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "root", "n", "sketch")
+    return rows.select("t", "value", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "node", "root")
+
+
+def with_side(work: DataFrame, side: DataFrame) -> DataFrame:
+    """Work rows with the columns of ``side`` (one row a node): a node's pieces of work meet its row as one list."""
+    lists = work.groupBy("node").agg(F.collect_list(F.struct("t", "value", "i", "j", "c", "root")).alias("pieces"))
+    return lists.join(side, "node").select("node", F.explode("pieces").alias("p"), *[c for c in side.columns if c != "node"]).select("p.*", "node", *[c for c in side.columns if c != "node"])
 
 
 def meeting(group: pa.Table, i: int, j: int, t: int, least_shared: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +266,7 @@ def meeting(group: pa.Table, i: int, j: int, t: int, least_shared: int, threshol
     return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
 
 
-def with_mates(work: DataFrame, least_shared: int, threshold: float) -> DataFrame:
+def with_mates(work: DataFrame, sketched: DataFrame, least_shared: int, threshold: float) -> DataFrame:
     """The rows of ``open_blocks`` that have a pair to compare, so that no other text is moved."""
     names = work.columns
 
@@ -270,7 +275,7 @@ def with_mates(work: DataFrame, least_shared: int, threshold: float) -> DataFram
         left, right = meeting(group, i, j, t, least_shared, threshold)
         return group.select(names).take(pa.array(np.union1d(left, right)))
 
-    return work.groupBy("t", "value", "i", "j").applyInArrow(run, work.schema)
+    return with_side(work, sketched.select("node", "n", "sketch")).groupBy("t", "value", "i", "j").applyInArrow(run, work.schema)
 
 
 def common_runs(label: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, slab: int = 4096) -> np.ndarray:
@@ -336,7 +341,7 @@ def compared_in_full(work: DataFrame, texts: DataFrame, k: int, threshold: float
         return pa.table({"a": [min(nodes[a], nodes[b]) for a, b, _ in found], "b": [max(nodes[a], nodes[b]) for a, b, _ in found],
                          "similarity": [s for _, _, s in found]}, schema=schema)
 
-    return work.join(texts, "node").groupBy("t", "value", "i", "j").applyInArrow(run, "a binary, b binary, similarity double")
+    return with_side(work, texts).groupBy("t", "value", "i", "j").applyInArrow(run, "a binary, b binary, similarity double")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -350,9 +355,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
     links = stored(verify(candidates, stored(texts_of(named, picks, wanted), "texts"), k, threshold), "links")
     roots = components(links)
-    work = stored(with_mates(open_blocks(big, roots, sketched), SHARED, threshold), "work")
+    work = stored(with_mates(open_blocks(big, roots), sketched, SHARED, threshold), "work")
     if not work.isEmpty():
-        texts = stored(texts_of(named, picks, work.select("node").distinct()), "texts")
+        texts = stored(texts_of(named, picks, work.select("node").distinct()).join(sketched.select("node", "n", "sketch"), "node"), "texts")
         links = links.unionByName(stored(compared_in_full(work, texts, k, threshold, SHARED), "links"))
         roots = components(links)
     members = named.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
