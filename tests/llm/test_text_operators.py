@@ -172,3 +172,14 @@ def test_digests(spark, library):
         mine = got[r["doc_id"]]
         assert mine["n_tokens"] == len(ids) and mine["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert mine["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_long_items_and_many_short_ones(spark):
+    """An item of 60,000 words and thousands of one-word items, in documents that hold parts of them."""
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(30_000)}" for _ in range(60_000)]
+    items = [(0, " ".join(long))] + [(k, f"z{k}") for k in range(1, 5001)]
+    docs = [(1, " ".join(long[20_000:20_040])), (2, " ".join(["own", *long[:12], "words"])), (3, " ".join(f"z{k}" for k in range(1, 41)) + " and others " * 300), (4, " ".join(long[-13:]) + " tail"),
+            (5, " ".join(long))]
+    got = {r.doc_id: r for r in decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).select("row.doc_id", "n_hit", "n_items").collect()}
+    assert {k: (r.n_hit, r.n_items) for k, r in got.items()} == {1: (40, 1), 2: (0, 0), 3: (40, 40), 4: (13, 1), 5: (60_000, 1)}

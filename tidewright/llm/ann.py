@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import opened, share, stored
 
 SAMPLE = 4000
 MOST_PARTS = 32
@@ -148,13 +148,14 @@ def points_of(rows: DataFrame, k: int, id_col: str, vector_col: str) -> tuple[Da
 def routed(points: DataFrame, router: Router, probes: int) -> DataFrame:
     """Adds ``parts``, the ``probes`` most probable ones, best first."""
     schema = points.schema
-    shared = points.sparkSession.sparkContext.broadcast(router)
+    shared = share(points.sparkSession, router)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        router_ = opened(shared)
         for batch in batches:
             if batch.num_rows:
                 x = unit_rows(batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1))
-                odds = shared.value.log_odds(x)
+                odds = router_.log_odds(x)
                 best = np.argsort(-odds, axis=1, kind="stable")[:, :probes].astype(np.int32)
                 parts = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * best.shape[1]), pa.array(best.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, parts], names=[*batch.schema.names, "parts"])

@@ -1,6 +1,9 @@
 """Column builders and small helpers that several operators of this subpackage share."""
 from __future__ import annotations
 
+import pickle
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A table with no more rows than this (and a fixed row width) may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Words that a table of word lists may hold to be broadcast, some 40 bytes each.
+BROADCAST_WORDS = 1_000_000
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +49,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_counted(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast for a table of ``rows`` counted rows, if that is within the bound."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def share(spark, value):
+    """Broadcast an object of this package: its class travels inside, as executors need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared):
+    """The object in a task."""
+    return pickle.loads(shared.value)
+
+
+def broadcast_counted(df: DataFrame, rows: int, words: int = 0) -> DataFrame:
+    """Hint a broadcast for a table of ``rows`` counted rows (with ``words`` words in their lists), if that is within the bounds."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and words <= BROADCAST_WORDS else df
 
 
-__all__ = ["BROADCAST_ROWS", "UPPER", "WORD_GAP", "ascii_lower", "broadcast_counted", "checkpoint_root", "cut_lineage", "prepare",
+__all__ = ["BROADCAST_ROWS", "UPPER", "WORD_GAP", "ascii_lower", "broadcast_counted", "checkpoint_root", "cut_lineage", "opened", "prepare", "share",
            "stored", "table", "text_key", "words_of", "work_path"]

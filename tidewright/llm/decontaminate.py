@@ -42,15 +42,13 @@ def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
 def window_keys(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     """(item, t1, o1, t2, o2): for each window of an item the offsets of its rarest two words, once per distinct pair.
 
-    A one-word window repeats its word.  Items are short and each is handled as one row's arrays."""
-    ranked = (items.select("item", F.posexplode("iw").alias("off", "term")).join(counts, "term")
-              .groupBy("item").agg(F.array_sort(F.collect_list(F.struct("off", "n", "term"))).alias("ws")))
-    size = F.least(F.size("ws"), F.lit(window))
-    starts = ranked.select("item", "ws", F.explode(F.sequence(F.lit(1), F.size("ws") - size + 1)).alias("start"))
-    rare = F.slice(F.array_sort(F.transform(F.slice("ws", F.col("start"), size), lambda w: F.struct(w["n"], w["term"], w["off"]))), 1, 2)
-    return (starts.select("item", rare.alias("r"))
-            .select("item", F.col("r")[0]["term"].alias("t1"), F.col("r")[0]["off"].alias("o1"),
-                    F.element_at("r", -1)["term"].alias("t2"), F.element_at("r", -1)["off"].alias("o2")).distinct())
+    A one-word window repeats its word.  A window over the item's words holds ``window`` of them, however long the item."""
+    ranked = items.select("item", F.size("iw").alias("size"), F.posexplode("iw").alias("off", "term")).join(counts, "term")
+    ahead = Window.partitionBy("item").orderBy("off").rowsBetween(0, window - 1)
+    rare = F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "off")).over(ahead)), 1, 2)
+    starts = ranked.withColumn("r", rare).filter(F.col("off") <= F.greatest(F.col("size") - window, F.lit(0)))
+    return (starts.select("item", F.col("r")[0]["term"].alias("t1"), F.col("r")[0]["off"].alias("o1"),
+                          F.element_at("r", -1)["term"].alias("t2"), F.element_at("r", -1)["off"].alias("o2")).distinct())
 
 
 def candidate_shifts(index: DataFrame, keys: DataFrame, n_keys: int, slack: int = 0) -> DataFrame:
@@ -88,17 +86,18 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 13, id_col:
     words (positions from 0, both ends in) along one shift, each at least a window long."""
     words, keys, n_keys, index = build(docs, items, window, id_col, text_col, item_col, item_text)
     shifts = candidate_shifts(index, keys, n_keys)
-    places = shifts.groupBy("id", "tkey").agg(F.collect_list(F.struct("item", "shift")).alias("places")).withColumnsRenamed({"id": "pid", "tkey": "pkey"})
+    n_items, n_words = words.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("iw")), F.lit(0))).first()
+    shifts = shifts.join(broadcast_counted(words.select("item", F.size("iw").alias("len")), n_items), "item")
+    places = shifts.groupBy("id", "tkey").agg(F.collect_list(F.struct("item", "shift", "len")).alias("places")).withColumnsRenamed({"id": "pid", "tkey": "pkey"})
     texts = docs.select(F.struct(*(carry or ["*"])).alias("row"), F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("body"))
     met = (texts.join(places, F.col("id").eqNullSafe(F.col("pid")) & (F.col("tkey") == F.col("pkey")), "left")
            .select("row", "id", "tkey", "places", words_of(F.col("body")).alias("words")))
-    longest = words.agg(F.max(F.size("iw"))).first()[0] or 0
     cut = F.transform("places", lambda p: F.struct(p["item"].alias("item"), p["shift"].alias("shift"),
-                                                   F.slice("words", F.greatest(p["shift"], F.lit(0)) + 1, F.lit(longest)).alias("dw")))
+                                                   F.slice("words", F.greatest(p["shift"], F.lit(0)) + 1, p["len"] + F.least(p["shift"], F.lit(0))).alias("dw")))
     rows = stored(met.select("row", "id", "tkey", F.size("words").cast("long").alias("n_words"), cut.alias("cut")), "places")
     at = F.greatest(-F.col("shift"), F.lit(0))
     placed = (rows.select("id", "tkey", F.explode("cut").alias("c")).select("id", "tkey", "c.*").distinct()
-              .join(broadcast_counted(words, words.count()), "item"))
+              .join(broadcast_counted(words, n_items, n_words), "item"))
     same = F.zip_with("dw", F.slice("iw", at + 1, F.size("iw")), lambda a, b: F.coalesce(a == b, F.lit(False)))
     equal = (placed.select("id", "tkey", "item", "shift", F.least(F.size("iw"), F.lit(window)).alias("least"), at.alias("at"), F.posexplode(same).alias("k", "hit"))
              .filter("hit").select("id", "tkey", "item", "shift", "least", (F.col("k") + F.col("at")).alias("off")))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import opened, prepare, share
 from .tokens import chunks, free_buffers
 
 SPACE = "▁"
@@ -314,11 +315,11 @@ def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", deco
     """Columns: row (the input row or its ``carry`` columns), ids (array<int>, the end id last) and, if asked for, decoded."""
     v = load(model_path)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(v)
+    shared = share(prepare(spark), v)
     rows = docs.select(F.struct(*(carry or ["*"])).alias("row"), F.col(text_col).alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = shared.value
+        voc = opened(shared)
         encoder = Encoder(voc)
         for batch in batches:
             for part, texts in chunks(batch, "body", CHUNK_CHARS):

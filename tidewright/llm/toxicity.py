@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import opened, share
 from .tokens import Words, chunks, free_buffers
 
 STARTS = (4, 5, 6, 7)
@@ -144,10 +145,10 @@ def linear_scores(model: Ordinal, texts: list[str | None]) -> np.ndarray:
 def score(docs: DataFrame, model: Ordinal, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Columns: row (the input row or its ``carry`` columns), p_toxic (grade 1 or more), expected_severity, grade, toxic."""
     rows = docs.select(F.struct(*(carry or ["*"])).alias("row"), F.col(text_col).alias("body"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = opened(shared)
         for batch in batches:
             for part, texts in chunks(batch, "body"):
                 above = 1 / (1 + np.exp(-np.clip(linear_scores(m, texts)[:, None] - m.thresholds, -40, 40)))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower
+from .common import ascii_lower, opened, share
 from .tokens import mix
 
 BITS = 16
@@ -117,13 +117,14 @@ def predict(m: UrlModel, hosts: list[str], paths: list[str]) -> np.ndarray:
 
 def filter_urls(judged: DataFrame, model: UrlModel) -> DataFrame:
     """Adds p_block and verdict (allow or block: the rule's, else the classifier's) to what ``judged_by_rules`` gives."""
-    shared = judged.sparkSession.sparkContext.broadcast(model)
+    shared = share(judged.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model_ = opened(shared)
         for batch in batches:
             for s in range(0, batch.num_rows, 2000):
                 part = batch.slice(s, 2000)
-                p = predict(shared.value, part.column("host").to_pylist(), part.column("path").to_pylist())
+                p = predict(model_, part.column("host").to_pylist(), part.column("path").to_pylist())
                 says = [r or ("block" if x >= 0.5 else "allow") for r, x in zip(part.column("rule_verdict").to_pylist(), p)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array(says, pa.string())], names=[*part.schema.names, "p_block", "verdict"])
 
