@@ -66,17 +66,17 @@ def test_ordinal_fit_finds_ordered_grades():
 
 def test_quality_on_held_out_labels(spark):
     docs, labels = read(spark, "documents", "/root/testdata/sf0.1"), read(spark, "labels", "/root/testdata/sf0.1")
-    model = quality.train(docs, labels.filter("doc_id % 3 <> 0"), per_class=400, pool=400)
+    model = quality.train(docs, labels.filter("doc_id % 3 <> 0"), per_class=400, named=40)
     got = quality.score(docs.join(labels.filter("doc_id % 3 = 0").withColumnRenamed("quality", "truth"), "doc_id"), model).select("row.truth", "keep").collect()
     assert np.mean([r["truth"] == r["keep"] for r in got]) >= 0.97
 
 
 def test_quality_of_odd_rows(spark):
     docs, labels = with_odd(spark, read(spark, "documents")), read(spark, "labels")
-    model = quality.train(docs, labels, per_class=100, pool=50)
+    model = quality.train(docs, labels, per_class=100, named=20)
     got = quality.score(docs, model)
     assert got.count() == docs.count() and got.filter("quality is null or isnan(quality)").count() == 0
-    none = quality.train(docs, labels.filter("quality = 1"), per_class=50, pool=10)
+    none = quality.train(docs, labels.filter("quality = 1"), per_class=50, named=10)
     assert quality.score(docs, none).filter("quality <> 0.5 or not keep").count() == 0
     assert quality.score(docs.limit(0), model).count() == 0
 
@@ -86,11 +86,48 @@ def test_pseudo_labels_help_the_weaker_view():
     y = rng.random(2400) < 0.5
     a, b = (np.c_[y * s + rng.normal(size=2400), rng.normal(size=(2400, 6))] for s in (4.0, 2.0))
     few, pool, test = slice(0, 24), slice(24, 1200), slice(1200, 2400)
-    alone, together = (quality.co_train(a[few], b[few], y[few], a[pool], b[pool], rounds=r) for r in (0, 6))
+
+    def surest_of(free):
+        def surest(views, good, bad):
+            out = []
+            for v, x in zip(views, (a[pool], b[pool])):
+                z = np.where(free, v.logit(x), np.nan)
+                order = np.argsort(z)[: int(free.sum())]
+                at = np.r_[order[:bad], order[len(order) - good :]]
+                at = at[np.abs(z[at]) > 1]
+                out.append((a[pool][at], b[pool][at], z[at] > 0))
+                free[at] = False
+            return out
+        return surest
+
+    alone, together = (quality.co_train(a[few], b[few], y[few], surest_of(np.ones(1176, bool)), rounds=r, named=58) for r in (0, 6))
     right = lambda m: np.mean((m.metadata.logit(b[test]) > 0) == y[test])
     assert right(together) >= right(alone)
 
 
+def test_surest_documents_of_the_whole_corpus(spark):
+    """The distributed top-k of a round against sorting all scores; nothing is named twice."""
+    docs = read(spark, "documents").withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.lit(None)).otherwise(F.col("text"))).repartition(7)
+    rest = quality.feature_table(docs, "text", "doc_id", ["lang"], ["n_chars"]).withColumn("h", F.xxhash64("lid", "key")).cache()
+    rows = rest.toPandas()
+    xa, xb = np.stack(rows["f"].to_list()).astype(float), quality.metadata_features(rows["places"].tolist(), rows["sizes"].tolist(), 1)
+    rng = np.random.default_rng(3)
+    views = [quality.View(x.mean(0), np.maximum(x.std(0), 1e-3), rng.normal(size=x.shape[1] + 1)) for x in (xa, xb)]
+    surest, gone = quality.named_by(rest, 1), set()
+    for _ in range(2):
+        found, now = surest(views, 5, 9), set()
+        for v, x, (a, b, label) in zip(views, (xa, xb), found):
+            z, h = v.logit(x), rows["h"].to_numpy()
+            want = []
+            for sign, k in ((1, 5), (-1, 9)):
+                free = [i for i in np.lexsort((h, -sign * z)) if h[i] not in gone and sign * z[i] > 1][:k]
+                want += free
+            assert sorted(map(tuple, np.round(a, 5))) == sorted(map(tuple, np.round(xa[want], 5))) and np.allclose(np.sort(b.sum(1)), np.sort(xb[want].sum(1)))
+            assert label.sum() == sum(z[i] > 0 for i in want)
+            now |= {h[i] for i in want}
+        gone |= now
+
+
 def search_by_hand(rows, query_ids, k):
     usable = [(i, np.array(v, float)) for i, v in rows if v is not None and i is not None and None not in v and np.all(np.isfinite(v)) and np.any(np.array(v) != 0)]
     out = {}

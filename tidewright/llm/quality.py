@@ -1,19 +1,21 @@
 """Document quality by co-training of two views.
 
-One logistic classifier sees the text (shares of character kinds and of each punctuation mark, word length, share of distinct words
-and lines), the other the metadata (hashed values of text columns, size of number columns).  Each starts from the labelled
-sample.  In every round each view names the pool documents it is surest of, of both kinds, and those pseudo-labels go to
-the other view's training set.  Both are then calibrated on held-out labelled documents, and their log-odds add up (less one prior).
+One logistic classifier sees the text (shares of character kinds, of each punctuation mark and of hashed words, word length, share of
+distinct words and lines), the other the metadata (hashed values of text columns, size of number columns).  Each starts from the
+labelled sample.  In every round both views score all unlabelled documents where they lie; the ``named`` surest of both kinds, a
+distributed top-k over the whole corpus, are the pseudo-labels that go to the other view's training set.  Both views are then
+calibrated on held-out labelled documents, and their log-odds add up (less one prior).
 
-Bounds: at most ``per_class`` labelled documents of each kind and ``pool`` unlabelled ones (both in the order of a hash of the id) reach the
-driver, as feature rows of fixed width.  Every document is then scored where it lies.
+Bounds: at most ``per_class`` labelled documents of each kind (in the order of a hash of the id) and ``named`` documents a view and round reach
+the driver, as feature rows of fixed width.  Features of all unlabelled documents are computed once, into a table.
 
 Defined results: a null or empty text has zero features; a null metadata value is a value of its own; without labels of both kinds the score is 0.5 and
-everything is kept; repeated rows are scored alike.
+everything is kept; repeated rows are scored alike, and of equally sure documents those with the smaller hash of id and text are named
+first.  Input columns travel as one struct.  A very long text is handled whole, by its own task.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import BROADCAST_ROWS, broadcast_counted, opened, share, stored, text_key
 from .tokens import Words, chunks, free_buffers
 
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 HASHED = 256
+WORD_PLACES = 128
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 above ASCII, then each mark
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[32, 9]], _KIND[[10, 13]], _KIND[128:] = 1, 2, 3, 4, 5, 6
 _KIND[list(MARKS)] = 7 + np.arange(len(MARKS))
@@ -43,8 +47,10 @@ def text_features(texts: list[str | None]) -> np.ndarray:
     key = np.unique(w.hashes() + w.doc.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03), return_index=True)[1]
     distinct = np.bincount(w.doc[key], minlength=len(raw)) / np.maximum(n, 1)
     mean = np.bincount(w.doc, w.size, len(raw)) / np.maximum(n, 1)
+    place = np.bincount(w.doc * WORD_PLACES + (w.hashes(salt=3) % np.uint64(WORD_PLACES)).astype(np.int64), minlength=len(raw) * WORD_PLACES).reshape(-1, WORD_PLACES)
+    words = np.sqrt(place / np.maximum(n, 1)[:, None])
     lines = np.array([len(set(s)) / len(s) for s in ((t or "").split("\n") for t in texts)])
-    return np.c_[np.sqrt(share), distinct, distinct * np.sqrt(np.maximum(n, 1)), np.log1p(n), np.minimum(mean, 30) / 10, lines, share[:, 2] / np.maximum(share[:, 1] + share[:, 2], 1e-9)]
+    return np.c_[np.sqrt(share), distinct, distinct * np.sqrt(np.maximum(n, 1)), np.log1p(n), np.minimum(mean, 30) / 10, lines, share[:, 2] / np.maximum(share[:, 1] + share[:, 2], 1e-9), words]
 
 
 @dataclass
@@ -100,7 +106,11 @@ def calibrate(v: View, x: np.ndarray, y: np.ndarray) -> None:
     v.slope, v.offset = p[0] / spread, p[1]
 
 
-def co_train(xa: np.ndarray, xb: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, rounds: int = 4, share: float = 0.05) -> CoTrained:
+#: What a round takes: for each view (fitted on its set) the feature rows of the surest unlabelled documents, (xa, xb, label).
+Surest = Callable[[list["View"], int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def co_train(xa: np.ndarray, xb: np.ndarray, y: np.ndarray, surest: Surest | None, rounds: int = 4, named: int = 100) -> CoTrained:
     """``xa``, ``xb``: both views of labelled rows; every fourth row is held out for calibration."""
     if not y.any() or y.all() or min(y[1::4].sum(), (~y[1::4]).sum()) < 1:
         return CoTrained(None, None, 0.0)
@@ -109,26 +119,17 @@ def co_train(xa: np.ndarray, xb: np.ndarray, y: np.ndarray, pool_a: np.ndarray,
     if not y[train].any() or y[train].all():
         return CoTrained(None, None, 0.0)
     sets = [[xa[train], y[train]], [xb[train], y[train]]]
-    pools, free = (pool_a, pool_b), np.ones(len(pool_a), bool)
-    take = max(1, int(share * len(pool_a))) if len(pool_a) else 0
     odds = np.log(y.mean() / (1 - y.mean()))
-    for _ in range(rounds if take else 0):
-        named = []
-        for i, (x, t) in enumerate(sets):
-            v = view(x, t)
-            z = np.where(free, v.logit(pools[i]), np.nan)
-            order = np.argsort(z)[: int(free.sum())]
-            good = max(1, round(take * y.mean()))
-            bad = max(1, take - good)
-            low, high = order[:bad], order[len(order) - good :]
-            low, high = low[z[low] < -1], high[z[high] > 1]  # only what this view is sure of
-            named.append((np.r_[low, high], np.r_[np.zeros(low.size, bool), np.ones(high.size, bool)]))
-        for i, (rows, label) in enumerate(named):
+    good = max(1, round(named * y.mean()))
+    for _ in range(rounds if surest else 0):
+        found = surest([view(x, t) for x, t in sets], good, max(1, named - good))
+        for i, (a, b, label) in enumerate(found):  # what one view is sure of goes to the other
+            if not len(label):
+                continue
             other = 1 - i
-            sets[other][0] = np.r_[sets[other][0], pools[other][rows]]
+            sets[other][0] = np.concatenate([sets[other][0], (a, b)[other]])
             sets[other][1] = np.r_[sets[other][1], label]
-            free[rows] = False
-        if not free.any():
+        if not any(len(label) for _, _, label in found):
             break
     a, b = (view(x, t) for x, t in sets)
     calibrate(a, xa[held], y[held])
@@ -158,32 +159,93 @@ def featured(docs: DataFrame, text_col: str, hashed: list[str], sized: list[str]
     return docs.select(*others, F.col(text_col).alias("body"), places.alias("places"), sizes.alias("sizes"))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, pool: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          metadata: tuple[str, ...] = ("lang", "source", "n_chars")) -> CoTrained:
-    hashed, sized = metadata_columns(docs, list(metadata))
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("lid"), (F.col(label_col) > 0).alias("y"))
-    order = [F.xxhash64("lid"), F.col("lid")]
-    picked = [known.filter(F.col("y") == y).orderBy(*order).limit(per_class) for y in (True, False)]
-    rest = (docs.select(F.col(id_col).alias("lid")).join(known.select("lid"), "lid", "left_anti").filter("lid is not null").orderBy(*order).limit(pool)
-            .select("lid", F.lit(None).cast("boolean").alias("y")))
-    chosen = picked[0].unionByName(picked[1]).unionByName(rest)
-    rows = featured(docs, text_col, hashed, sized, [F.col(id_col).alias("lid")]).join(F.broadcast(chosen), "lid").select("lid", "y", "body", "places", "sizes")
+def feature_table(docs: DataFrame, text_col: str, id_col: str, hashed: list[str], sized: list[str]) -> DataFrame:
+    """(lid, key, f, places, sizes) of every document."""
+    rows = featured(docs, text_col, hashed, sized, [F.col(id_col).alias("lid"), text_key(F.col(text_col)).alias("key")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch, "body"):
-                x = text_features(texts)
+                x = text_features(texts).astype(np.float32)
                 f = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("lid"), part.column("y"), f, part.column("places"), part.column("sizes")], names=["lid", "y", "f", "places", "sizes"])
+                yield pa.RecordBatch.from_arrays([part.column("lid"), part.column("key"), f, part.column("places"), part.column("sizes")], names=["lid", "key", "f", "places", "sizes"])
+            free_buffers()
 
-    schema = T.StructType([rows.schema["lid"], rows.schema["y"], T.StructField("f", T.ArrayType(T.DoubleType())), rows.schema["places"], rows.schema["sizes"]])
-    got = rows.mapInArrow(run, schema).toPandas().sort_values("lid", kind="stable")
+    return rows.mapInArrow(run, T.StructType([rows.schema["lid"], rows.schema["key"], T.StructField("f", T.ArrayType(T.FloatType())), rows.schema["places"], rows.schema["sizes"]]))
+
+
+def in_memory(rows: DataFrame, n_hashed: int):
+    """A bounded table as (lid, key, xa, xb, frame) in the order of id and text."""
+    got = rows.toPandas().sort_values(["lid", "key"], kind="stable")
+    xa = np.stack(got["f"].to_list()).astype(float) if len(got) else np.zeros((0, 0))
+    return got, xa, metadata_features(got["places"].tolist(), got["sizes"].tolist(), n_hashed) if len(got) else np.zeros((0, 0))
+
+
+def named_by(rest: DataFrame, n_hashed: int) -> Surest:
+    """Rounds over a table of unlabelled documents; a document is named once, whichever view names it."""
+    spark, taken = rest.sparkSession, []
+
+    def surest(views: list[View], good: int, bad: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        shared = spark.sparkContext.broadcast(([(v.mean, v.scale, v.weights) for v in views], list(taken)))
+        kinds = [(i, sign, k) for i in (0, 1) for sign, k in ((1, good), (-1, bad))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (fits, gone), best = shared.value, [None] * len(kinds)
+            gone = set(gone)
+            for batch in batches:
+                free = np.array([x not in gone for x in batch.column("h").to_pylist()], bool)
+                batch = batch.filter(pa.array(free))
+                if not batch.num_rows:
+                    continue
+                xs = (batch.column("f").flatten().to_numpy().reshape(batch.num_rows, -1), metadata_features(batch.column("places").to_pylist(), batch.column("sizes").to_pylist(), n_hashed))
+                z = [np.clip((x - m) / s, -6, 6) @ w[:-1] + w[-1] for x, (m, s, w) in zip(xs, fits)]
+                h = batch.column("h").to_numpy()
+                for n, (i, sign, k) in enumerate(kinds):
+                    score = sign * z[i]
+                    at = np.lexsort((h, -score))[:k]
+                    at = at[score[at] > 1]  # only what this view is sure of
+                    part = batch.take(pa.array(at)).append_column("z", pa.array(score[at])).append_column("kind", pa.array(np.full(at.size, n), pa.int32()))
+                    if best[n] is not None and best[n].num_rows:
+                        part = pa.Table.from_batches([best[n], part]).combine_chunks().to_batches()[0]
+                    keep = np.lexsort((part.column("h").to_numpy(), -part.column("z").to_numpy()))[:k]
+                    best[n] = part.take(pa.array(keep))
+            yield from (b for b in best if b is not None and b.num_rows)
+
+        schema = T.StructType([*rest.schema.fields, T.StructField("z", T.DoubleType()), T.StructField("kind", T.IntegerType())])
+        firsts = stored(rest.mapInArrow(run, schema), "surest")  # at most k rows of a kind from each task
+        out, seen = [], set()
+        for i in (0, 1):
+            parts = []
+            for n, (view_, sign, k) in enumerate(kinds):
+                if view_ == i:
+                    got, xa, xb = in_memory(firsts.filter(F.col("kind") == n).orderBy(F.col("z").desc(), "h").limit(k), n_hashed)
+                    parts.append((xa, xb, np.full(len(got), sign > 0)))
+                    seen.update(got["h"].tolist())
+            parts = [p for p in parts if len(p[2])]
+            out.append(tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0, bool)))
+        taken.extend(seen)
+        return out
+
+    return surest
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, named: int = 100, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+          metadata: tuple[str, ...] = ("lang", "source", "n_chars")) -> CoTrained:
+    """A model of both views.  The labelled sample is bounded; the unlabelled documents are all that have no label."""
+    hashed, sized = metadata_columns(docs, list(metadata))
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("lid"), (F.col(label_col) > 0).alias("y"))
+    order = [F.xxhash64("lid"), F.col("lid")]
+    picked = [known.filter(F.col("y") == y).orderBy(*order).limit(per_class) for y in (True, False)]
+    table = stored(feature_table(docs, text_col, id_col, hashed, sized), "features")
+    sample = table.join(F.broadcast(picked[0].unionByName(picked[1])), "lid")  # at most twice ``per_class`` rows of labels
+    got, xa, xb = in_memory(sample, len(hashed))
     if not len(got):
         return CoTrained(None, None, 0.0, hashed, sized)
-    xa, xb = np.stack(got["f"].to_list()), metadata_features(got["places"].tolist(), got["sizes"].tolist(), len(hashed))
-    has = got["y"].notna().to_numpy()
-    y = got["y"][has].astype(bool).to_numpy()
-    model = co_train(xa[has], xb[has], y, xa[~has], xb[~has])
+    ids = known.select("lid").distinct()
+    n_ids = ids.count()
+    rest = table.join(broadcast_counted(ids, n_ids), "lid", "left_anti").withColumn("h", F.xxhash64("lid", "key"))
+    rest = rest if n_ids <= BROADCAST_ROWS else stored(rest, "unlabelled")  # else every round would shuffle
+    model = co_train(xa, xb, got["y"].astype(bool).to_numpy(), named_by(rest, len(hashed)), rounds, named)
     # both kinds were sampled alike; the corpus has its own share of good documents
     n = known.agg(F.count_if("y").alias("good"), F.count_if(~F.col("y")).alias("bad")).first()
     if model.text is not None:
@@ -198,10 +260,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, pool: int =
 def score(docs: DataFrame, model: CoTrained, text_col: str = "text", keep_at: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """Columns: row (the input row or its ``carry`` columns), p_text, p_metadata, quality (both views), keep."""
     rows = featured(docs, text_col, model.hashed, model.sized, [F.struct(*(carry or ["*"])).alias("row")])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = opened(shared)
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         for batch in batches:
             for part, texts in chunks(batch, "body"):

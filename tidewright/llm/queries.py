@@ -76,7 +76,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.train(docs, table(spark, sf_dir, "labels"), per_class=2000, pool=2000)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), per_class=2000, named=100)
     return quality.score(docs, model, carry=["doc_id"]).select("row.doc_id", "p_text", "p_metadata", "quality", "keep")
 
 
