@@ -27,3 +27,13 @@ def test_nothing_else_imports_it():
             if f.endswith(".py") and os.path.basename(top) != "llm":
                 text = open(os.path.join(top, f)).read()
                 assert "import llm" not in text and ".llm" not in text
+
+
+def test_entry_without_a_library_of_the_optional_part(tmp_path):
+    """The folder is there, but what it imports is not: the other queries still register."""
+    (tmp_path / "public_tokenizers.py").write_text("raise ImportError('not here')\n")
+    code = f"import sys; sys.path.insert(0, {str(tmp_path)!r}); import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') for q in e.queries()))"
+    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=HERE, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    count, optional = out.stdout.split()[-2:]
+    assert int(count) > 200 and optional == "False"
