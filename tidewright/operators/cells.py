@@ -233,6 +233,14 @@ def transitions(a: DataFrame, b: DataFrame, cls: str, area: float, keys: Sequenc
     return j.groupBy("from_class", "to_class").agg((F.count(F.lit(1)) * area).alias("area"))
 
 
+def area_by_class(cells: DataFrame, keys: Sequence[str], value: str, area: str) -> DataFrame:
+    """Cells, area, share of the area of all classes and area-weighted mean of a value (over cells that have one)."""
+    known = F.when(F.col(value).isNotNull(), F.col(area))
+    g = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(area).alias("area"), (F.sum(F.col(value) * F.col(area)) / F.sum(known)).alias("weighted_mean"))
+    total = g.agg(F.sum("area").alias("__total")).withColumn("__one", F.lit(1))  # one row
+    return g.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").withColumn("share", F.col("area") / F.col("__total")).drop("__one", "__total")
+
+
 def pyramid(base: DataFrame, keys: Sequence[str], counts: Sequence[str], levels: int) -> list[tuple[int, DataFrame]]:
     """(cell size, counts by cell) of cells once, twice, four times ... as wide, each level summed from the one before."""
     out, size, now = [(1, base)], 1, base

@@ -330,6 +330,44 @@ def separation(df: DataFrame, keys: Sequence[str], value: str, is_b: str) -> Dat
     return _join(w, share, keys).select(*keys, F.try_divide(F.abs(F.col("mb") - F.col("ma")), pooled).alias("separation"), "overlap")
 
 
+def decision_quality(df: DataFrame, keys: Sequence[str], value: str, is_b: str) -> DataFrame:
+    """Two anchor samples about the middle of their medians: effect size and overlap in the mean of both NMADs, the share of all rows
+    nearer to the decision than that scale, and the share of each sample on the wrong side."""
+    keys = list(keys)
+    both = [*keys, is_b]
+    q = _join(B.quantiles(df, both, value, {"med": 0.5, "p05": 0.05, "p95": 0.95}), nmad(df, both, value), both)
+    side = lambda s, c: F.max(F.when(F.col(is_b).cast("int") == s, F.col(c)))
+    w = q.groupBy(*keys).agg(*[side(s, c).alias(f"{c}{s}") for s in (0, 1) for c in ("med", "p05", "p95", "nmad")])
+    w = w.withColumn("scale", 0.5 * (F.col("nmad0") + F.col("nmad1"))).withColumn("at", 0.5 * (F.col("med0") + F.col("med1")))
+    v, up = F.col(value), F.col("med1") > F.col("med0")
+    wrong = F.when(F.col(is_b).cast("int") == 1, (v < F.col("at")) == up).otherwise((v > F.col("at")) == up) & (v != F.col("at"))
+    share = lambda cond, s=None: F.avg((cond if s is None else F.when(F.col(is_b).cast("int") == s, cond)).cast("double"))
+    n = _join(df, w.select(*keys, "scale", "at", "med0", "med1"), keys).groupBy(*keys).agg(
+        share(F.abs(v - F.col("at")) < F.col("scale")).alias("near_decision"), share(wrong, 0).alias("wrong_a"), share(wrong, 1).alias("wrong_b"))
+    overlap = F.when(F.col("med1") > F.col("med0"), F.col("p950") - F.col("p051")).otherwise(F.col("p951") - F.col("p050"))
+    return _join(w, n, keys).select(*keys, F.try_divide(F.abs(F.col("med1") - F.col("med0")), F.col("scale")).alias("effect_size"), F.try_divide(overlap, F.col("scale")).alias("overlap_norm"),
+                                    "near_decision", "wrong_a", "wrong_b")
+
+
+def otsu_log(df: DataFrame, keys: Sequence[str], value: str, least: int = 1, bins: int = 256) -> DataFrame:
+    """Otsu threshold over equal bins of the decimal logarithm, back on the value's own scale; NULL below ``least`` positive values."""
+    rows = df.where(F.col(value) > 0).withColumn("__log", F.log10(value))
+    enough = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    t = otsu(rows, keys, "__log", bins)
+    return _join(enough, t, keys).select(*keys, "n", F.when(F.col("n") >= least, F.pow(F.lit(10.0), F.col("threshold"))).alias("threshold"))
+
+
+def decompose(df: DataFrame, value: str, axes: dict[str, tuple[str, Sequence[float]]]) -> DataFrame:
+    """What a residual hangs on: ``axis, bin, n, median, nmad`` by bins (upper edges in) of each candidate axis and, per axis, Spearman's
+    rank correlation ``rho``.  ``axes`` names for each axis its column and inner edges."""
+    one = F.array(*[F.struct(F.lit(n).alias("axis"), F.col(c).cast("double").alias("v"), sum((F.col(c) > e).cast("int") for e in edges).alias("bin"))
+                    for n, (c, edges) in axes.items()])
+    rows = df.select(value, F.explode(one).alias("a")).select(value, "a.*").where(F.col("v").isNotNull())
+    rho = spearman(rows, ["axis"], value, "v")
+    g = _join(B.summarise(rows, ["axis", "bin"], {"n": F.count(F.lit(1))}, {"median": (value, 0.5)}), nmad(rows, ["axis", "bin"], value), ["axis", "bin"])
+    return g.join(broadcast_if_small(rho), "axis")
+
+
 def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
     """Counts in equal bins between each group's extremes, with empty bins kept."""
     keys = list(keys)

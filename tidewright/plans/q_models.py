@@ -20,7 +20,8 @@ from ..operators import stats as ST
 from ..operators import temporal as T
 from ..session import broadcast_if_small, cut_lineage
 from . import standins as S
-from .q_stats import REPS
+from .q_answers import slopes
+from .q_stats import _AB, _NM, _TS, REPS, _ab
 from .registry import Tables, query
 from .standins import r6
 
@@ -199,3 +200,60 @@ def _(t: Tables):
     al, cr = G.along_cross(F.col("u"), F.col("v"), _AXIS_DEG)
     return top.select(*strata, "rk", "n", "o_orderkey", F.coalesce(F.round("speed", 5), F.lit(-1.0)).alias("speed"), F.coalesce(F.round(G.wind_from(F.col("u"), F.col("v")), 4), F.lit(-1.0)).alias("from_deg"),
                       F.coalesce(F.round(al, 5), F.lit(-99.0)).alias("along"), F.coalesce(F.round(cr, 5), F.lit(-99.0)).alias("cross_"))
+
+
+@query("agg_decision_quality", "AGG-37", f"""WITH {S.LEVELS}, {_AB}, {_NM}, p9 AS (SELECT station, b, quantile_cont(cm, 0.95) AS p95 FROM ab GROUP BY 1, 2), w AS (SELECT x.station, x.md AS m0, y.md AS m1, 0.5 * (x.nm + y.nm) AS sc, 0.5 * (x.md + y.md) AS at_, CASE WHEN y.md > x.md THEN px.p95 - y.p05 ELSE py.p95 - x.p05 END AS ov
+  FROM nm x JOIN nm y ON x.station = y.station AND x.b = 0 AND y.b = 1 JOIN p9 px ON px.station = x.station AND px.b = 0 JOIN p9 py ON py.station = x.station AND py.b = 1)
+ SELECT station, round(max(abs(m1 - m0) / sc), 6) AS effect_size, round(max(ov / sc), 6) AS overlap_norm, round(avg(CASE WHEN abs(cm - at_) < sc THEN 1.0 ELSE 0 END), 6)::DOUBLE AS near_decision,
+  round(avg(CASE WHEN b = 0 THEN CASE WHEN cm <> at_ AND (cm > at_) = (m1 > m0) THEN 1.0 ELSE 0 END END), 6)::DOUBLE AS wrong_a, round(avg(CASE WHEN b = 1 THEN CASE WHEN cm <> at_ AND (cm < at_) = (m1 > m0) THEN 1.0 ELSE 0 END END), 6)::DOUBLE AS wrong_b FROM ab JOIN w USING (station) GROUP BY 1""")
+def _(t: Tables):
+    g = ST.decision_quality(_ab(t), ["station"], "cm", "b")
+    return g.select("station", *[r6(F.col(c)).alias(c) for c in ("effect_size", "overlap_norm", "near_decision", "wrong_a", "wrong_b")])
+
+
+@query("agg_otsu_log", "AGG-38", f"""WITH {S.CELLS}, d AS (SELECT scl, log10(cents) AS x FROM cl WHERE cents > 0), lim AS (SELECT scl, min(x) AS lo, max(x) AS hi, count(*) AS total FROM d GROUP BY 1 HAVING max(x) > min(x)), hc AS (SELECT scl, least(CAST(floor((x - lo) / (hi - lo) * 256) AS INTEGER), 255) AS bin, count(*) AS n FROM d JOIN lim USING (scl) GROUP BY 1, 2),
+ e AS (SELECT l.scl, bin, lo + (hi - lo) * bin / 256 AS edge, coalesce(n, 0)::DOUBLE / total AS p, total FROM lim l CROSS JOIN (SELECT CAST(unnest(range(256)) AS INTEGER) AS bin) g LEFT JOIN hc USING (scl, bin)), c AS (SELECT *, sum(p) OVER w AS om, sum(p * edge) OVER w AS mu, sum(p * edge) OVER (PARTITION BY scl) AS mt FROM e WINDOW w AS (PARTITION BY scl ORDER BY bin ROWS UNBOUNDED PRECEDING))
+ SELECT scl, max(total) AS n, round(log10(pow(10, arg_max(edge, (round(power(mt*om - mu, 2) / (om*(1-om) + 1e-10), 9), -bin)))), 6) AS log_threshold FROM c GROUP BY 1""")
+def _(t: Tables):
+    g = ST.otsu_log(S.cells(t), ["scl"], "cents", 10)
+    return g.select("scl", "n", r6(F.log10("threshold")).alias("log_threshold"))
+
+
+@query("agg_area_by_class", "AGG-44", f"""WITH {S.CELLS}, c AS (SELECT coalesce(cls, 0) AS class, CASE WHEN scl > 2 THEN qty END AS v, (1 + row % 3) * 100 AS a FROM cl) SELECT class, count(*) AS n, CAST(sum(a) AS BIGINT) AS area, round(sum(a)::DOUBLE / (SELECT sum(a) FROM c)::DOUBLE, 6) AS share, round(sum(v * a)::DOUBLE / sum(CASE WHEN v IS NOT NULL THEN a END)::DOUBLE, 6) AS weighted_mean FROM c GROUP BY 1""")
+def _(t: Tables):
+    c = S.cells(t).select(F.coalesce("cls", F.lit(0)).alias("class"), F.when(F.col("scl") > 2, F.col("qty")).alias("v"), ((1 + F.col("row") % 3) * 100).alias("a"))
+    g = C.area_by_class(c, ["class"], "v", "a")
+    return g.select("class", "n", "area", r6(F.col("share")).alias("share"), r6(F.col("weighted_mean")).alias("weighted_mean"))
+
+
+_EDGES = {"hour": ("hr", (3, 6, 12, 18)), "day": ("dom", (7, 14, 21)), "station": ("station", (5, 12, 20))}
+
+
+@query("agg_root_cause", "AGG-58 AGG-42", f"""WITH {S.LEVELS}, ax AS ({" UNION ALL ".join(f"SELECT cm - 40 AS r, '{n}' AS axis, ({'dayofmonth(day)' if c == 'dom' else c})::DOUBLE AS v, CAST({' + '.join(f"CASE WHEN {'dayofmonth(day)' if c == 'dom' else c} > {e} THEN 1 ELSE 0 END" for e in edges)} AS INTEGER) AS bin FROM lv" for n, (c, edges) in _EDGES.items())}),
+ rk AS (SELECT axis, rank() OVER (PARTITION BY axis ORDER BY r) + (count(*) OVER (PARTITION BY axis, r) - 1) / 2.0 AS a, rank() OVER (PARTITION BY axis ORDER BY v) + (count(*) OVER (PARTITION BY axis, v) - 1) / 2.0 AS b FROM ax), rh AS (SELECT axis, corr(a, b) AS rho FROM rk GROUP BY 1), md AS (SELECT axis, bin, median(r) AS m FROM ax GROUP BY 1, 2)
+ SELECT axis, bin, count(*) AS n, round(max(m), 6) AS median, round(1.4826::DOUBLE * median(abs(r - m)), 6) AS nmad, round(max(rho), 6) AS rho FROM ax JOIN md USING (axis, bin) JOIN rh USING (axis) GROUP BY 1, 2""")
+def _(t: Tables):
+    d = S.levels(t).select((F.col("cm") - 40).alias("r"), "hr", F.dayofmonth("day").alias("dom"), "station")
+    g = ST.decompose(d, "r", _EDGES)
+    return g.select("axis", "bin", "n", *[r6(F.col(c)).alias(c) for c in ("median", "nmad", "rho")])
+
+
+_SPANS = (20, 150, 230)
+
+
+@query("q_slope_spans", "Q-07 AGG-19 AGG-29 AGG-32", f"""WITH {S.LEVELS}, {S.POINTS}, {_TS}, o AS (SELECT day, max(post) AS post, count(*) AS k, max(chain) - min(chain) AS span FROM pt GROUP BY 1), q AS (SELECT epoch(CAST(o.day AS TIMESTAMP))::BIGINT // 86400 AS uid, post, span, round(slope * 1e8)::DOUBLE AS v FROM o JOIN ts USING (day) WHERE span >= 20 AND k >= 3),
+ x AS (SELECT min_span, uid, post, v FROM q, (SELECT unnest([{', '.join(map(str, _SPANS))}]) AS min_span) WHERE span >= min_span), na AS (SELECT min_span, count(*) FILTER (post = 0) AS na, count(*) FILTER (post = 1) AS nb, median(CASE WHEN post = 0 THEN v END) AS ma, median(CASE WHEN post = 1 THEN v END) AS mb FROM x GROUP BY 1),
+ pr AS (SELECT min_span, rep, v, row_number() OVER (PARTITION BY min_span, rep ORDER BY {mix_sql(43, 'rep', 'uid')}, uid) AS pos FROM x, (SELECT unnest(range(1, {REPS + 1})) AS rep)), pd AS (SELECT min_span, rep, median(CASE WHEN pos > na THEN v END) - median(CASE WHEN pos <= na THEN v END) AS d FROM pr JOIN na USING (min_span) GROUP BY 1, 2),
+ pp AS (SELECT min_span, (count(*) FILTER (abs(d) >= abs(mb - ma)) + 1) / {REPS + 1}.0 AS p FROM pd JOIN na USING (min_span) GROUP BY 1), su AS (SELECT min_span, post, count(*) FILTER (v > 0) AS up FROM x GROUP BY 1, 2)
+ SELECT CAST(min_span AS BIGINT) AS min_span, na AS n_before, nb AS n_after, round(ma / 1e6, 4) AS before_cm_km, round(mb / 1e6, 4) AS after_cm_km, round((mb - ma) / 1e6, 4) AS diff_cm_km, round(p, 6)::DOUBLE AS p, (SELECT up FROM su WHERE su.min_span = na.min_span AND post = 0) AS up_before, (SELECT up FROM su WHERE su.min_span = na.min_span AND post = 1) AS up_after FROM na JOIN pp USING (min_span) WHERE na > 0 AND nb > 0""")
+def _(t: Tables):
+    """Slopes before against after the cut, tested by permutation, for overpasses of at least several spans."""
+    s = slopes(t).select(F.unix_date("day").cast("long").alias("uid"), "post", "span", F.round(F.col("slope") * 1e8).cast("double").alias("v"))
+    x = cut_lineage(s.withColumn("min_span", F.explode(F.array(*[F.lit(k).cast("long") for k in _SPANS]))).where("span >= min_span"))
+    g = B.summarise(x, ["min_span", "post"], {"n": F.count(F.lit(1)), "up": F.count_if(F.col("v") > 0)}, {"m": ("v", 0.5)})
+    side = lambda k, c: F.max(F.when(F.col("post") == k, F.col(c)))
+    w = g.groupBy("min_span").agg(side(0, "n").alias("n_before"), side(1, "n").alias("n_after"), side(0, "m").alias("ma"), side(1, "m").alias("mb"), side(0, "up").alias("up_before"), side(1, "up").alias("up_after"))
+    p = RS.permutation(x, "v", "post", "uid", REPS, 43, ["min_span"])
+    j = w.where("n_before is not null and n_after is not null").join(p, "min_span")
+    cm = lambda c: F.round(c / 1e6, 4)
+    return j.select("min_span", "n_before", "n_after", cm(F.col("ma")).alias("before_cm_km"), cm(F.col("mb")).alias("after_cm_km"), cm(F.col("mb") - F.col("ma")).alias("diff_cm_km"), r6(F.col("p")).alias("p"), "up_before", "up_after")

@@ -299,7 +299,7 @@ def _(t: Tables):
 _NM = """md AS (SELECT station, b, median(cm) AS md, quantile_cont(cm, 0.05) AS p05 FROM ab GROUP BY 1, 2), nm AS (SELECT station, b, max(md) AS md, max(p05) AS p05, 1.4826::DOUBLE * median(abs(cm - md)) AS nm FROM ab JOIN md USING (station, b) GROUP BY 1, 2)"""
 
 
-@query("agg_separation", "AGG-37", f"""WITH {S.LEVELS}, {_AB}, {_NM}, w AS (SELECT x.station, abs(y.md - x.md) / sqrt(0.5 * (x.nm*x.nm + y.nm*y.nm)) AS s, y.p05 FROM nm x JOIN nm y ON x.station = y.station AND x.b = 0 AND y.b = 1) SELECT ab.station, round(max(s), 6) AS separation, round(avg(CASE WHEN cm > p05 THEN 1.0 ELSE 0 END), 6) AS overlap FROM ab JOIN w USING (station) WHERE b = 0 GROUP BY 1""")
+@query("agg_separation", "AGG-03", f"""WITH {S.LEVELS}, {_AB}, {_NM}, w AS (SELECT x.station, abs(y.md - x.md) / sqrt(0.5 * (x.nm*x.nm + y.nm*y.nm)) AS s, y.p05 FROM nm x JOIN nm y ON x.station = y.station AND x.b = 0 AND y.b = 1) SELECT ab.station, round(max(s), 6) AS separation, round(avg(CASE WHEN cm > p05 THEN 1.0 ELSE 0 END), 6) AS overlap FROM ab JOIN w USING (station) WHERE b = 0 GROUP BY 1""")
 def _(t: Tables):
     return ST.separation(_ab(t), ["station"], "cm", "b").select("station", r6(F.col("separation")).alias("separation"), r6(F.col("overlap")).alias("overlap"))
 
@@ -308,7 +308,7 @@ _HIST = """lim AS (SELECT station, min(cm) AS lo, max(cm) AS hi, count(*) AS tot
  hh AS (SELECT l.station, lo, hi, total, g.bin, coalesce(n, 0) AS n FROM lim l CROSS JOIN (SELECT CAST(unnest(range(256)) AS INTEGER) AS bin) g LEFT JOIN hc ON hc.station = l.station AND hc.bin = g.bin)"""
 
 
-@query("agg_otsu", "AGG-38", f"""WITH {S.LEVELS}, {_HIST}, e AS (SELECT station, bin, lo + (hi - lo) * bin / 256 AS edge, n::DOUBLE / total AS p FROM hh), c AS (SELECT station, bin, edge, sum(p) OVER w AS om, sum(p * edge) OVER w AS mu, sum(p * edge) OVER (PARTITION BY station) AS mt FROM e WINDOW w AS (PARTITION BY station ORDER BY bin ROWS UNBOUNDED PRECEDING))
+@query("agg_otsu", "AGG-39", f"""WITH {S.LEVELS}, {_HIST}, e AS (SELECT station, bin, lo + (hi - lo) * bin / 256 AS edge, n::DOUBLE / total AS p FROM hh), c AS (SELECT station, bin, edge, sum(p) OVER w AS om, sum(p * edge) OVER w AS mu, sum(p * edge) OVER (PARTITION BY station) AS mt FROM e WINDOW w AS (PARTITION BY station ORDER BY bin ROWS UNBOUNDED PRECEDING))
  SELECT station, round(arg_max(edge, (round(power(mt*om - mu, 2) / (om*(1-om) + 1e-10), 9), -bin)), 6) AS threshold FROM c GROUP BY 1""")
 def _(t: Tables):
     return ST.otsu(S.levels(t), ["station"], "cm").select("station", r6(F.col("threshold")).alias("threshold"))
@@ -341,7 +341,7 @@ def _(t: Tables):
     return q.join(broadcast_if_small(c), "station").select("event_id", cls.alias("class"))
 
 
-@query("agg_axis_screen", "AGG-42 AGG-58", f"""WITH {S.LEVELS}, ax AS (SELECT cm, 'hour' AS axis, hr::DOUBLE AS v FROM lv UNION ALL SELECT cm, 'id', (event_id % 97)::DOUBLE FROM lv UNION ALL SELECT cm, 'self', floor(cm / 10) FROM lv), r AS (SELECT axis, cm, v, rank() OVER (PARTITION BY axis ORDER BY cm) + (count(*) OVER (PARTITION BY axis, cm) - 1) / 2.0 AS a, rank() OVER (PARTITION BY axis ORDER BY v) + (count(*) OVER (PARTITION BY axis, v) - 1) / 2.0 AS b FROM ax)
+@query("agg_axis_screen", "AGG-42", f"""WITH {S.LEVELS}, ax AS (SELECT cm, 'hour' AS axis, hr::DOUBLE AS v FROM lv UNION ALL SELECT cm, 'id', (event_id % 97)::DOUBLE FROM lv UNION ALL SELECT cm, 'self', floor(cm / 10) FROM lv), r AS (SELECT axis, cm, v, rank() OVER (PARTITION BY axis ORDER BY cm) + (count(*) OVER (PARTITION BY axis, cm) - 1) / 2.0 AS a, rank() OVER (PARTITION BY axis ORDER BY v) + (count(*) OVER (PARTITION BY axis, v) - 1) / 2.0 AS b FROM ax)
  SELECT axis, round(corr(a, b), 6) AS rho, CASE WHEN abs(corr(a, b)) < 0.5 THEN 1 ELSE 0 END AS kept FROM r GROUP BY 1""")
 def _(t: Tables):
     arr = F.array(*[F.struct(F.lit(n).alias("axis"), c.cast("double").alias("v")) for n, c in (("hour", F.col("hr")), ("id", F.col("event_id") % 97), ("self", F.floor(F.col("cm") / 10)))])
@@ -349,7 +349,7 @@ def _(t: Tables):
     return ST.spearman(d, ["axis"], "cm", "v").select("axis", r6(F.col("rho")).alias("rho"), (F.abs("rho") < 0.5).cast("int").alias("kept"))
 
 
-@query("agg_transition_matrix", "AGG-43 AGG-44", f"""WITH {S.CELLS}, a AS (SELECT row, col, max(cls) AS c FROM cl WHERE year <= 1997 GROUP BY 1, 2), b AS (SELECT row, col, max(cls) AS c FROM cl WHERE year > 1997 GROUP BY 1, 2) SELECT coalesce(a.c, 0) AS from_class, coalesce(b.c, 0) AS to_class, round(count(*) * 0.0004, 6)::DOUBLE AS area FROM a JOIN b USING (row, col) GROUP BY 1, 2""")
+@query("agg_transition_matrix", "AGG-43", f"""WITH {S.CELLS}, a AS (SELECT row, col, max(cls) AS c FROM cl WHERE year <= 1997 GROUP BY 1, 2), b AS (SELECT row, col, max(cls) AS c FROM cl WHERE year > 1997 GROUP BY 1, 2) SELECT coalesce(a.c, 0) AS from_class, coalesce(b.c, 0) AS to_class, round(count(*) * 0.0004, 6)::DOUBLE AS area FROM a JOIN b USING (row, col) GROUP BY 1, 2""")
 def _(t: Tables):
     from ..operators.cells import transitions
     c = S.cells(t)
