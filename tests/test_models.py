@@ -146,3 +146,20 @@ def test_both_ways_of_drawing_agree(spark):
         assert close(RS.cluster_stats(df, "cl", ["side"], "v", 30, 6), RS.cluster_stats(df, "cl", ["side"], "v", 30, 6, limit))
     assert RS.permutation(df.limit(0), "v", "side", "i", 10, 5).collect()[0].p is None
     assert RS.boot_median(df.limit(0), ["k"], "v", ["i"], 10, 1).count() == 0
+
+
+def test_kriging_in_cells_equals_neighbour_table(spark):
+    """Same neighbours, ties by id, repeated places, far targets and sparse corners as the table of k nearest rows."""
+    rng = np.random.default_rng(9)
+    xy = np.r_[rng.integers(0, 60, (400, 2)) * 10.0, rng.uniform(5000, 5200, (30, 2)), np.repeat([[100.0, 100.0]], 40, 0)]
+    train = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(xy, rng.normal(size=len(xy))))], "bid long, bx double, by double, z double")
+    at = np.r_[rng.uniform(0, 600, (150, 2)), [[100.0, 100.0], [2500.0, 2500.0], [-3000.0, 9000.0]]]
+    query = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(at)], "aid long, ax double, ay double")
+    vg = (900.0, 1.2, 0.1)
+    for k in (1, 12, 600):
+        one = {r.aid: r for r in I.krige(query, train, "aid", "bid", vg, "z", k=k).collect()}
+        two = {r.aid: r for r in I.kriging(P.knn(query, train, k, "aid", "bid", ["bx", "by", "z"]), "aid", vg).collect()}
+        assert one.keys() == two.keys() == set(range(len(at)))
+        for i in one:
+            assert one[i].fallback == two[i].fallback and one[i].pred == pytest.approx(two[i].pred, nan_ok=True)
+            assert (one[i].variance or 0) == pytest.approx(two[i].variance or 0, nan_ok=True)

@@ -70,6 +70,23 @@ def solve_kriging(dq: np.ndarray, xy: np.ndarray, z: np.ndarray, err: np.ndarray
     return np.where(usable, (np.nan_to_num(w) * z).sum(1), plain), np.where(usable, variance, np.nan), ~usable
 
 
+def krige(query: DataFrame, train: DataFrame, qid: str, tid: str, vg: tuple[float, float, float], z: str, err: str | None = None, k: int = NEIGHBOURS) -> DataFrame:
+    """``qid, pred, variance, fallback``: ordinary kriging from each target's k nearest rows, found and solved in one task (those of targets far from most
+    rows by joins)."""
+    columns = [T.StructField("pred", T.DoubleType()), T.StructField("variance", T.DoubleType()), T.StructField("fallback", T.BooleanType())]
+
+    def solve(dist, xy, carried):
+        value = carried[z].astype(float)
+        return solve_kriging(dist, xy, value, carried[err].astype(float) if err else np.zeros_like(value), vg)
+
+    carry = [z, *([err] if err else [])]
+    done, left = S.in_cells(query, train, k, qid, tid, carry, solve, columns)
+    if left is None:
+        return done
+    far = S.knn(left, train, k, qid, tid, ["bx", "by", *carry])
+    return done.unionByName(kriging(far.withColumnRenamed(z, "z") if z != "z" else far, qid, vg, "z", err))
+
+
 def kriging(nn: DataFrame, qid: str, vg: tuple[float, float, float], z: str = "z", err: str | None = None) -> DataFrame:
     """Prediction, variance and fallback flag per target from a neighbour table with ``bx, by`` and the value.  A
     neighbourhood has k rows, so the collected list is bounded by k."""

@@ -3,10 +3,11 @@ columns; hot buckets are salted, and no candidate is ever capped."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ..session import BLOCK_ROWS_KEY, broadcast_if_small, cut_lineage, is_small, setting
@@ -116,6 +117,81 @@ def knn(query: DataFrame, train: DataFrame, k: int, qid: str, tid: str, carry: S
     return out.select(qid, tid, "nn", "dist", *carry)
 
 
+def in_cells(query: DataFrame, train: DataFrame, k: int, qid: str, tid: str, carry: Sequence[str], finish: Callable, columns: Sequence[StructField],
+             rounds: int = 4) -> tuple[DataFrame, DataFrame | None]:
+    """(``qid, columns``, queries that are left or None).  The columns are what ``finish`` makes of a query's k nearest training rows (as ``knn`` finds them), in the task that finds them.
+
+    Training rows go to the 3x3 cells around their own, so that a cell's task holds all candidates of its queries; the k best of each are
+    chosen there and no candidate leaves it.  ``finish(dist (n, k), xy (n, k, 2), {carry: (n, k)})`` gives an array for each column.  Queries whose
+    k-th neighbour may lie beyond their cells go on with cells twice as wide, ``rounds`` times in all; what is left then lies far from most rows and
+    is for ``knn``, whose joins no cell confines to one task."""
+    import numpy as np
+    import pandas as pd
+
+    require_metric((query, ("ax", "ay")), (train, ("bx", "by")))
+    q = query.select(qid, "ax", "ay")
+    lim = train.agg(F.count(F.lit(1)).alias("n"), F.min("bx").alias("a"), F.max("bx").alias("b"), F.min("by").alias("c"), F.max("by").alias("d")).first()
+    qlim = q.agg(F.min("ax").alias("a"), F.max("ax").alias("b"), F.min("ay").alias("c"), F.max("ay").alias("d")).first()
+    if not lim.n or qlim.a is None:
+        raise ValueError("in_cells needs rows on both sides")
+    extent = max(max(lim.b, qlim.b) - min(lim.a, qlim.a), max(lim.d, qlim.d) - min(lim.c, qlim.c), 1e-9)
+    need = min(k, lim.n)
+    # of many rows at one exact place only the lowest ids can be among anyone's k nearest
+    w = W.partitionBy("bx", "by").orderBy(tid)
+    t = train.select(tid, "bx", "by", *[c for c in carry if c not in ("bx", "by")]).withColumn("__c", F.row_number().over(w)).where(F.col("__c") <= need).drop("__c")
+    size = _start_cell(t, math.sqrt(max(lim.b - lim.a, extent * 1e-6) * max(lim.d - lim.c, extent * 1e-6) * k / lim.n))
+    schema = StructType([q.schema[qid], q.schema["ax"], q.schema["ay"], StructField("__ok", BooleanType()), *columns])
+    names, pieces = [f.name for f in columns], []
+    def nearest_of(size: float, last: bool) -> Callable:
+        def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = left[[qid, "ax", "ay"]].assign(__ok=False, **{c: None for c in names})
+            if not len(left) or len(right) < need:
+                return out
+            right = right.sort_values(tid, kind="stable")
+            at, xy = left[["ax", "ay"]].to_numpy(float), right[["bx", "by"]].to_numpy(float)
+            done = []
+            for lo in range(0, len(at), max(1, 2_000_000 // len(xy))):
+                d = np.sqrt(((at[lo : lo + max(1, 2_000_000 // len(xy)), None] - xy) ** 2).sum(-1))
+                limit = np.partition(d, need - 1, axis=1)[:, need - 1]
+                row, col = np.nonzero(d <= limit[:, None])
+                order = np.lexsort((col, d[row, col], row))  # columns stand in the order of ids
+                row, col = row[order], col[order]
+                first = np.searchsorted(row, np.arange(len(d)))
+                chosen = col[first[:, None] + np.arange(need)]
+                settled = np.flatnonzero((limit <= size) | last)
+                if settled.size:
+                    c = chosen[settled]
+                    got = finish(np.take_along_axis(d[settled], c, 1), xy[c], {v: right[v].to_numpy()[c] for v in carry})
+                    done.append(pd.DataFrame({"__at": lo + settled, **dict(zip(names, got))}))
+            if done:
+                done = pd.concat(done).set_index("__at")
+                out = out.reset_index(drop=True)
+                out.loc[done.index, "__ok"] = True
+                for c in names:
+                    out[c] = done[c].reindex(out.index)
+            return out
+
+        return nearest
+
+    left = None
+    for _ in range(rounds):
+        last = size >= extent
+        cell = lambda x, y: [F.floor(F.col(x) / size).alias("__cx"), F.floor(F.col(y) / size).alias("__cy")]
+        near = t.withColumn("__dx", _offsets()).withColumn("__dy", _offsets()).select(*t.columns, *[(c + F.col(d)).alias(n) for c, d, n in zip(cell("bx", "by"), ("__dx", "__dy"), ("__cx", "__cy"))])
+        pair = q.select(qid, "ax", "ay", *cell("ax", "ay")).groupBy("__cx", "__cy").cogroup(near.groupBy("__cx", "__cy"))
+        got = cut_lineage(pair.applyInPandas(nearest_of(size, last), schema))
+        pieces.append(got.where("__ok").select(qid, *names))
+        left = q = got.where("not __ok").select(qid, "ax", "ay")
+        if last or q.isEmpty():
+            left = None
+            break
+        size *= 2
+    out = pieces[0]
+    for p in pieces[1:]:
+        out = out.unionByName(p)
+    return out, left
+
+
 def _start_cell(t: DataFrame, cell: float, crowd: int = 5000) -> float:
     """Halve the first cell while the fullest one is crowded; doubling rounds then serve the sparse places."""
     if is_small(t):

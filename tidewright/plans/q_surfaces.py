@@ -44,14 +44,14 @@ def _(t: Tables):
 
 @query("int_kriging", "INT-02 UDF-04", None)
 def _(t: Tables):
-    g = I.kriging(neighbours(t, I.NEIGHBOURS), "aid", fitted(t))
+    g = I.krige(S.sensor(t, "view", "a"), S.sensor(t, "click", "b"), "aid", "bid", fitted(t), "bh")
     return g.select("aid", r6(F.col("pred")).alias("pred"), r6(F.col("variance")).alias("variance"), "fallback")
 
 
 @query("int_soft_kriging", "INT-03", None)
 def _(t: Tables):
-    n = neighbours(t, I.NEIGHBOURS).withColumn("e", (F.col("bid") % 5) / 100)
-    g = I.kriging(n, "aid", fitted(t), err="e")
+    b = S.sensor(t, "click", "b").withColumn("e", (F.col("bid") % 5) / 100)
+    g = I.krige(S.sensor(t, "view", "a"), b, "aid", "bid", fitted(t), "bh", "e")
     return g.select("aid", r6(F.col("pred")).alias("pred"), r6(F.col("variance")).alias("variance"), "fallback")
 
 
@@ -80,8 +80,7 @@ def _(t: Tables):
     fit = ST.ols_multi(b, [], ["bx", "by"], "bh").withColumn("one", F.lit(1)).drop("n")
     trend = lambda x, y: F.col("beta0") + F.col("beta1") * F.col(x) + F.col("beta2") * F.col(y)
     res = b.join(F.broadcast(fit), "one").withColumn("r", F.col("bh") - trend("bx", "by")).select("bid", "bx", "by", "r")
-    nn = P.knn(S.sensor(t, "view", "a"), res, I.NEIGHBOURS, "aid", "bid", ["bx", "by", "r"])
-    k = I.kriging(nn, "aid", fitted(t), z="r")
+    k = I.krige(S.sensor(t, "view", "a"), res, "aid", "bid", fitted(t), "r")
     q = S.sensor(t, "view", "a").withColumn("one", F.lit(1)).join(F.broadcast(fit), "one")
     return q.join(k, "aid").select("aid", r6(trend("ax", "ay") + F.col("pred")).alias("pred"), "fallback")
 
