@@ -96,6 +96,23 @@ def _(t: Tables):
     return j.select("radius", "min_nodes", n.alias("n"), F.coalesce(r6(F.col("med")), F.lit(-9.0)).alias("med"), (n >= 20).cast("int").alias("gate"))
 
 
+_ZX = """nz AS (SELECT bid, bday, aday, median(bh) - median(ah) AS d, median(dt) AS dt, max(bx) AS x, max(by_) AS y FROM pr JOIN (SELECT bid, bx, by_ FROM sb) USING (bid) WHERE dist <= 3000 GROUP BY 1, 2, 3), xz AS (SELECT aday, bday, count(*) AS n_nodes, median(d) AS d, median(dt) AS dt, floor(avg(x)) AS x, floor(avg(y)) AS y FROM nz GROUP BY 1, 2)"""
+
+
+@query("q_crossings_by_zone", "Q-04 JON-10 JON-16 AGG-04", f"""WITH {S.LEVELS}, {S.SENSORS}, {QJ._PAIRS}, {_ZX}, w AS (SELECT coalesce(CAST({S.ZONE_OF.format(x='x', y='y')} AS VARCHAR), 'none') AS zone, {_WIN} AS win, CASE WHEN aday >= DATE '{CUT}' THEN 'post' ELSE 'pre' END AS period, d FROM xz), m AS (SELECT zone, win, period, median(d) AS md FROM w GROUP BY 1, 2, 3)
+ SELECT zone, win, period, count(*) AS n, round(max(md), 6) AS med, round(1.4826::DOUBLE * median(abs(d - md)), 6) AS nmad, round(avg(abs(d)), 6) AS mae, round(sqrt(avg(d*d)), 6) AS rmse, round(100 * avg(CASE WHEN abs(d) <= 0.10 THEN 1.0 ELSE 0 END), 6) AS within_pct FROM w JOIN m USING (zone, win, period) GROUP BY 1, 2, 3""")
+def _(t: Tables):
+    """Crossings with the zone of their middle, agreement by zone, window and period; no raw pair is written."""
+    n = B.summarise(QJ.pairs(t).where("dist <= 3000"), ["bid", "bday", "aday"], {"x": F.max("bx"), "y": F.max("by")}, {"ma": ("ah", 0.5), "mb": ("bh", 0.5), "dt": ("dt", 0.5)})
+    g = B.summarise(n.withColumn("d", F.col("mb") - F.col("ma")), ["aday", "bday"], {"ax": F.floor(F.avg("x")).cast("double"), "ay": F.floor(F.avg("y")).cast("double")}, {"d": ("d", 0.5), "dt": ("dt", 0.5)})
+    g = cut_lineage(g.withColumn("xid", F.concat_ws("_", F.col("aday").cast("string"), F.col("bday").cast("string"))))
+    z = P.zone_label(g, S.zone_rings(t), "xid", 5000.0)
+    a = F.abs("dt")
+    z = z.withColumn("win", F.when(a <= 1, "<=1d").when(a <= 3, "1-3d").otherwise("3-10d")).withColumn("period", F.when(F.col("aday") >= F.to_date(F.lit(CUT)), "post").otherwise("pre"))
+    s = ST.residual_stats(cut_lineage(z), ["zone", "win", "period"], "d")
+    return s.select("zone", "win", "period", "n", r6(F.col("median")).alias("med"), *[r6(F.col(c)).alias(c) for c in ("nmad", "mae", "rmse", "within_pct")])
+
+
 @query("q_validation_paths", "Q-06 M16", f"""WITH {S.LEVELS}, {S.DAILY}, a AS (SELECT station, day, median(m) AS h FROM lv WHERE event_type = 'view' GROUP BY 1, 2), e AS (SELECT 'V1' AS claim, station, day, h - cm / 100 AS d, CASE WHEN n < 5 THEN 'fewer than five readings' ELSE '' END AS reason FROM a JOIN dl USING (station, day)),
  y AS (SELECT station, day, h - lag(h) OVER w AS dh, (cm - lag(cm) OVER w) / 100 AS dg, day - lag(day) OVER w AS gap FROM a JOIN dl USING (station, day) WINDOW w AS (PARTITION BY station ORDER BY day)),
  s AS (SELECT claim, 'n' AS statistic, count(*)::DOUBLE AS value FROM e WHERE reason = '' GROUP BY 1 UNION ALL SELECT claim, 'excluded', count(*) FILTER (reason <> '')::DOUBLE FROM e GROUP BY 1 UNION ALL SELECT claim, 'median', median(d) FROM e WHERE reason = '' GROUP BY 1 UNION ALL SELECT claim, 'rmse', sqrt(avg(d*d)) FROM e WHERE reason = '' GROUP BY 1
