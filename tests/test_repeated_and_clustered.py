@@ -30,3 +30,12 @@ def same_as_twin(spark, name, folder):
 def test_plane_left_out_with_repeated_soundings(spark, tmp_path):
     lines = "SELECT * FROM '/root/testdata/sf0.01/lineitem.parquet'"  # order and line number repeat, with another survey each
     assert same_as_twin(spark, "int_plane_left_out", folder_with(twin.duck(SOURCE), tmp_path, lineitem=lines)) == ""
+
+
+def test_passing_bablok_without_an_inner_median(spark):
+    r = np.random.default_rng(1)
+    x = r.uniform(0, 10, 30)
+    p = pd.DataFrame({"k": np.repeat([0, 1], 30), "x": np.r_[x, x], "y": np.r_[-3 * x, 2 * x + r.normal(0, 0.1, 30)]})
+    got = PR.passing_bablok(spark.createDataFrame(p), ["k"], "x", "y").toPandas().set_index("k")
+    assert np.isnan(got.loc[0, "slope"]) and np.isnan(got.loc[0, "intercept"]) and got.loc[0, "n_slopes"] == 435
+    assert got.loc[1, "slope"] == pytest.approx(2, abs=0.1)

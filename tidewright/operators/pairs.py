@@ -190,7 +190,9 @@ def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, interval: bool
 
 
 def passing_bablok(df: DataFrame, keys: Sequence[str], x: str, y: str, chunk: int = CHUNK) -> DataFrame:
-    """Shifted median of pairwise slopes: slopes of exactly -1 are dropped and the rank moves by those below -1."""
+    """Shifted median of pairwise slopes: slopes of exactly -1 are dropped and the rank moves by those below -1.
+
+    Where so many lie below -1 that the moved rank passes the last slope, slope and intercept are NULL."""
     keys = list(keys)
     src = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     units, _ = _units(src, keys, "slope", chunk)
@@ -205,14 +207,13 @@ def passing_bablok(df: DataFrame, keys: Sequence[str], x: str, y: str, chunk: in
     base = _spread(units, [*keys, "__u", "__v"]).groupBy(*keys, "__u", "__v").applyInPandas(tally, schema)
     base = base.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("below").alias("below"), F.sum("equal").alias("equal"))
     base = base.withColumn("m", F.col("n") - F.col("equal")).where("m > 0")
-    top = F.col("n") - 1
-    ranks = [F.struct(F.lit(i).alias("tid"), F.least(F.floor((F.col("m") - 1 + i) / 2) + F.col("below") + F.col("equal"),
-                                                     top).cast("long").alias("rank")) for i in (0, 1)]
-    want = base.select(*keys, F.explode(F.array(*ranks)).alias("__p")).select(*keys, "__p.tid", "__p.rank")
+    ranks = [F.struct(F.lit(i).alias("tid"), (F.floor((F.col("m") - 1 + i) / 2) + F.col("below") + F.col("equal")).cast("long").alias("rank"))
+             for i in (0, 1)]
+    want = base.select(*keys, "n", F.explode(F.array(*ranks)).alias("__p")).where("__p.rank < n").select(*keys, "__p.tid", "__p.rank")
     got = _gather(select_ranks(src, keys, want, "slope", chunk), keys, 2)
-    fit = base.join(got, keys).select(*keys, F.col("m").alias("n_slopes"), ((F.col("v0") + F.col("v1")) / 2).alias("slope"))
+    fit = base.join(got, keys, "left").select(*keys, F.col("m").alias("n_slopes"), ((F.col("v0") + F.col("v1")) / 2).alias("slope"))
     res = src.join(broadcast_if_small(fit), keys).withColumn("__r", F.col("__y") - F.col("slope") * F.col("__x"))
-    return fit.join(B.quantiles(res, keys, "__r", {"intercept": 0.5}), keys)
+    return fit.join(B.quantiles(res, keys, "__r", {"intercept": 0.5}), keys, "left")
 
 
 def hodges_lehmann(df: DataFrame, keys: Sequence[str], value: str, is_b: str, chunk: int = CHUNK) -> DataFrame:
