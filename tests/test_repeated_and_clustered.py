@@ -44,3 +44,35 @@ def test_passing_bablok_without_an_inner_median(spark):
 def test_archive_clip_east_of_all_zones(spark, tmp_path):
     east = "SELECT * REPLACE (event_id * 20 AS event_id) FROM events"  # one view a granule
     assert same_as_twin(spark, "jon_archive_clip", folder_with(twin.duck(SOURCE), tmp_path, events=east)) == ""
+
+
+@pytest.mark.parametrize("whole", [100, 2_000_000])
+def test_slopes_and_shifts_by_date(spark, monkeypatch, whole):
+    """A date as the key, and units that hold no value of a wanted prefix."""
+    monkeypatch.setattr(PR, "WHOLE", whole)
+    r = np.random.default_rng(4)
+    p = pd.DataFrame({"k": np.repeat(pd.to_datetime(["2024-01-01", "2024-01-02", "2024-01-03"]).date, [300, 25, 4]),
+                      "x": np.r_[r.integers(0, 240, 325) / 10, np.ones(4)], "y": np.round(r.normal(2, 1, 329), 2)})
+    df = spark.createDataFrame(p, "k date, x double, y double")
+    ts = PR.theil_sen(df, ["k"], "x", "y", chunk=40).toPandas().set_index("k")
+    hl = PR.hodges_lehmann(df.selectExpr("k", "y", "int(x > 12) AS b"), ["k"], "y", "b", chunk=40).toPandas().set_index("k")
+    assert len(ts) == 2 and len(hl) == 2            # one place has no slope and no second sample
+    for k, g in p[:325].groupby("k"):
+        x, y = g["x"].to_numpy(), g["y"].to_numpy()
+        i, j = np.triu_indices(len(x), 1)
+        ok = x[i] != x[j]
+        s = np.sort((y[j] - y[i])[ok] / (x[j] - x[i])[ok])
+        assert ts.loc[k, "slope"] == np.median(s) and ts.loc[k, "slope_lo"] in s and ts.loc[k, "slope_hi"] in s
+        assert hl.loc[k, "shift"] == pytest.approx(np.median(y[x > 12][None, :] - y[x <= 12][:, None]), abs=1e-12)
+
+
+@pytest.mark.parametrize("few", [5, 500_000])
+def test_slope_ranks_are_exact(monkeypatch, few):
+    monkeypatch.setattr(PR, "FEW", few)
+    r = np.random.default_rng(3)
+    for x, y in ((r.integers(0, 40, 400) / 10, r.integers(0, 500, 400) / 10000), (r.normal(size=400), r.normal(size=400)), (np.arange(400.0), np.arange(400) * 0.3 + 1e6), (np.arange(400.0), np.zeros(400))):
+        i, j = np.triu_indices(400, 1)
+        ok = x[i] != x[j]
+        s = np.sort((y[j] - y[i])[ok] / (x[j] - x[i])[ok])
+        ranks = [0, len(s) // 7, len(s) // 2, len(s) - 1]
+        assert PR._slope_ranks(x, y, ranks) == s[ranks].tolist()
