@@ -172,3 +172,29 @@ def test_repeated_places_meet_once(spark, tmp_path):
     folder = folder_with(twin.duck(SOURCE), tmp_path, events=REPEATED.replace("SELECT * REPLACE", "SELECT * EXCLUDE (c) REPLACE"))
     once, thrice = (q_surfaces._place_pairs(Tables(spark, d), 8000.0) for d in (SOURCE, folder))
     assert thrice.where("dist > 0").count() == once.where("dist > 0").count()
+
+
+REPEATED = f"SELECT * REPLACE (event_id + i * 100000 AS event_id) FROM '{SOURCE}/events.parquet', range(5) r(i)"
+
+
+@pytest.mark.parametrize("name", ["q_crossings", "q_crossing_rule_sweep", "q_crossings_by_zone"])
+def test_crossings_of_repeated_readings(spark, tmp_path, monkeypatch, name):
+    """Five equal readings meet the others once, with their number."""
+    met = []
+    near = P.near_folds
+    monkeypatch.setattr(P, "near_folds", lambda rows, others, *a, **k: met.append((rows.count(), others.count())) or near(rows, others, *a, **k))
+    folder = folder_with(twin.duck(SOURCE), tmp_path, events=REPEATED)
+    assert same_as_twin(spark, name, folder) == ""
+    con = twin.duck(SOURCE)
+    assert met == [tuple(con.execute(f"SELECT count(DISTINCT event_id) FROM events WHERE event_type = '{k}'").fetchone()[0] for k in ("click", "view"))]
+
+
+def test_quantiles_of_rows_that_count_often(spark, large_path):
+    r = np.random.default_rng(3)
+    p = pd.DataFrame({"k": np.repeat([0, 1], 400), "v": r.integers(0, 90, 800).astype(float), "m": r.integers(1, 6, 800)})
+    from tidewright.operators import blocks as B
+    q = {"a": ("v", 0.5), "b": ("v", 0.9)}
+    got = B.summarise(spark.createDataFrame(p), ["k"], {}, q, "m").toPandas().set_index("k")
+    for k, g in p.groupby("k"):
+        all_rows = np.repeat(g["v"], g["m"])
+        assert got.loc[k, "a"] == np.quantile(all_rows, 0.5) and got.loc[k, "b"] == pytest.approx(np.quantile(all_rows, 0.9))

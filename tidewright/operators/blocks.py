@@ -117,14 +117,15 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return _attach(df, part, keys).withColumn(out, F.sum(out).over(frame) + F.col("__s")).drop("__s", BLK)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles of ``value`` per key."""
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], times: str | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``value`` per key; a row counts as often as the column ``times`` says (once without)."""
     keys = list(keys)
-    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    often = (F.lit(1) if times is None else F.col(times)).cast("long")
+    src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"), often.alias("__m"))
     if is_bounded(src):
-        arr = src.groupBy(*keys).agg(F.percentile("__v", [float(p) for p in probs.values()]).alias("__q"))
+        arr = src.groupBy(*keys).agg(F.percentile("__v", [float(p) for p in probs.values()], F.col("__m")).alias("__q"))
         return arr.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)])
-    counts = src.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    counts = src.groupBy(*keys, "__v").agg(F.sum("__m").alias("__c"))
     cum = running_sum(counts, keys, ["__v"], F.col("__c"), "__cum")
     total = counts.groupBy(*keys).agg(F.sum("__c").alias("__tot"))
     if keys:
@@ -144,19 +145,20 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
 
 
 def summarise(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column] | None = None,
-              quants: Mapping[str, tuple[str, float]] | None = None) -> DataFrame:
-    """One summary row per key: ordinary aggregates plus exact quantiles ``{name: (column, p)}``."""
+              quants: Mapping[str, tuple[str, float]] | None = None, times: str | None = None) -> DataFrame:
+    """One summary row per key: ordinary aggregates plus exact quantiles ``{name: (column, p)}``, of rows that count ``times`` each."""
     keys, aggs, quants = list(keys), dict(aggs or {}), dict(quants or {})
     if not quants or is_bounded(df):
         both = [c.alias(n) for n, c in aggs.items()]
         cols = list(dict.fromkeys(v for v, _ in quants.values()))      # one value map per column, not per quantile
         at = {v: [p for u, p in quants.values() if u == v] for v in cols}
-        both += [F.percentile(F.col(v).cast("double"), [float(p) for p in at[v]]).alias(f"__q_{v}") for v in cols]
+        often = 1 if times is None else F.col(times).cast("long")
+        both += [F.percentile(F.col(v).cast("double"), [float(p) for p in at[v]], often).alias(f"__q_{v}") for v in cols]
         picks = [F.col(f"__q_{v}")[at[v].index(p)].alias(n) for n, (v, p) in quants.items()]
         return df.groupBy(*keys).agg(*both).select(*keys, *aggs, *picks)
     parts = [df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])] if aggs else []
     for col in dict.fromkeys(v for v, _ in quants.values()):
-        parts.append(quantiles(df, keys, col, {n: p for n, (v, p) in quants.items() if v == col}))
+        parts.append(quantiles(df, keys, col, {n: p for n, (v, p) in quants.items() if v == col}, times))
     out = parts[0]
     for nxt in parts[1:]:
         if keys:
