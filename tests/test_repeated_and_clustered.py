@@ -198,3 +198,8 @@ def test_quantiles_of_rows_that_count_often(spark, large_path):
     for k, g in p.groupby("k"):
         all_rows = np.repeat(g["v"], g["m"])
         assert got.loc[k, "a"] == np.quantile(all_rows, 0.5) and got.loc[k, "b"] == pytest.approx(np.quantile(all_rows, 0.9))
+
+
+@pytest.mark.parametrize("name", ["q_transition_slopes", "q_slope_spans"])
+def test_slopes_of_repeated_points(spark, tmp_path, name):
+    assert same_as_twin(spark, name, folder_with(twin.duck(SOURCE), tmp_path, events=REPEATED)) == ""
