@@ -203,3 +203,20 @@ def test_quantiles_of_rows_that_count_often(spark, large_path):
 @pytest.mark.parametrize("name", ["q_transition_slopes", "q_slope_spans"])
 def test_slopes_of_repeated_points(spark, tmp_path, name):
     assert same_as_twin(spark, name, folder_with(twin.duck(SOURCE), tmp_path, events=REPEATED)) == ""
+
+
+def test_a_key_of_many_rows_is_cut_though_its_table_looks_small(spark, tmp_path, monkeypatch):
+    """Equal values take almost no bytes in a file, but a window holds their rows."""
+    from pyspark.sql import functions as F
+
+    from tidewright.operators import blocks as B
+    spark.range(30_000).select((F.col("id") % 2).alias("k"), "id", F.lit(1).alias("v")).write.parquet(str(tmp_path / "t"))
+    d = spark.read.parquet(str(tmp_path / "t"))
+    spark.conf.set(B.BLOCK_ROWS_KEY, "5000")
+    try:
+        assert B.plan_bytes(d) <= 256 * 1024 * 1024
+        assert B.with_blocks(d, ["id"])[1] and B.with_blocks(d, ["id"], ["k"])[1] and not B.with_blocks(d, ["id"], ["id"])[1]
+        got = B.running_sum(d, [], ["id"], F.col("v"), "s")
+        assert got.where("s <> id + 1").count() == 0 and got.count() == 30_000
+    finally:
+        spark.conf.unset(B.BLOCK_ROWS_KEY)

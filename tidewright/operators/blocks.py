@@ -16,18 +16,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import BLOCK_ROWS_KEY, broadcast_if_small, cut_lineage, is_bounded, setting
+from ..session import BLOCK_ROWS_KEY, SMALL_BYTES_KEY, broadcast_if_small, cut_lineage, is_bounded, is_small, plan_bytes, setting
 
 BLK = "__blk"
 
 
-def with_blocks(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool]:
+def with_blocks(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> tuple[DataFrame, bool]:
     """Add the block column, which grows along ``order``; returns the frame and whether more than one block exists.
 
+    An estimate of compressed columns says little about rows, so of a table that looks small the rows of the largest key are counted.
     The cut points are sampled anew by every run of a range shuffle, so the blocks are kept by a reliable checkpoint."""
-    if is_bounded(df):
-        return df, False
     limit = setting(df.sparkSession, BLOCK_ROWS_KEY)
+    if plan_bytes(df) <= min(limit, setting(df.sparkSession, SMALL_BYTES_KEY)):     # a row takes a byte or more
+        return df, False
+    if is_small(df):
+        if (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0) <= limit:
+            return df, False
+    elif is_bounded(df):
+        return df, False
     n = df.count()
     if n <= limit:
         return df, False
@@ -47,7 +53,7 @@ def row_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
                  total: str | None = None) -> DataFrame:
     """1-based position of each row inside its key, and optionally the key's row count."""
     keys, order = list(keys), list(order)
-    df, many = with_blocks(df, order)
+    df, many = with_blocks(df, order, keys)
     if not many:
         df = df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*_order(order))).cast("long"))
         return df if total is None else df.withColumn(total, F.count(F.lit(1)).over(W.partitionBy(*keys)))
@@ -67,7 +73,7 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Ma
               step: int = -1) -> DataFrame:
     """Columns of the previous (``step=-1``) or next (``step=1``) row of the same key."""
     keys, order = list(keys), list(order)
-    df, many = with_blocks(df, order)
+    df, many = with_blocks(df, order, keys)
     pack = F.struct(*[F.col(src).alias(dst) for dst, src in cols.items()])
     shift = F.lag if step < 0 else F.lead
     w = W.partitionBy(*keys, *([BLK] if many else [])).orderBy(*_order(order))
@@ -86,7 +92,7 @@ def known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
           forward: bool = False, inclusive: bool = True) -> DataFrame:
     """Last (or, with ``forward``, next) non-null ``value`` seen from each row."""
     keys, order = list(keys), list(order)
-    df, many = with_blocks(df, order)
+    df, many = with_blocks(df, order, keys)
     # Looking ahead is looking back along the reversed order: a frame that grows costs one pass, one that shrinks is quadratic.
     w = W.partitionBy(*keys, *([BLK] if many else [])).orderBy(*_order(order, forward))
     frame = w.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
@@ -105,7 +111,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
                 reverse: bool = False) -> DataFrame:
     """Inclusive running sum along the order."""
     keys, order = list(keys), list(order)
-    df, many = with_blocks(df, order)
+    df, many = with_blocks(df, order, keys)
     df = df.withColumn(out, value)
     w = W.partitionBy(*keys, *([BLK] if many else [])).orderBy(*_order(order, reverse))
     frame = w.rowsBetween(W.unboundedPreceding, 0)
