@@ -230,3 +230,11 @@ def test_tail_clusters_of_repeated_places(spark, tmp_path, monkeypatch):
     assert same_as_twin(spark, "cv_tail_clusters", folder_with(twin.duck(SOURCE), tmp_path, events=REPEATED)) == ""
     con = twin.duck(SOURCE)
     assert met == [con.execute("SELECT count(DISTINCT event_id) FROM events WHERE event_type = 'click' AND value / 100 > 0.8").fetchone()[0]]
+
+
+def test_station_alignment_of_repeated_readings(spark, tmp_path, monkeypatch):
+    met = []
+    pairs = P.radius_pairs
+    monkeypatch.setattr(P, "radius_pairs", lambda a, b, *r, **k: met.append(a.count()) or pairs(a, b, *r, **k))
+    assert same_as_twin(spark, "q_station_alignment", folder_with(twin.duck(SOURCE), tmp_path, events=REPEATED)) == ""
+    assert met[0] <= twin.duck(SOURCE).execute("SELECT count(*) FROM events WHERE event_type = 'view'").fetchone()[0]

@@ -174,9 +174,9 @@ def summarise(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column] | N
     return out
 
 
-def attach_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def attach_median(df: DataFrame, keys: Sequence[str], value: str, out: str, times: str | None = None) -> DataFrame:
     """Each row with the median of ``value`` of its key (whole-partition frame, no per-key task)."""
-    med = quantiles(df, keys, value, {out: 0.5})
+    med = quantiles(df, keys, value, {out: 0.5}, times)
     if not keys:
         return df.withColumn("__one", F.lit(1)).join(
             F.broadcast(med.withColumn("__one", F.lit(1))), "__one").drop("__one")

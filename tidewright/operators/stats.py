@@ -22,9 +22,10 @@ def _join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.withColumn("__one", F.lit(1)).join(F.broadcast(b.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
 
-def nmad(df: DataFrame, keys: Sequence[str], value: str, out: str = "nmad") -> DataFrame:
-    dev = B.attach_median(df.select(*keys, value), keys, value, "__med").withColumn("__d", F.abs(F.col(value) - F.col("__med")))
-    q = B.quantiles(dev, keys, "__d", {"__m": 0.5})
+def nmad(df: DataFrame, keys: Sequence[str], value: str, out: str = "nmad", times: str | None = None) -> DataFrame:
+    src = df.select(*keys, value, *([times] if times else []))
+    dev = B.attach_median(src, keys, value, "__med", times).withColumn("__d", F.abs(F.col(value) - F.col("__med")))
+    q = B.quantiles(dev, keys, "__d", {"__m": 0.5}, times)
     return q.select(*keys, (F.col("__m") * NMAD_SCALE).alias(out))
 
 
