@@ -238,3 +238,20 @@ def test_station_alignment_of_repeated_readings(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(P, "radius_pairs", lambda a, b, *r, **k: met.append(a.count()) or pairs(a, b, *r, **k))
     assert same_as_twin(spark, "q_station_alignment", folder_with(twin.duck(SOURCE), tmp_path, events=REPEATED)) == ""
     assert met[0] <= twin.duck(SOURCE).execute("SELECT count(*) FROM events WHERE event_type = 'view'").fetchone()[0]
+
+
+def test_planes_of_few_groups_are_sent_to_the_rows(spark, large_path):
+    """The rows of a group are not brought together to meet the group's plane."""
+    from tidewright.operators import stats as ST
+    from tidewright.session import BROADCAST_BYTES_KEY
+    spark.conf.set(BROADCAST_BYTES_KEY, "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = np.random.default_rng(5)
+        p = pd.DataFrame({"k": np.repeat([0, 1, 2], 50), "x": r.uniform(0, 9, 150), "w": r.uniform(0, 9, 150)})
+        got = ST.planar_residual(spark.createDataFrame(p.assign(y=3 + 2 * p.x - p.w * p.k)), ["k"], "x", "w", "y", "e")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert abs(got.toPandas()["e"]).max() < 1e-9
+    finally:
+        spark.conf.unset(BROADCAST_BYTES_KEY)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, few_rows
 from . import blocks as B
 
 NMAD_SCALE = 1.4826       # fixed value: median absolute deviation to standard deviation
@@ -174,7 +174,7 @@ def planar_residual(df: DataFrame, keys: Sequence[str], x: str, y: str, z: str,
         for a in range(3):
             aggs.append(F.sum(w * cols[a] * F.col(z)).alias(f"b{a}"))
             aggs += [F.sum(w * cols[a] * cols[b]).alias(f"g{a}_{b}") for b in range(a, 3)]
-        fit = _solve_rows(rows.groupBy(*keys).agg(*aggs), keys, 3, False).drop("n")
+        fit = few_rows(_solve_rows(rows.groupBy(*keys).agg(*aggs), keys, 3, False).drop("n"))
         rows = _join(rows.drop(out), fit, keys)
         rows = rows.withColumn(out, F.col(z) - F.col("beta0") - F.col("beta1") * F.col(x) - F.col("beta2") * F.col(y))
         if soft_scale:
