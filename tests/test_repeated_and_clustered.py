@@ -255,3 +255,15 @@ def test_planes_of_few_groups_are_sent_to_the_rows(spark, large_path):
     finally:
         spark.conf.unset(BROADCAST_BYTES_KEY)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_stream_matches_of_repeated_readings(spark, tmp_path, monkeypatch):
+    """The streamed join holds each place and time once, however often it repeats."""
+    from tidewright.streaming import jobs as J
+    tables = {}
+    run, packs = J.run_append, J._packs
+    monkeypatch.setattr(J, "run_append", lambda s, name: tables.setdefault(name, run(s, name)) if name == "pairs" else run(s, name))
+    monkeypatch.setattr(J, "_packs", lambda rows, keys, name: packs(rows, keys, name, 2))
+    assert same_as_twin(spark, "str_space_time_matches", folder_with(twin.duck(SOURCE), tmp_path, events=REPEATED)) == ""
+    sql = plans.registered()["str_space_time_matches"].sql
+    assert tables["pairs"].count() == len(twin.duck(SOURCE).execute(sql).fetchall())
