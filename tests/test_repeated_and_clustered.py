@@ -267,3 +267,13 @@ def test_stream_matches_of_repeated_readings(spark, tmp_path, monkeypatch):
     assert same_as_twin(spark, "str_space_time_matches", folder_with(twin.duck(SOURCE), tmp_path, events=REPEATED)) == ""
     sql = plans.registered()["str_space_time_matches"].sql
     assert tables["pairs"].count() == len(twin.duck(SOURCE).execute(sql).fetchall())
+
+
+def test_persistence_counts_years_as_bits(spark, tmp_path):
+    """A cell is one row whatever its years; years 64 apart and rows without a date are told apart."""
+    dates = "CASE l_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN l_shipdate - INTERVAL 64 YEAR ELSE l_shipdate END"
+    lines = f"SELECT * REPLACE ({dates} AS l_shipdate) FROM lineitem"
+    folder = folder_with(twin.duck(SOURCE), tmp_path, lineitem=lines)
+    assert same_as_twin(spark, "ras_persistence_prior", folder) == ""
+    plan = plans.runner(plans.registered()["ras_persistence_prior"])(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and not any("year" in line for line in plan.split("\n") if "hashpartitioning(" in line)

@@ -102,6 +102,15 @@ def occurrence(cells: DataFrame, water: str, min_valid: int = 3, keys: Sequence[
     return g.withColumn("occ_class", c)
 
 
+def seen_periods(cells: DataFrame, period: str, flags: dict[str, Column], keys: Sequence[str] = CELL) -> DataFrame:
+    """Per cell and block of 64 periods (``block``) one mask a flag: bit ``period % 64`` is set if the flag holds in a row of that period.
+
+    Bits of one block stand for distinct periods, so rows are one a cell and not one a cell and period.  NULL is a period of its own."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce(F.pmod(F.col(period), F.lit(64)), F.lit(0)).cast("int"))
+    masks = [F.coalesce(F.bit_or(F.when(flag, bit)), F.lit(0).cast("long")).alias(name) for name, flag in flags.items()]
+    return cells.groupBy(*keys, F.floor(F.col(period) / 64).alias("block")).agg(*masks)
+
+
 def first_last(cells: DataFrame, when: str, cls: str, wet_codes: Sequence[int], keys: Sequence[str] = CELL) -> DataFrame:
     """First and last observed wet date, first observed dry date and the class at that date."""
     seen = F.col(cls).isNotNull() & (F.col(cls) != 0)
