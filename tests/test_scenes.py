@@ -111,6 +111,22 @@ def test_boundary_distance_far_and_signed(spark):
     assert max(r.dist for r in got) > 50
 
 
+def test_boundary_distance_sends_a_vertex_once(spark, monkeypatch):
+    """Only vertices without a line near their tile go on; tiles and reach change no distance and no side."""
+    rng = random.Random(8)
+    z = {(r, c): rng.uniform(-1, 1) + (3 if c > 12 else 0) for r in range(-9, 10) for c in range(-7, 18)}
+    f = spark.createDataFrame([(r, c, v) for (r, c), v in z.items() if rng.random() < 0.95], "row long, col long, z double")
+    b1, b2 = C.corner_blocks(f, "z").cache(), C.corner_blocks(f, "z", 2.5).cache()
+    s1, s2 = C.block_segments(b1).cache(), C.block_segments(b2).cache()
+    near, sent = SC.nearest_segment, []
+    monkeypatch.setattr(SC, "nearest_segment", lambda p, *a: sent.append(p.count()) or near(p, *a))
+    key = lambda r: (r.direction, *r.vid, round(r.len, 9), round(r.dist, 9), None if r.signed is None else round(r.signed, 9))
+    wide = sorted(map(str, map(key, SC.boundary_distances(s1, s2, b1, b2, 99, 256).collect())))
+    assert not sent and len(wide) == s1.count() + s2.count()
+    assert sorted(map(str, map(key, SC.boundary_distances(s1, s2, b1, b2, 2, 5).collect()))) == wide
+    assert 0 < sum(sent) < len(wide)
+
+
 def test_movement_has_no_reach(spark):
     """A straight contour moved by 70 cells is found at its place; beyond the field's edge there is no crossing; a vertex above the later level is not nested."""
     e1 = C.corner_blocks(field_of(spark, 6, 120, lambda r, c: c - 20.5), "z")

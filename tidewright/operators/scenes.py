@@ -176,6 +176,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, size: int = 2) -> Da
         last = size >= extent
         q = left.select("vid", "x", "y", F.floor(F.col("y") / size).alias("br"), F.floor(F.col("x") / size).alias("bc"), around.alias("o"))
         q = q.select("vid", "x", "y", (F.col("br") + F.col("o.a")).alias("br"), (F.col("bc") + F.col("o.b")).alias("bc"))
+        q = F.broadcast(q) if left.select(F.lit(1)).limit(10_001).count() <= 10_000 else q       # few points go to the segments
         met = q.join(s.withColumn("br", F.floor(F.col("row") / size)).withColumn("bc", F.floor(F.col("col") / size)).drop("row", "col"), ["br", "bc"])
         best = cut_lineage(met.groupBy("vid").agg(F.min(segment_distance(F.col("x"), F.col("y"))).alias("dist")).where(F.lit(last) | (F.col("dist") <= size)))
         pieces.append(best)
@@ -206,15 +207,73 @@ def inside_level(points: DataFrame, blocks: DataFrame, segments: DataFrame) -> D
     return j.join(turns, "vid", "left").select("vid", F.when(F.col("a").isNotNull(), at_edge == (F.coalesce("turns", F.lit(0)) % 2 == 0)).alias("inside"))
 
 
-def boundary_distances(first: DataFrame, second: DataFrame, blocks1: DataFrame, blocks2: DataFrame) -> DataFrame:
+def _near_in_tile(size: int):
+    """Distance of a tile's vertices to the segments about it (NULL beyond ``size``), and whether they lie above the level of their block."""
+
+    def settle(p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        p = p.drop(columns=["tr", "tc"])
+        if not len(p) or not len(o):
+            return p.assign(dist=np.nan, inside=pd.array([pd.NA] * len(p), dtype="boolean"))
+        x, y = p["x"].to_numpy(), p["y"].to_numpy()
+        row, col = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
+        o = o.sort_values(["row", "col"])
+        left = min(o["col"].min(), col.min())
+        width = max(o["col"].max(), col.max()) - left + 1
+        mine, cells = row * width + col - left, (o["row"] * width + o["col"] - left).to_numpy()
+        line, block = o["x1"].notna().to_numpy(), o["a"].notna().to_numpy()
+        x1, y1, x2, y2 = (o[c].to_numpy()[line] for c in ("x1", "y1", "x2", "y2"))
+        vx, vy = x2 - x1, y2 - y1
+        n = vx * vx + vy * vy
+        rows, of = o["row"].to_numpy()[line], cells[line]
+        dist = np.full(len(p), np.inf)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for r in np.unique(row):                              # lines of the rows that may be so near
+                i, s = np.flatnonzero(row == r), slice(*np.searchsorted(rows, [r - 1 - size, r + 2 + size]))
+                if s.start < s.stop:
+                    px, py = x[i, None], y[i, None]
+                    t = np.where(n[s] > 0, np.maximum(0.0, np.minimum(1.0, ((px - x1[s]) * vx[s] + (py - y1[s]) * vy[s]) / n[s])), 0.0)
+                    ex, ey = px - (x1[s] + t * vx[s]), py - (y1[s] + t * vy[s])
+                    dist[i] = np.sqrt((ex * ex + ey * ey).min(axis=1))
+            # the block's edge, turned once for every line of the block on the way (see ``inside_level``)
+            first, end = np.searchsorted(of, mine), np.searchsorted(of, mine, side="right")
+            turns = np.zeros(len(p), np.int64)
+            for k in range(int((end - first).max())):
+                i = np.flatnonzero(first + k < end)
+                s = first[i] + k
+                turns[i] += ((y1[s] > y[i]) != (y2[s] > y[i])) & (x1[s] + (y[i] - y1[s]) * vx[s] / vy[s] < x[i])
+            at = np.searchsorted(cells[block], mine)
+            known = np.append(cells[block], cells.min() - 1)[at] == mine
+            a, d = (np.append(o[c].to_numpy()[block], np.nan)[at] for c in ("a", "d"))
+            edge = np.where((a > 0) == (d > 0), a > 0, (y - row < a / (a - d)) == (a > 0))
+        inside = pd.array(edge == (turns % 2 == 0), dtype="boolean")
+        inside[~known] = pd.NA
+        return p.assign(dist=np.where(dist <= size, dist, np.nan), inside=inside)
+
+    return settle
+
+
+def boundary_distances(first: DataFrame, second: DataFrame, blocks1: DataFrame, blocks2: DataFrame, size: int = 4, tile: int = 256) -> DataFrame:
     """Both directions: ``direction, vid, len, dist`` and ``signed``, positive where the first extent is the larger one.
 
     A vertex of the first boundary inside the second extent means a smaller first extent, a vertex of the second one inside the
-    first a larger one, so that both directions agree in sign.  ``signed`` is NULL where the other field was not observed."""
+    first a larger one, so that both directions agree in sign.  ``signed`` is NULL where the other field was not observed.
+
+    A vertex is sent once, to its tile, where the segments up to ``size`` beyond the tile are; what is no farther than that is exact.
+    The others, few where lines are dense, go on by ``nearest_segment``."""
     both = None
     for tag, own, other, blocks, plus in (("first", first, second, blocks2, False), ("second", second, first, blocks1, True)):
-        v = cut_lineage(contour_vertices(own))
-        d = nearest_segment(v, other).join(inside_level(v, blocks, other), "vid", "left")
+        at = lambda c, by: F.floor(F.col(c) / by).cast("long")
+        v = contour_vertices(own).select(F.col("vid.row").alias("row"), F.col("vid.col").alias("col"), F.col("vid.seg").alias("seg"), "x", "y", "len", at("y", tile).alias("tr"), at("x", tile).alias("tc"))
+        span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - size) / tile).cast("long"), F.floor((F.col(c) + 1 + size) / tile).cast("long")))
+        ends, none = ["x1", "y1", "x2", "y2"], F.lit(None).cast("double")
+        lines = other.select(F.col("row").cast("long"), F.col("col").cast("long"), *ends, none.alias("a"), none.alias("d"), span("row").alias("tr")).select("*", span("col").alias("tc"))
+        corners = blocks.select(F.col("row").cast("long"), F.col("col").cast("long"), *[none.alias(c) for c in ends], "a", "d", at("row", tile).alias("tr"), at("col", tile).alias("tc"))
+        schema = T.StructType([*[f for f in v.schema if f.name not in ("tr", "tc")], T.StructField("dist", T.DoubleType()), T.StructField("inside", T.BooleanType())])
+        d = cut_lineage(v.groupBy("tr", "tc").cogroup(lines.unionByName(corners).groupBy("tr", "tc")).applyInPandas(_near_in_tile(size), schema))
+        d = d.select(F.struct("row", "col", "seg").alias("vid"), "x", "y", "len", F.nanvl("dist", none).alias("dist"), "inside")
+        left = d.where("dist is null").select("vid", "x", "y", "len", "inside")
+        if not left.isEmpty():
+            d = d.where("dist is not null").unionByName(nearest_segment(left, other, 2 * size).select(*d.columns))
         sign = F.when(F.col("inside") == plus, 1.0).when(F.col("inside").isNotNull(), -1.0)
         d = d.select(F.lit(tag).alias("direction"), "vid", "len", "dist", (sign * F.col("dist")).alias("signed"))
         both = d if both is None else both.unionByName(d)

@@ -106,9 +106,9 @@ _FD = "fd AS (SELECT row, col, avg(qty) AS z FROM cl GROUP BY 1, 2)"
  SELECT direction, count(*) AS n, round(sum(CASE WHEN signed IS NULL THEN len ELSE 0 END) / sum(len), 6) AS unpaired_share, round(sum(signed * len) / sum(CASE WHEN signed IS NOT NULL THEN len END), 6) AS mean_signed, round(sum(CASE WHEN abs(signed) <= 1 THEN len ELSE 0 END) / sum(len), 6) AS within_1,
   round(max(dist), 6) AS hausdorff, round(median(signed), 6) AS signed_p50, round(median(dist), 6) AS p50, round(quantile_cont(dist, 0.9), 6) AS p90, round(quantile_cont(dist, 0.95), 6) AS p95 FROM bo GROUP BY 1""")
 def _(t: Tables):
-    z = cut_lineage(field(t))
-    b1, b2 = (cut_lineage(C.corner_blocks(z, "z", level)) for level in (25.3, 27.3))
-    s1, s2 = (cut_lineage(C.block_segments(b)) for b in (b1, b2))
+    corners = cut_lineage(C.corner_blocks(field(t), "z"))
+    b1, b2 = (corners.select("row", "col", *[(F.col(c) - level).alias(c) for c in "abcd"]) for level in (25.3, 27.3))
+    s1, s2 = (C.block_segments(b) for b in (b1, b2))
     d = cut_lineage(SC.boundary_distances(s1, s2, b1, b2))
     d = d.unionByName(d.withColumn("direction", F.lit("both")))
     w = lambda cond, value="len": F.sum(F.when(cond, F.col(value)).otherwise(0.0)) / F.sum("len")
