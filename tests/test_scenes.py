@@ -2,6 +2,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,24 @@ def test_scene_structure(spark, tile):
     assert SC.scene_structure(spark.createDataFrame([], "scene long, row long, col long"), ["scene"], F.col("scene"), box, tile).count() == 0
 
 
+def test_scene_tiles_of_a_narrow_frame_are_longer(spark, monkeypatch):
+    """Parts by runs; a strip of 200 x 3 is cut into 10 tiles of 21 rows, and only cells beside another tile leave a tile."""
+    rng = random.Random(3)
+    box = (5, 204, 2, 4)
+    grid = [(r, c) for r in range(5, 205) for c in range(2, 5)]
+    m = {x for x in grid if rng.random() < 0.6}
+    for conn in (4, 8):
+        _, _, _, of = SC._runs(np.array([[(r, c) in m for r in range(5, 205)] for c in range(2, 5)]), conn)
+        assert of.max() + 1 == len(parts(m, conn))
+    kept, cut = [], SC.cut_lineage
+    monkeypatch.setattr(SC, "cut_lineage", lambda d: kept.append(cut(d)) or kept[-1])
+    df = spark.createDataFrame([(1, r, c) for r, c in m], "scene long, row long, col long")
+    got = SC.scene_structure(df, ["scene"], F.col("scene"), box, 8).first()
+    holes = sum(len(q) for q in parts(set(grid) - m, 4) if not any(r in box[:2] or c in box[2:] for r, c in q))
+    assert (got.parts, got.hole_cells) == (len(parts(m, 8)), holes) and got.largest_share == pytest.approx(max(map(len, parts(m, 8))) / len(m))
+    assert kept[0].select("tr", "tc").distinct().count() == 10 and kept[0].where("n < 0").count() == 9 * 2 * 3
+
+
 def walk(flags, width, tolerance):
     reach = gap = most = 0.0
     for i, c in enumerate(flags):

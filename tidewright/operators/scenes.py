@@ -18,38 +18,77 @@ from . import labels as LB
 _FOUR, _EIGHT = [(0, 1), (1, 0)], [(0, 1), (1, 0), (1, 1), (1, -1)]
 
 
+def _runs(side: np.ndarray, conn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of set cells along the lines of a grid: line, start, end (beyond the last cell) and the number of the part they belong to."""
+    span = side.shape[1] + 1
+    turn = np.flatnonzero(np.diff(np.pad(side, ((0, 0), (0, 1))).ravel().astype(np.int8), prepend=0, append=0))
+    start, end = turn[::2], turn[1::2]
+    # runs of the next line that meet a run: by a side, or for 8 neighbours by a corner
+    lo = np.searchsorted(end, start + span, side="left" if conn == 8 else "right")
+    hi = np.searchsorted(start, end + span, side="right" if conn == 8 else "left")
+    size = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(start)), size)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size) + lo[a]
+    lab = np.arange(len(start))
+    while True:
+        low = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        for ends in (a, b):
+            np.minimum.at(new, ends, low)
+            np.minimum.at(new, lab[ends], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, lab):
+            break
+        lab = new
+    return start // span, start % span, start % span + end - start, np.unique(lab, return_inverse=True)[1]
+
+
 def scene_structure(mask: DataFrame, keys: Sequence[str], key_id: Column, box: tuple[int, int, int, int], tile: int = 256) -> DataFrame:
     """Per scene: parts (8 neighbours), largest part's share, hole cells and their share of the water.
 
     A hole is a part of the background (4 neighbours) that does not reach the frame ``(row0, row1, col0, col1)``.  Water and background
     are labelled together inside tiles; what leaves a tile is one row a part (cells, whether it reaches the frame) and its rim cells.
-    A tile without water is one part of the background.  Touching parts are then joined in one run over all scenes."""
+    A tile without water is one part of the background.  Touching parts are then joined in one run over all scenes.  Tiles hold
+    ``tile * tile`` cells: where the frame is narrower than ``tile`` they are as much longer."""
     keys = list(keys)
     r0, r1, c0, c1 = box
     width, stride = c1 - c0 + 1, (r1 - r0 + 1) * (c1 - c0 + 1)
-    tr, tc = F.floor((F.col("row") - r0) / tile), F.floor((F.col("col") - c0) / tile)
+    tall = tile * tile // min(tile, width)
+    tr, tc = F.floor((F.col("row") - r0) / tall), F.floor((F.col("col") - c0) / tile)
     m = mask.where(F.col("row").between(r0, r1) & F.col("col").between(c0, c1)).select(*keys, key_id.cast("long").alias("kid"), "row", "col", tr.alias("tr"), tc.alias("tc"))
     fields = [m.schema[k] for k in [*keys, "kid", "tr", "tc"]]
     schema = T.StructType([*fields, *[T.StructField(n, T.LongType()) for n in ("local", "n", "rim", "row", "col")], T.StructField("wet", T.BooleanType())])
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        top, left = r0 + int(pdf["tr"].iloc[0]) * tile, c0 + int(pdf["tc"].iloc[0]) * tile
-        high, wide = min(tile, r1 - top + 1), min(tile, c1 - left + 1)
+        top, left = r0 + int(pdf["tr"].iloc[0]) * tall, c0 + int(pdf["tc"].iloc[0]) * tile
+        high, wide = min(tall, r1 - top + 1), min(tile, c1 - left + 1)
         wet = np.zeros((high, wide), bool)
         wet[pdf["row"].to_numpy() - top, pdf["col"].to_numpy() - left] = True
         base = int(pdf["kid"].iloc[0]) * stride
+        # cells beside another tile
+        beside = np.zeros((high, wide), bool)
+        for there, at in ((top > r0, np.s_[0]), (top + high - 1 < r1, np.s_[-1]), (left > c0, np.s_[:, 0]), (left + wide - 1 < c1, np.s_[:, -1])):
+            beside[at] |= there
+        er, ec = np.nonzero(beside)
+        turned = high > wide                                       # runs go along the longer side
         out = []
         for side, conn in ((wet, 8), (~wet, 4)):
-            r, c = np.nonzero(side)
-            if not r.size:
+            line, start, end, of = _runs(side.T if turned else side, conn)
+            if not line.size:
                 continue
-            lab = LB._local_labels(r + top, c + left, base + (r + top - r0) * width + (c + left - c0), conn)
-            at_frame = (r + top == r0) | (r + top == r1) | (c + left == c0) | (c + left == c1)
-            u, of = np.unique(lab, return_inverse=True)
-            n, rim = np.bincount(of), np.bincount(of, at_frame) > 0
-            edge = np.flatnonzero((r == 0) | (r == high - 1) | (c == 0) | (c == wide - 1))
-            out.append(pd.DataFrame({"local": u, "n": n, "rim": rim.astype(np.int64), "row": -1, "col": -1, "wet": side is wet}))
-            out.append(pd.DataFrame({"local": lab[edge], "n": -1, "rim": -1, "row": r[edge] + top, "col": c[edge] + left, "wet": side is wet}))
+            r, c = (start, line) if turned else (line, start)
+            r_end, c_end = (end - 1, line) if turned else (line, end - 1)
+            ids = np.full(of.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(ids, of, base + (r + top - r0) * width + (c + left - c0))
+            at_frame = (r + top == r0) | (r_end + top == r1) | (c + left == c0) | (c_end + left == c1)
+            n, rim = np.bincount(of, end - start).astype(np.int64), np.bincount(of, at_frame) > 0
+            out.append(pd.DataFrame({"local": ids, "n": n, "rim": rim.astype(np.int64), "row": -1, "col": -1, "wet": side is wet}))
+            own = side[er, ec]
+            span = side.shape[0 if turned else 1] + 1
+            key = (ec * span + er if turned else er * span + ec)[own]
+            lab = ids[of[np.searchsorted(line * span + start, key, side="right") - 1]]
+            out.append(pd.DataFrame({"local": lab, "n": -1, "rim": -1, "row": er[own] + top, "col": ec[own] + left, "wet": side is wet}))
         got = pd.concat(out, ignore_index=True)
         for k in [*keys, "kid", "tr", "tc"]:
             got[k] = pdf[k].iloc[0]
@@ -59,12 +98,12 @@ def scene_structure(mask: DataFrame, keys: Sequence[str], key_id: Column, box: t
     parts = tiles.where("n > 0").select(*keys, F.col("local").alias("id"), "n", (F.col("rim") > 0).alias("at_frame"), "wet")
     rim = tiles.where("n < 0").select(*keys, "kid", "tr", "tc", "local", "row", "col", "wet")
     # tiles without water: the scenes' tiles less those that hold some
-    spark, n_tr, n_tc = mask.sparkSession, (r1 - r0) // tile + 1, (c1 - c0) // tile + 1
+    spark, n_tr, n_tc = mask.sparkSession, (r1 - r0) // tall + 1, (c1 - c0) // tile + 1
     scenes = m.select(*keys, "kid").distinct()
     grid = scenes.withColumn("tr", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_tr - 1).cast("long")))).withColumn(
         "tc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_tc - 1).cast("long"))))
-    first_row, first_col = r0 + F.col("tr") * tile, c0 + F.col("tc") * tile
-    rows, cols = F.least(F.lit(tile), r1 - first_row + 1), F.least(F.lit(tile), c1 - first_col + 1)
+    first_row, first_col = r0 + F.col("tr") * tall, c0 + F.col("tc") * tile
+    rows, cols = F.least(F.lit(tall), r1 - first_row + 1), F.least(F.lit(tile), c1 - first_col + 1)
     dry = grid.join(tiles.select("kid", "tr", "tc").distinct(), ["kid", "tr", "tc"], "left_anti").withColumn(
         "local", F.col("kid") * stride + (first_row - r0) * width + (first_col - c0))
     at_frame = (F.col("tr") == 0) | (F.col("tr") == n_tr - 1) | (F.col("tc") == 0) | (F.col("tc") == n_tc - 1)
@@ -80,7 +119,7 @@ def scene_structure(mask: DataFrame, keys: Sequence[str], key_id: Column, box: t
     # background at the rim of a tile meets the dry tile beside it; dry tiles meet each other
     beside = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))]))
     out = rim.where(~F.col("wet")).select("kid", F.col("local").alias("src"), "tr", "tc", "row", "col", beside.alias("o"))
-    out = out.select("kid", "src", F.floor((F.col("row") + F.col("o.a") - r0) / tile).alias("tr"), F.floor((F.col("col") + F.col("o.b") - c0) / tile).alias("tc"))
+    out = out.select("kid", "src", F.floor((F.col("row") + F.col("o.a") - r0) / tall).alias("tr"), F.floor((F.col("col") + F.col("o.b") - c0) / tile).alias("tc"))
     out = out.unionByName(dry.select("kid", F.col("local").alias("src"), "tr", "tc", beside.alias("o")).select(
         "kid", "src", (F.col("tr") + F.col("o.a")).alias("tr"), (F.col("tc") + F.col("o.b")).alias("tc")))
     edges = edges.unionByName(out.distinct().join(dry.select("kid", "tr", "tc", F.col("local").alias("dst")), ["kid", "tr", "tc"]).select("src", "dst"))
