@@ -269,6 +269,22 @@ def test_stream_matches_of_repeated_readings(spark, tmp_path, monkeypatch):
     assert tables["pairs"].count() == len(twin.duck(SOURCE).execute(sql).fetchall())
 
 
+def test_stream_matches_are_not_joined_again(spark, tmp_path):
+    """Where no place repeats, what the stream has written is the result."""
+    plan = plans.runner(plans.registered()["str_space_time_matches"])(spark, SOURCE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_stream_matches_of_ids_at_several_times(spark, tmp_path):
+    """Some rows repeat, some ids come back hours or days later (in another batch) and some of those repeat as well."""
+    again = """SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0
+     UNION ALL SELECT * REPLACE (ts + INTERVAL 5 HOUR AS ts) FROM events WHERE event_id % 2 = 0
+     UNION ALL SELECT * REPLACE (ts + INTERVAL 5 HOUR AS ts) FROM events WHERE event_id % 4 = 0
+     UNION ALL SELECT * REPLACE (ts + INTERVAL 12 DAY AS ts) FROM events WHERE event_id % 5 < 2
+     UNION ALL SELECT * REPLACE (event_id + 100000 AS event_id) FROM events WHERE event_id % 7 = 0"""
+    assert same_as_twin(spark, "str_space_time_matches", folder_with(twin.duck(SOURCE), tmp_path, events=again)) == ""
+
+
 def test_persistence_counts_years_as_bits(spark, tmp_path):
     """A cell is one row whatever its years; years 64 apart and rows without a date are told apart."""
     dates = "CASE l_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN l_shipdate - INTERVAL 64 YEAR ELSE l_shipdate END"
