@@ -34,6 +34,51 @@ def test_plane_left_out_with_repeated_soundings(spark, tmp_path):
     assert same_as_twin(spark, "int_plane_left_out", folder_with(twin.duck(SOURCE), tmp_path, lineitem=lines)) == ""
 
 
+def test_plane_left_out_makes_no_pairs(spark):
+    """Crowded and sparse tiles, some rows at one place and one beyond the others, by sums of cells; the pairs of a plan would be a join on cells."""
+    r = np.random.default_rng(12)
+    p = pd.DataFrame({"x": np.r_[r.uniform(-300, 900, 6000), r.uniform(0, 20000, 300).round()], "y": np.r_[r.uniform(0, 500, 6000), r.uniform(-9000, 9000, 300).round()]})
+    p.loc[100:140, ["x", "y"]] = (600.0, 100.0)
+    p = p.assign(pid=np.arange(len(p)), z=r.normal(size=len(p)))
+    df = spark.createDataFrame(p)
+    got = I.plane_left_out(df, "pid", "z", 100.0)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    sums = P.near_moments(df.selectExpr("pid", "x AS ax", "y AS ay"), df.selectExpr("x AS bx", "y AS by", "z"), 100.0, "z", ["pid"]).toPandas().set_index("pid")
+    assert len(sums) == len(p)
+    for i in [*range(0, len(p), 97), 110]:
+        u, v = (p.x - p.x[i]) / 100, (p.y - p.y[i]) / 100
+        near = np.hypot(p.x - p.x[i], p.y - p.y[i]) <= 100
+        for c, e in zip(P.MOMENTS, (near, u, v, u * u, u * v, v * v, p.z, u * p.z, v * p.z)):
+            assert sums.loc[i, c] == pytest.approx(e[near].sum(), abs=1e-8)
+
+
+def test_moments_of_a_hot_tile_come_in_pieces_that_add_up(spark, large_path):
+    r = np.random.default_rng(13)
+    p = pd.DataFrame({"pid": np.arange(1000), "x": r.uniform(0, 300, 1000), "y": r.uniform(0, 300, 1000), "z": r.normal(size=1000)})
+    df = spark.createDataFrame(p)
+    sums = P.near_moments(df.selectExpr("pid", "x AS ax", "y AS ay"), df.selectExpr("x AS bx", "y AS by", "z"), 100.0, "z", ["pid"]).toPandas()
+    assert len(sums) > 1000
+    sums = sums.groupby("pid").sum()
+    for i in range(0, 1000, 50):
+        near = np.hypot(p.x - p.x[i], p.y - p.y[i]) <= 100
+        assert sums.loc[i, "n"] == near.sum() and sums.loc[i, "sw"] == pytest.approx(p.z[near].sum(), abs=1e-8)
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_quantiles_of_few_large_groups(spark, large_path, keys):
+    """Only rows about the wanted rank are brought into order; ties and small groups included."""
+    from tidewright.operators import blocks as B
+    r = np.random.default_rng(14)
+    p = pd.DataFrame({"k": np.r_[np.zeros(20_000), np.ones(9_001), np.full(6, 2)].astype(int), "v": np.r_[r.normal(size=20_000), r.integers(0, 4, 9_001), np.arange(6)]})
+    df = spark.createDataFrame(p)
+    few = B._few_groups(df.selectExpr("k", "v AS __v", "1L AS __m"), keys, {"a": 0.5, "b": 0.9}).toPandas()
+    for k, g in (p.groupby("k") if keys else [(None, p)]):
+        row = few.set_index("k").loc[k] if keys else few.iloc[0]
+        assert row["a"] == np.quantile(g["v"], 0.5) and row["b"] == pytest.approx(np.quantile(g["v"], 0.9))
+    assert len(few) == (3 if keys else 1)
+    assert B._few_groups(df.selectExpr("k", "v AS __v", "2L AS __m"), keys, {"a": 0.5}) is None
+
+
 def test_passing_bablok_without_an_inner_median(spark):
     r = np.random.default_rng(1)
     x = r.uniform(0, 10, 30)

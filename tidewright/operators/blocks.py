@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,7 +133,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
     if is_bounded(src):
         arr = src.groupBy(*keys).agg(F.percentile("__v", [float(p) for p in probs.values()], F.col("__m")).alias("__q"))
         return arr.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)])
-    counts = src.groupBy(*keys, "__v").agg(F.sum("__m").alias("__c"))
+    few = _few_groups(src, keys, probs)
+    if few is not None:
+        return few
+    counts = cut_lineage(src.groupBy(*keys, "__v").agg(F.sum("__m").alias("__c")))
     cum = running_sum(counts, keys, ["__v"], F.col("__c"), "__cum")
     total = counts.groupBy(*keys).agg(F.sum("__c").alias("__tot"))
     if keys:
@@ -150,6 +155,41 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str
         (F.col(f"{n}__lo") + (F.col(f"{n}__hi") - F.col(f"{n}__lo")) * F.col(f"{n}__f")).alias(n) for n in probs])
 
 
+def _few_groups(src: DataFrame, keys: list[str], probs: Mapping[str, float], most: int = 10_000, whole: int = 5000) -> DataFrame | None:
+    """Quantiles of few groups of many rows (``__v``, times ``__m``), or None: an approximate quantile a little below and one a little above leave few rows whose ranks are
+    counted exactly; a group of up to ``whole`` rows keeps all.  None as well if a rank is not found between them, so the result is always exact."""
+    sizes = src.groupBy(*keys).agg(F.sum("__m").alias("__tot"), F.max("__m").alias("__most"), F.count_if(F.isnan("__v")).alias("__nan"))
+    sizes = cut_lineage(sizes)
+    top = sizes.agg(F.count(F.lit(1)).alias("n"), F.max("__most").alias("m"), F.max("__nan").alias("nan"), F.count_if(reduce(or_, [F.col(k).isNull() for k in keys], F.lit(False))).alias("null")).first()
+    if top.n > most or top.m != 1 or top.nan or top.null:
+        return None
+    out = sizes.select(*keys)
+    for name, p in probs.items():
+        near = src.groupBy(*keys).agg(F.percentile_approx("__v", [max(0.0, p - 1e-3), min(1.0, p + 1e-3)], 2000).alias("__b"))
+        large = F.col("__tot") > whole
+        at = F.lit(float(p)) * (F.col("__tot") - 1)
+        near = near.join(F.broadcast(sizes), keys) if keys else near.crossJoin(F.broadcast(sizes))
+        near = cut_lineage(near.select(*keys, F.when(large, F.col("__b")[0]).alias("__l"), F.when(large, F.col("__b")[1]).alias("__h"), at.alias("__at")))
+        rows = src.join(F.broadcast(near), keys) if keys else src.crossJoin(F.broadcast(near))
+        under = F.coalesce(F.col("__v") < F.col("__l"), F.lit(False))
+        inner = F.when(~under & F.coalesce(F.col("__v") <= F.col("__h"), F.lit(True)), F.col("__v"))
+        c = rows.groupBy(*keys, inner.alias("__v")).agg(F.count_if(under).alias("__u"), F.count(F.lit(1)).alias("__c"))
+        c = cut_lineage(c)
+        under = c.groupBy(*keys).agg(F.sum("__u").alias("__u"))
+        cum = running_sum(c.where("__v is not null").drop("__u"), keys, ["__v"], F.col("__c"), "__cum")
+        side = F.broadcast(under.join(near.select(*keys, "__at"), keys) if keys else under.crossJoin(near.select("__at")))
+        cum = (cum.join(side, keys) if keys else cum.crossJoin(side)).withColumn("__cum", F.col("__cum") + F.col("__u"))
+        pick = lambda r: F.min(F.when(F.col("__cum") > r, F.col("__v")))
+        lo, hi = pick(F.floor("__at")), pick(F.ceil("__at"))
+        ok = (F.max("__u") <= F.floor(F.max("__at"))) & hi.isNotNull()
+        got = cut_lineage(cum.groupBy(*keys).agg(lo.alias("__lo"), hi.alias("__hi"), F.max(F.col("__at") - F.floor("__at")).alias("__f"), ok.alias("__ok")))
+        if got.where("__ok").count() != top.n:
+            return None
+        got = got.select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")).alias(name))
+        out = out.join(F.broadcast(got), keys) if keys else out.crossJoin(got)
+    return out.select(*keys, *probs)
+
+
 def summarise(df: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column] | None = None,
               quants: Mapping[str, tuple[str, float]] | None = None, times: str | None = None) -> DataFrame:
     """One summary row per key: ordinary aggregates plus exact quantiles ``{name: (column, p)}``, of rows that count ``times`` each."""

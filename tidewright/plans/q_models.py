@@ -129,8 +129,7 @@ _RAD = 600.0
 def _(t: Tables):
     """Slope and leave-one-out error of the plane around every sounding, by the survey it belongs to."""
     s = S.soundings(t)
-    f = I.plane_left_out(s, "sid", "z", _RAD).where("error is not null").join(s.groupBy("sid").agg(F.max("src").alias("src")), "sid")
-    f = cut_lineage(f)
+    f = cut_lineage(I.plane_left_out(s, "sid", "z", _RAD, carry=["src"]).where("error is not null").select("src", "slope", "error"))
     g = B.summarise(f, ["src"], {"n": F.count(F.lit(1)), "rmse": F.sqrt(F.avg(F.col("error") * F.col("error")))}, {"slope_p50": ("slope", 0.5), "bias": ("error", 0.5)})
     d = B.quantiles(f.join(broadcast_if_small(g.select("src", "bias")), "src").withColumn("a", F.abs(F.col("error") - F.col("bias"))), ["src"], "a", {"mad": 0.5})
     return g.join(d, "src").select("src", "n", r6(F.col("slope_p50")).alias("slope_p50"), r6(F.col("bias")).alias("bias"), r6(1.4826 * F.col("mad")).alias("sigma"), r6(F.col("rmse")).alias("rmse"))
